@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, quality, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op4_sharding": sharding.op4_sharding,
+    "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality.ORACLE_OP1,
+    "op6_mixing": mixing.ORACLE_OP6,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
 }
