@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sharding
+from . import exact_dedup, mixing, quality, sentence_piece, sharding, token_count
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_token_counts": token_count.op3_token_counts,
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_sentence_piece": sentence_piece.op7_sentence_piece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
