@@ -103,10 +103,9 @@ _LOWER[65:91] += 32
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE)]).astype(np.uint64), dtype=np.uint64)
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            down = np.cumprod(np.concatenate([[1], np.full(size - 1, inverse)]).astype(np.uint64), dtype=np.uint64)
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(int(_BASE), -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         _POWERS.update(up=up, down=down)
     return _POWERS["up"], _POWERS["down"]
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sentence_piece, sharding, token_count
+from . import exact_dedup, mixing, quality, sentence_piece, sharding, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_token_counts": token_count.op3_token_counts,
     "op4_sharding": sharding.op4_sharding,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op7_sentence_piece": sentence_piece.op7_sentence_piece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE_OP1,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.ORACLE_OP6,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
 }
