@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sentence_piece, sharding, substring_dedup, token_count, toxicity
+from . import exact_dedup, mixing, ngram_join, quality, sentence_piece, sharding, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_token_counts": token_count.op3_token_counts,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
