@@ -74,6 +74,27 @@ def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST_E
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST_EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
+    """The rows of the mix: docs with each row as often as the mix takes it, all columns kept.
+
+    Where a budget ends within a row, that copy has the words up to there, joined by spaces. Rows of which no word is
+    taken are left out. Rows that agree in doc_id, source and size get the places of the mix in order of text.
+    """
+    same = ["doc_id", "source", "size"]
+    place = Window.partitionBy("__doc_id", "__source", "__size")
+    plan = mix(docs, seed, share, most, weights).select(*[F.col(c).alias(f"__{c}") for c in same], F.col("taken").alias("__taken"))
+    plan = plan.withColumn("__place", F.row_number().over(place.orderBy(F.desc("__taken")))).filter("__taken > 0")
+    plan = common.materialize(plan, "plan").withColumnsRenamed({f"__{c}": f"__p_{c}" for c in [*same, "place"]})
+    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__source": F.col("source"), "__size": size})
+    rows = rows.withColumn("__place", F.row_number().over(place.orderBy("text")))
+    on = [F.col(f"__{c}").eqNullSafe(F.col(f"__p_{c}")) for c in [*same, "place"]]
+    rows = rows.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
+    words = F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size"))
+    text = F.when(words == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(common.words_of(F.col("text")), F.lit(1), words.cast("int")), " "))
+    return rows.withColumn("text", text).select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents"))
 

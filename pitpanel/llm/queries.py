@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, quality, sentence_piece, sharding, substring_dedup, token_count, toxicity
+from . import exact_dedup, mixing, ngram_join, pii, quality, sentence_piece, sharding, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sentence_piece": sentence_piece.op7_sentence_piece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {
