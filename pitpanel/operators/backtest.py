@@ -33,7 +33,7 @@ def with_band(scores: DataFrame, n: int, keep: float) -> DataFrame:
     none = F.array().cast("array<struct<idx:int,held:array<string>>>")
 
     def step(done, row):
-        held = F.coalesce(F.element_at(F.transform(F.slice(done, -1, 1), lambda d: d["held"]), 1), F.array().cast("array<string>"))
+        held = F.coalesce(F.try_element_at(done, F.lit(-1))["held"], F.array().cast("array<string>"))
         stay = F.filter(row["names"], lambda t: F.array_contains(held, t))
         stay = F.slice(stay, 1, n)
         fresh = F.filter(row["names"], lambda t: ~F.array_contains(held, t))
@@ -41,7 +41,7 @@ def with_band(scores: DataFrame, n: int, keep: float) -> DataFrame:
 
     if n * keep == n:
         return top_n(scores, n, "idx").select("idx", "ticker")
-    folded = steps.select(F.aggregate("s", none, lambda a, r: F.when(F.size(a) == 0, step(F.array().cast("array<struct<idx:int,held:array<string>>>"), r)).otherwise(step(a, r))).alias("d"))
+    folded = steps.select(F.aggregate("s", none, step).alias("d"))
     return folded.select(F.explode("d").alias("d")).select("d.idx", F.explode("d.held").alias("ticker"))
 
 

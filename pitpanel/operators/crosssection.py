@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import average_rank, clipped, normal_quantile, percent_rank, safe_div
 
@@ -68,7 +69,7 @@ def neutral(panel: DataFrame, v: str, groups: list[str], controls: list[str], by
 
     A date's cross-section (names, not history) is what one call holds.
     """
-    schema = panel.schema.add(out, "double")
+    schema = T.StructType([*panel.schema.fields, T.StructField(out, T.DoubleType())])
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [np.ones((len(rows), 1))]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import fixed
+
 #: Quarterly fields as round(a * revenue + b * netinc + c * quantity, 2): a rule that gives every field a value.
 FIELDS = {
     "cor": (0.55, 0, 0), "gp": (0.45, 0, 0), "sgna": (0.12, 0, 1), "rnd": (0.05, 0, 2), "opinc": (0.2, 0.1, -3), "ebit": (0.18, 0.12, -2),
@@ -40,7 +42,7 @@ def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
         F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("volume"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("u")
     )
-    rows = rows.select("ticker", "date", F.round(F.col("v") / F.col("volume"), 4).alias("close"), F.round("u", 4).alias("closeunadj"), "volume", F.round("v", 2).alias("mcap"))
+    rows = rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), fixed(F.col("u"), 4).alias("closeunadj"), "volume", F.round("v", 2).alias("mcap"))
     return _dense(rows, "date", F.row_number().over(Window.orderBy("date")))
 
 
@@ -50,7 +52,7 @@ def monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.last_day("l_shipdate").alias("date")).agg(
         F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("volume")
     )
-    rows = rows.select("ticker", "date", F.round(F.col("v") / F.col("volume"), 4).alias("close"), "volume", F.round("v", 2).alias("mcap"))
+    rows = rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), "volume", F.round("v", 2).alias("mcap"))
     return _dense(rows, "date", F.year("date") * 12 + F.month("date"))
 
 
@@ -63,9 +65,9 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity", "l_returnflag")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     rows = lines.groupBy("l_suppkey", quarter_end(F.col("l_shipdate")).alias("calendardate")).agg(
-        F.round(F.sum(net), 2).alias("revenue"), F.round(F.sum(net * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)), 2).alias("netinc"), F.sum("l_quantity").alias("quantity")
+        fixed(F.sum(net), 2).alias("revenue"), fixed(F.sum(net * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)), 2).alias("netinc"), F.sum("l_quantity").alias("quantity")
     )
-    ruled = [F.round(a * F.col("revenue") + b * F.col("netinc") + c * F.col("quantity"), 2).alias(name) for name, (a, b, c) in FIELDS.items()]
+    ruled = [fixed(a * F.col("revenue") + b * F.col("netinc") + c * F.col("quantity"), 2).alias(name) for name, (a, b, c) in FIELDS.items()]
     rows = rows.select(
         F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "calendardate", F.date_add("calendardate", (45 + F.col("l_suppkey") % 20).cast("int")).alias("datekey"), "revenue", "netinc", *ruled
     )
@@ -99,4 +101,4 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, idx, close of all trade together."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("q"))
-    return lines.select("date", F.row_number().over(Window.orderBy("date")).alias("idx"), F.round(F.col("v") / F.col("q"), 4).alias("close"))
+    return lines.select("date", F.row_number().over(Window.orderBy("date")).alias("idx"), fixed(F.round("v", 2) / F.col("q"), 4).alias("close"))
