@@ -19,7 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE_OP1,
-    "op5_toxicity": toxicity.op5_toxicity,
+    "op2_ngram_join": ngram_join.ORACLE_OP2,
     "op6_mixing": mixing.ORACLE_OP6,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
 }
