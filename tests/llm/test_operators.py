@@ -112,6 +112,18 @@ def test_ngram_join(docs, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in sets if i is not None and find(i) == i)
 
 
+def test_ngram_join_of_short_texts(spark):
+    """Pairs of 3 to 12 shingles, a text and the same with a word appended, are linked wherever their shingles hash to."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(300):
+        text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(7 + k % 10))
+        rows += [(2 * k, text), (2 * k + 1, text + " more")]
+    sets, find = brute_components([(i, t, None) for i, t in rows])
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in sets if got[i] != find(i)] == [] and all(find(2 * k + 1) == 2 * k for k in range(300))
+
+
 @pytest.mark.parametrize("boundary", [0, 6, 40, 1000])
 def test_light_and_heavy_sets_find_the_same_pairs(boundary):
     """Pairs at the threshold share a key wherever the boundary lies."""
