@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import safe_div
 
@@ -75,25 +79,20 @@ def beta(panel: DataFrame, market: DataFrame, n: int, r: str = "r") -> DataFrame
 def wilder_rsi(panel: DataFrame, v: str, period: int) -> DataFrame:
     """panel with rsi: gains and losses smoothed with alpha = 1 / period from the first change on.
 
-    The recursion unrolls into a weighted sum over the rows before: it is taken over the last 40 periods, beyond which
-    weights are below e**-40. No average loss gives NULL.
+    The recursion runs along a ticker's rows in one call, so that a row costs the same whatever the period. No average
+    loss gives NULL.
     """
-    w = Window.partitionBy("ticker").orderBy("idx")
-    rows = panel.withColumn("__d", F.col(v) - F.lag(v).over(w))
-    a = 1.0 / period
-    k = F.sum(F.when(F.col("__d").isNull(), 0).otherwise(1)).over(w)
-    rows = rows.withColumn("__k", k)
-    reach = int(40 * period)
-
-    def smoothed(x):
-        terms = F.collect_list(F.when(F.col("__d").isNotNull(), F.struct(F.col("__k").alias("k"), x.alias("x")))).over(w.rowsBetween(-reach, 0))
-        weight = lambda t: F.pow(F.lit(1 - a), F.col("__k") - t["k"]) * F.when(t["k"] == 1, 1.0).otherwise(a)
-        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + weight(t) * t["x"])
-
-    gain, loss = smoothed(F.greatest(F.col("__d"), F.lit(0.0))), smoothed(F.greatest(-F.col("__d"), F.lit(0.0)))
-    rows = rows.withColumn("__g", gain).withColumn("__l", loss)
-    rsi = F.when(F.col("__k") >= period, 100 - 100 / (1 + safe_div(F.col("__g"), F.col("__l"))))
-    return rows.withColumn("rsi", rsi).drop("__d", "__k", "__g", "__l")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        d = pd.Series(rows.column(v).to_pandas().to_numpy(float, na_value=np.nan)).diff()
+        smoothed = lambda x: x.ewm(alpha=1.0 / period, adjust=False, ignore_na=True).mean().to_numpy()
+        gain, loss = smoothed(d.clip(lower=0)), smoothed((-d).clip(lower=0))
+        known = (d.notna().cumsum() >= period).to_numpy() & (np.abs(loss) > 1e-9)
+        rsi = 100 - 100 / (1 + np.divide(gain, loss, out=np.zeros(len(d)), where=known))
+        return rows.append_column("rsi", pa.array(rsi, pa.float64(), mask=~known))
+
+    return panel.groupBy("ticker").applyInArrow(run, T.StructType([*panel.schema.fields, T.StructField("rsi", T.DoubleType())]))
 
 
 def forward_return(v: str, horizon: int) -> Column:

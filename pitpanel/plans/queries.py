@@ -438,11 +438,12 @@ query("j_as_of", f"{_ASOF} SELECT ticker, date, calendardate, {r('netinc')} AS n
 )
 
 
-def factor_tables(spark, sf_dir) -> Tables:
+def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices) -> Tables:
+    """Windows count trading days, so prices are daily; monthly ones serve expressions without windows only."""
     quarterly = panels.filings(spark, sf_dir).withColumnRenamed("calendardate", "date")
     held = panels.holdings(spark, sf_dir).withColumnRenamed("calendardate", "date")
     quarterly = quarterly.join(held, ["ticker", "date"], "left")
-    daily = panels.monthly_prices(spark, sf_dir).withColumn("closeunadj", F.col("close"))
+    daily = prices(spark, sf_dir)
     market = daily.groupBy("idx").agg(F.avg("close").alias("c")).withColumn("r", safe_div(F.col("c"), ts.lag("c", 1, F.lit(1))) - 1)
     return Tables(quarterly, daily, panels.descriptions(spark, sf_dir).select("ticker", "sector"), market, {"inst_shares": "inst_date", "inst_holders": "inst_date"})
 
@@ -450,10 +451,10 @@ def factor_tables(spark, sf_dir) -> Tables:
 _NOT_HERE = {"INSIDER_NET_BUY", "SHORT_INT_CHG", "INST_SHORT_COMBO", "DIVYIELD_GROWTH_QOQ", "DIVYIELD_GROWTH_YOY"}
 
 
-def _factor_query(names: list[str], scoring: bool = False):
+def _factor_query(names: list[str], scoring: bool = False, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices):
     def run(spark, sf_dir):
         wanted = {n: catalog.CATALOG[n].scoring() if scoring else catalog.CATALOG[n].expr for n in names}
-        out = compile_all(factor_tables(spark, sf_dir), wanted)
+        out = compile_all(factor_tables(spark, sf_dir, prices), wanted)
         return out.unpivot(["ticker", "date"], names, "factor", "value").filter("value IS NOT NULL")
 
     return run
@@ -471,13 +472,13 @@ query(
     f"""{FILINGS}, mli AS (SELECT 'S' || l_suppkey AS ticker, last_day(CAST(l_shipdate AS DATE)) AS date, round(sum(l_extendedprice), 2) AS mcap FROM lineitem GROUP BY 1, 2),
 k AS (SELECT * FROM f WHERE datekey IS NOT NULL), j AS (SELECT a.ticker, a.date, a.mcap, k.netinc, k.equity FROM mli a ASOF LEFT JOIN k ON a.ticker = k.ticker AND a.date >= k.datekey),
 u AS (SELECT ticker, date, 'PER' AS factor, {r(div('mcap', 'netinc'))} AS value FROM j UNION ALL SELECT ticker, date, 'PBR', {r(div('mcap', 'equity'))} FROM j) SELECT * FROM u WHERE value IS NOT NULL""",
-)(_factor_query(["PER", "PBR"]))
+)(_factor_query(["PER", "PBR"], prices=panels.monthly_prices))
 query(
     "f_ttm_ratio",
     f"""{FILINGS}, k AS (SELECT *, {_roll('sum', 'gp', 4, 4)} / CASE WHEN abs(assets) > 1e-9 THEN assets END AS v FROM f), kk AS (SELECT * FROM k WHERE datekey IS NOT NULL),
 m AS (SELECT DISTINCT last_day(CAST(l_shipdate AS DATE)) AS date FROM lineitem), g AS (SELECT m.date, t.ticker FROM m CROSS JOIN (SELECT DISTINCT ticker FROM f) t)
 SELECT g.ticker, g.date, 'GP_A_TTM' AS factor, {r('v')} AS value FROM g ASOF JOIN kk ON g.ticker = kk.ticker AND g.date >= kk.datekey WHERE v IS NOT NULL""",
-)(_factor_query(["GP_A_TTM"]))
+)(_factor_query(["GP_A_TTM"], prices=panels.monthly_prices))
 
 # store
 
@@ -565,7 +566,7 @@ def u_profitable(spark, sf_dir):
 
 @query("u_distress")
 def u_distress(spark, sf_dir):
-    z = compile_all(factor_tables(spark, sf_dir), {"altman_z": catalog.altman_z()})
+    z = compile_all(factor_tables(spark, sf_dir, panels.monthly_prices), {"altman_z": catalog.altman_z()})
     return universe.members(z, universe.Universe(without_distress=True))
 
 

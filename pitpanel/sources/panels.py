@@ -1,6 +1,6 @@
 """Panels from star-schema tables: prices, filings, holdings, transactions and descriptions as long tables.
 
-A ticker is a brand (daily prices) or a supplier (monthly prices and quarterly filings). Price panels stand on a dense
+A ticker is a brand (daily prices) or a supplier (daily and monthly prices, quarterly filings). Price panels stand on a dense
 spine of calendar x tickers with an ordinal, so that a window over ordinals steps over calendar rows as it must.
 """
 
@@ -46,6 +46,23 @@ def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(rows, "date", F.row_number().over(Window.orderBy("date")))
 
 
+def supplier_daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker (supplier), date, idx, close, closeunadj, volume, mcap on a dense spine of trading dates.
+
+    A supplier trades on few dates: close, closeunadj and mcap stand until its next trade, volume is 0 in between. Before
+    its first trade all are NULL.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    rows = lines.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
+        F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("volume"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("u")
+    )
+    rows = rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), fixed(F.col("u"), 4).alias("closeunadj"), "volume", F.round("v", 2).alias("mcap"))
+    rows = _dense(rows, "date", F.row_number().over(Window.orderBy("date")))
+    past = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    last = {c: F.last(c, ignorenulls=True).over(past) for c in ("close", "closeunadj", "mcap")}
+    return rows.withColumns(last | {"volume": F.when(last["close"].isNotNull(), F.coalesce("volume", F.lit(0)))})
+
+
 def monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (supplier), date (month end), idx (month number), close, volume, mcap on a dense spine of months."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")

@@ -11,7 +11,7 @@ from pitpanel.functions.columns import average_rank, normal_quantile, safe_div
 from pitpanel.operators import backtest, crosssection, overfitting, portfolio, rotation, search, store
 from pitpanel.operators import timeseries as ts
 from pitpanel.operators.asof import as_of
-from pitpanel.plans import catalog
+from pitpanel.plans import catalog, queries
 from pitpanel.plans.expr import GridError, MissingFieldError, Tables, compile_all, fields
 from pitpanel.sources import files
 
@@ -120,6 +120,29 @@ def test_catalog_has_all_factors():
     assert set(catalog.available({"SEP"})) == {k for k, v in catalog.CATALOG.items() if v.requires == ("SEP",)}
 
 
+#: These want returns below 0 on a quarter of the days; a supplier of the given tables trades on about a fifth of them.
+FEW_FALLS = {"SORTINO", "SORTINO_MOM_60D", "SORTINO_MOM_120D", "SORTINO_MOM_200D"}
+
+
+@pytest.mark.parametrize("name", ["f_acceleration", "f_growth", "f_flow_proxy", "f_value_ev", "f_value_price", "f_price", "f_quality_1", "f_quality_2", "f_quality_3"])
+def test_every_registered_factor_gives_rows(spark, name):
+    """Windows of up to 252 trading days have their values on the daily grid."""
+    category, _, part = name.removeprefix("f_").partition("_") if "quality" in name else (name.removeprefix("f_"), "", "")
+    wanted = [n for n, x in catalog.CATALOG.items() if x.category == category and n not in queries._NOT_HERE]
+    wanted = wanted[20 * (int(part) - 1) : 20 * int(part)] if part else wanted
+    got = {r.factor for r in queries.QUERIES[name](spark, "/root/testdata/sf0.001").select("factor").distinct().collect()}
+    assert got == set(wanted) - FEW_FALLS and wanted
+
+
+def test_factors_that_need_many_falling_days_give_rows_on_dense_prices(spark):
+    rng = np.random.default_rng(5)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 600)))
+    daily = spark.createDataFrame([("A", date.fromordinal(730000 + i), i, float(c)) for i, c in enumerate(close)], "ticker string, date date, idx int, close double")
+    quarterly = spark.createDataFrame([], "ticker string, date date, idx int, datekey date, revenue double")
+    out = compile_all(Tables(quarterly, daily), {n: catalog.CATALOG[n].expr for n in sorted(FEW_FALLS)})
+    assert all(n > 100 for n in out.select([F.count(n) for n in FEW_FALLS]).first())
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("A", 1, 1.0, 5)], "t string, k int, v double, d int")
     new = spark.createDataFrame([("A", 1, 9.0, 6), ("B", 1, 2.0, 8), ("B", 1, 3.0, 7), (None, 1, 4.0, 1)], "t string, k int, v double, d int")
