@@ -629,16 +629,16 @@ query("b_band")(lambda s, d: backtest.with_band(scores(s, d).withColumn("score",
 
 
 def _windowed(spark, sf_dir) -> DataFrame:
-    """For each year's end the last 36 months of the ten names with most trade: year, idx, ticker, r, score."""
-    p = monthly_returns(spark, sf_dir)
-    names = p.groupBy("ticker").agg(F.sum("volume").alias("v")).orderBy(F.desc("v"), "ticker").limit(10).select("ticker")  # a portfolio of ten
-    p = p.join(F.broadcast(names), "ticker").select("ticker", "idx", F.coalesce("r", F.lit(0.0)).alias("r"), crosssection.zscore("close", "idx").alias("score"))
-    ends = p.select((F.floor(F.col("idx") / 12)).cast("int").alias("year")).distinct()
-    return p.join(F.broadcast(ends), (F.col("idx") <= F.col("year") * 12 + 12) & (F.col("idx") > F.col("year") * 12 - 24)).select("year", "idx", "ticker", "r", "score")
+    """For each month the last 36 months, this one included, of the ten names chosen in it: rebalance, idx, ticker, r, score."""
+    p = monthly_returns(spark, sf_dir).select("ticker", "idx", F.coalesce("r", F.lit(0.0)).alias("r"))
+    score = scores(spark, sf_dir).join(F.broadcast(month_calendar(spark, sf_dir)), "date").select(F.col("idx").alias("rebalance"), "ticker", F.round("score", 9).alias("score"))
+    names = chosen(spark, sf_dir).select(F.col("idx").alias("rebalance"), "ticker").join(score, ["rebalance", "ticker"])
+    months = names.select("*", F.explode(F.sequence(F.col("rebalance") - 35, F.col("rebalance"))).alias("idx"))
+    return months.join(p, ["ticker", "idx"]).select("rebalance", "idx", "ticker", "r", "score")
 
 
 for _scheme in ("risk_parity", "hrp", "mvo", "black_litterman"):
-    query(f"b_{_scheme}")(lambda s, d, scheme=_scheme: portfolio.optimised(_windowed(s, d), scheme, "year", 0.4, least=24, periods=12))
+    query(f"b_{_scheme}")(lambda s, d, scheme=_scheme: portfolio.optimised(_windowed(s, d), scheme, "rebalance", 0.4, least=24, periods=12))
 
 ROTATION = rotation.Strategy("brands", ("Brand#1", "Brand#2"), ("Brand#3", "Brand#4", "Brand#5", "Brand#6"), ("Brand#7", "Brand#8"), top=2)
 _ROT = f"""{DAILY}, me AS (SELECT ticker, CAST(year(date) * 12 + month(date) AS INT) AS idx, max_by(close, date) AS close FROM p WHERE close IS NOT NULL GROUP BY 1, 2),

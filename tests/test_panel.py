@@ -143,6 +143,14 @@ def test_factors_that_need_many_falling_days_give_rows_on_dense_prices(spark):
     assert all(n > 100 for n in out.select([F.count(n) for n in FEW_FALLS]).first())
 
 
+def test_optimised_weights_are_of_the_names_chosen_at_each_rebalance(spark):
+    sf = "/root/testdata/sf0.01"
+    chosen = {(r.idx, r.ticker) for r in queries.chosen(spark, sf).collect()}
+    rows = queries.QUERIES["b_risk_parity"](spark, sf).collect()
+    assert {(r.rebalance, r.ticker) for r in rows} == chosen and len({r.ticker for r in rows}) > 10
+    assert np.allclose(pd.DataFrame([r.asDict() for r in rows]).groupby("rebalance")["w"].sum(), 1, atol=1e-4)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("A", 1, 1.0, 5)], "t string, k int, v double, d int")
     new = spark.createDataFrame([("A", 1, 9.0, 6), ("B", 1, 2.0, 8), ("B", 1, 3.0, 7), (None, 1, 4.0, 1)], "t string, k int, v double, d int")
