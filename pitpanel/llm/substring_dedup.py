@@ -1,7 +1,7 @@
 """Passages that repeat, by sliding runs of consecutive sentences.
 
-From every sentence the shortest run of at least three sentences and twenty words (or of forty words, for long
-sentences) is hashed, and likewise the shortest run that ends with it, so that every sentence of a passage is in a run
+From every sentence the shortest run of at least three sentences (two in the query) and twenty words (or of forty words,
+for long sentences) is hashed, and likewise the shortest run that ends with it, so that every sentence of a passage is in a run
 that lies within the passage. Runs are compared over all documents by an aggregate on their hashes: of a run that
 occurs more than once the first occurrence (the smallest doc_id, and in a document the earliest place) stays, and
 every sentence that another occurrence covers goes.
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from . import common
 
 LEAST_SENTENCES = 3
+#: The query's: runs of two sentences cover all that longer ones would, and repeats with only two whole sentences.
+QUERY_SENTENCES = 2
 LEAST_WORDS = 20
 ENOUGH_WORDS = 40
 BITS = 1 << 26
@@ -95,7 +97,7 @@ class Runs:
         return raw[: at[0]] + b"".join(raw[at[k] : at[k + 1]] for k in np.flatnonzero(~covered))
 
 
-def _emit(docs: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
+def _emit(docs: DataFrame, bitmap: np.ndarray | None, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
     """h, n_words, doc_id of the different runs of each document with a doc_id; only those in the bitmap if one is given."""
 
     def run(batches):
@@ -104,7 +106,7 @@ def _emit(docs: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
             texts = batch.column("text")
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for k in range(batch.num_rows):
-                runs = Runs((texts[k].as_py() or "").encode())
+                runs = Runs((texts[k].as_py() or "").encode(), least_sentences)
                 h, at = runs.unique()
                 n = runs.words[at]
                 if bitmap is not None and len(h):
@@ -123,10 +125,10 @@ def _emit(docs: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
     return rows.mapInArrow(run, "h long, n_words int, doc_id long")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
     """h, n_words and first_doc of every run that is in more than one document."""
     return (
-        _emit(docs, None)
+        _emit(docs, None, least_sentences)
         .groupBy("h", "n_words")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .filter("first_doc < last_doc")
@@ -134,7 +136,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
     """docs with the repeated passages taken out of text, and n_sentences, n_removed, n_words_removed (replaced if there).
 
     Rows that share a doc_id count as one document and are treated alike. A null text stays null and has no
@@ -144,9 +146,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     """
     extra = ["n_sentences", "n_removed", "n_words_removed"]
     docs = docs.drop(*extra)
-    runs = common.materialize(repeated(docs), "runs")
+    runs = common.materialize(repeated(docs, least_sentences), "runs")
     bitmap = common.bitmap_of(runs, "h", BITS)
-    later = _emit(docs, bitmap).join(runs, ["h", "n_words"]).filter("doc_id > first_doc")
+    later = _emit(docs, bitmap, least_sentences).join(runs, ["h", "n_words"]).filter("doc_id > first_doc")
     gone = later.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.collect_list("h").alias("__gone"))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").drop("__doc_id")
     place, names = docs.columns.index("text"), docs.columns + extra
@@ -157,7 +159,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
             lists = batch.column("__gone")
             for k, text in enumerate(batch.column("text").to_pylist()):
                 raw = (text or "").encode()
-                found = Runs(raw)
+                found = Runs(raw, least_sentences)
                 covered = found.covered(np.array(lists[k].as_py() or [], np.int64).view(np.uint64))
                 texts.append(found.without(raw, covered).decode() if text is not None else None)
                 for out, value in zip(counts, (len(covered), covered.sum(), (found.end - found.begin)[covered].sum()), strict=True):
@@ -173,6 +175,6 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     clean = F.coalesce(F.col("text"), F.lit(""))
-    return remove_repeated(docs).select(
+    return remove_repeated(docs, QUERY_SENTENCES).select(
         "doc_id", "n_sentences", "n_removed", "n_words_removed", F.octet_length(clean).cast("long").alias("n_bytes_left"), F.sha2(clean.cast("binary"), 256).alias("left_sha256")
     )

@@ -324,6 +324,17 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeated(empty).count() == 0
 
 
+def test_substring_query_takes_repeats_with_two_whole_sentences(spark, tmp_path):
+    """A repeat of over 50 words that begins and ends within a sentence and holds two whole ones of 22 words in all."""
+    rnd = random.Random(5)
+    some = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = f"{some(15)}. {some(11)}. {some(11)}. {some(16)}"
+    rows = [(i, f"{some(30)}. {some(4)} {shared} {some(5)}. {some(30)}.") for i in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.n_words_removed) for r in substring_dedup.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (6, 0, 0), 1: (6, 2, 22)}
+
+
 def toxic_rows():
     rnd = random.Random(2)
     calm = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(3, 7))) for _ in range(150)]
