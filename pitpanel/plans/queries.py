@@ -692,7 +692,7 @@ def b_mean_reversion(spark, sf_dir):
 
 @query("b_win_share")
 def b_win_share(spark, sf_dir):
-    return rotation.win_share(b_mean_reversion(spark, sf_dir), 200)
+    return rotation.win_share(b_mean_reversion(spark, sf_dir))
 
 
 query("b_rebalance_plan", f"{_W}, k AS (SELECT max(idx) AS m FROM w), a AS (SELECT ticker, w FROM w, k WHERE idx = m), b AS (SELECT ticker, w FROM w, k WHERE idx = m - 1), j AS (SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.w, 0) AS target, coalesce(b.w, 0) AS current FROM a FULL JOIN b ON a.ticker = b.ticker) SELECT ticker, {r('target')} AS target, {r('current')} AS current, {r('target - current')} AS diff, CASE WHEN current = 0 AND target > 0 THEN 'BUY' WHEN target = 0 AND current > 0 THEN 'SELL' WHEN target > current THEN 'ADD' WHEN target < current THEN 'TRIM' ELSE 'HOLD' END AS action FROM j")(
@@ -729,7 +729,7 @@ be AS (SELECT combo, config FROM (SELECT *, row_number() OVER (PARTITION BY comb
 om AS (SELECT combo, config, (rank() OVER (PARTITION BY combo ORDER BY sharpe) + (count(*) OVER (PARTITION BY combo, sharpe) - 1) / 2.0) / (count(*) OVER (PARTITION BY combo) + 1) AS omega FROM sh WHERE NOT inside)
 SELECT CAST(combo AS INT) AS combo, config, {r('omega')} AS omega, {r('ln(omega / (1 - omega))')} AS logit FROM om SEMI JOIN be USING (combo, config)""",
 )(lambda s, d: overfitting.backtest_overfitting(trials(s, d), 6))
-query("a_overfitting_share")(lambda s, d: overfitting.overfitting_share(overfitting.backtest_overfitting(trials(s, d), 8)))
+query("a_overfitting_share")(lambda s, d: overfitting.overfitting_share(overfitting.backtest_overfitting(trials(s, d), 10)))
 
 
 def _fold_returns(spark, sf_dir) -> DataFrame:

@@ -151,6 +151,13 @@ def test_optimised_weights_are_of_the_names_chosen_at_each_rebalance(spark):
     assert np.allclose(pd.DataFrame([r.asDict() for r in rows]).groupby("rebalance")["w"].sum(), 1, atol=1e-4)
 
 
+def test_overfitting_share_takes_ten_blocks_and_win_share_a_thousand_draws(spark):
+    sf = "/root/testdata/sf0.001"
+    assert queries.QUERIES["a_overfitting_share"](spark, sf).first().combos == 252
+    shares = [r.share * 1000 for r in queries.QUERIES["b_win_share"](spark, sf).collect()]
+    assert sum(shares) == pytest.approx(1000) and any(round(x) % 5 for x in shares)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("A", 1, 1.0, 5)], "t string, k int, v double, d int")
     new = spark.createDataFrame([("A", 1, 9.0, 6), ("B", 1, 2.0, 8), ("B", 1, 3.0, 7), (None, 1, 4.0, 1)], "t string, k int, v double, d int")
