@@ -38,7 +38,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the files of tables that materialize wrote and that nothing will read any more."""
+    for path in {f._scratch for f in frames if f is not None and hasattr(f, "_scratch")}:
+        spark = frames[0].sparkSession if frames[0] is not None else SparkSession.active()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Rows and bytes that a Python task works on at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 22
+
+
+def sliced(batches):
+    """Record batches in slices of about SLICE_ROWS rows or SLICE_BYTES, so what a task holds besides is bounded by those and one text."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names made from those wanted that are not taken, whatever their case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def normalize_case(text: Column) -> Column:

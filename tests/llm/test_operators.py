@@ -139,9 +139,55 @@ def test_light_and_heavy_sets_find_the_same_pairs(boundary):
             assert np.intersect1d(plan.keys(a), plan.keys(b)).size
 
 
-def test_packed_sets_round_trip():
-    x = np.unique(np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64))
-    assert np.array_equal(ngram_join.unpack(ngram_join.pack(x)), (x >> np.uint64(24)) << np.uint64(24))
+def near_copies(rnd, n=150, words_=40):
+    """Copies of one text with one to five words replaced, and texts that share a long passage and no more."""
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    base = [rnd.choice(vocabulary) for _ in range(words_)]
+    rows = []
+    for k in range(n):
+        text = list(base)
+        for at in rnd.sample(range(words_), 1 + k % 5):
+            text[at] = rnd.choice(vocabulary)
+        rows.append(" ".join(text))
+    passage = " ".join(rnd.choice(vocabulary) for _ in range(30))
+    rows += [passage + " " + " ".join(rnd.choice(vocabulary) for _ in range(20)) for _ in range(60)]
+    return rows + rows[:10]
+
+
+@pytest.mark.parametrize(("short", "list_rows"), [(4, 8192), (64, 5)])
+def test_ngram_join_of_a_large_near_copy_group(spark, monkeypatch, short, list_rows):
+    """Lists longer than SHORT are split, lists longer than LIST_ROWS come in parts; the components are those of brute force."""
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", list_rows)
+    rows = list(enumerate(near_copies(random.Random(short))))
+    sets, find = brute_components([(i, t, None) for i, t in rows])
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in sets if got[i] != find(i)] == []
+    assert len({find(i) for i in range(150)}) > 5
+
+
+def test_sets_of_one_id_are_told_apart():
+    """Where different sets get equal ids, other ids are made."""
+    plan = ngram_join.Plan(np.zeros(0, np.uint64), 2, 75, 5)
+    x, y = np.array([1, 2], np.uint64), np.array([3, 4], np.uint64)
+    bitmap = np.zeros(16, np.uint64)
+    for tokens in (x, y):
+        bit = ngram_join.marks(tokens)[0] % 1024
+        bitmap[bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+    before = plan.identity(x), plan.identity(y)
+    plan.clashing.append(bitmap)
+    after = plan.identity(x), plan.identity(y)
+    assert before[0][0] != after[0][0] and after[0][0] != after[1][0] and before[0][1] == after[0][1]
+
+
+def test_near_copies_that_share_a_doc_id(spark):
+    """Rows are dropped by their own text: an unlinked text stays although another row of its doc_id goes."""
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, one), (2, one + " more"), (2, two), (2, two), (2, " "), (3, two + " more"), (None, one), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__doc_id": F.lit(1), "__id": F.lit(1)})
+    kept = ngram_join.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, one), (2, two), (2, " "), (None, one), (None, one)]))
 
 
 def test_components(spark):
