@@ -158,6 +158,7 @@ def near_copies(rnd, n=150, words_=40):
 def test_ngram_join_of_a_large_near_copy_group(spark, monkeypatch, short, list_rows):
     """Lists longer than SHORT are split, lists longer than LIST_ROWS come in parts; the components are those of brute force."""
     monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "SHORT_SPLIT", short + 1)
     monkeypatch.setattr(ngram_join, "LIST_ROWS", list_rows)
     rows = list(enumerate(near_copies(random.Random(short))))
     sets, find = brute_components([(i, t, None) for i, t in rows])
