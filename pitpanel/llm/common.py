@@ -55,8 +55,20 @@ def release(*frames: DataFrame | None) -> None:
 SLICE_ROWS, SLICE_BYTES = 1024, 1 << 22
 
 
-def sliced(batches):
+#: What a Python worker keeps from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str | None) -> dict:
+    """What this worker keeps for an operator; what it kept for others goes, as a worker serves one operator after another."""
+    for name in [k for k in _KEPT if k != operator]:
+        del _KEPT[name]
+    return _KEPT.setdefault(operator, {}) if operator else {}
+
+
+def sliced(batches, operator: str | None = None):
     """Record batches in slices of about SLICE_ROWS rows or SLICE_BYTES, so what a task holds besides is bounded by those and one text."""
+    kept_for(operator)
     for batch in batches:
         step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):

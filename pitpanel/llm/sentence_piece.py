@@ -190,14 +190,12 @@ class Model:
         return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def model(name: str) -> Model:
-    path = tokenizer_path(name)
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    """The model of that name, made once in a worker."""
+    path, kept = tokenizer_path(name), common.kept_for("sentence_piece")
+    if path not in kept:
+        kept[path] = Model(path)
+    return kept[path]
 
 
 def encode(docs: DataFrame, name: str = MODEL) -> DataFrame:
@@ -205,7 +203,7 @@ def encode(docs: DataFrame, name: str = MODEL) -> DataFrame:
 
     def run(batches):
         held = model(name)
-        for batch in batches:
+        for batch in common.sliced(batches, "sentence_piece"):
             ids = [held.encode(t) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -217,7 +215,7 @@ def decode(rows: DataFrame, name: str = MODEL) -> DataFrame:
 
     def run(batches):
         held = model(name)
-        for batch in batches:
+        for batch in common.sliced(batches, "sentence_piece"):
             texts = [held.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -233,7 +231,7 @@ def digests(docs: DataFrame, name: str = MODEL) -> DataFrame:
 
     def run(batches):
         held = model(name)
-        for batch in batches:
+        for batch in common.sliced(batches, "sentence_piece"):
             rows = [held.digest(t or "") for t in batch.column("text").to_pylist()]
             n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(

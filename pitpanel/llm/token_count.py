@@ -101,13 +101,12 @@ class Counter:
         return total
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    """The counter of a tokenizer file, made once in a worker."""
+    kept = common.kept_for("token_count")
+    if path not in kept:
+        kept[path] = Counter(path)
+    return kept[path]
 
 
 def tokenizer_path(name: str) -> str:
@@ -127,7 +126,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
 
     def run(batches):
         count = counter(tokenizer_path(tokenizer))
-        for batch in batches:
+        for batch in common.sliced(batches, "token_count"):
             texts = batch.column("text").to_pylist()
             tokens = [count(t) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -37,7 +37,7 @@ LEAST_RATIO = 5.0
 BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 5
 #: Words whose weights a task keeps at hand.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 
 _WORDS = re.compile(r"\w+").findall
 _SENTENCES = re.compile(r"[^.!?\n]+[.!?]*").finditer
@@ -154,7 +154,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             scores, spans = [], []
             for text in batch.column("text").to_pylist():
                 value, found = scorer.score(text or "")
@@ -174,7 +174,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
 def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns stay, in one pass without a join."""
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             at = batch.schema.get_field_index("text")
             keep = [scorer.score(t or "")[0] < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
