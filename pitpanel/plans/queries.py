@@ -15,6 +15,7 @@ from ..operators.asof import as_of
 from ..sources import panels
 from . import catalog
 from .expr import Tables, compile_all
+from .factor_sql import factor_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,7 +28,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with panels.shared():
+                return rounded(fn(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return fn
@@ -441,32 +446,66 @@ query("j_as_of", f"{_ASOF} SELECT ticker, date, calendardate, {r('netinc')} AS n
 def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices) -> Tables:
     """Windows count trading days, so prices are daily; monthly ones serve expressions without windows only."""
     quarterly = panels.filings(spark, sf_dir).withColumnRenamed("calendardate", "date")
-    held = panels.holdings(spark, sf_dir).withColumnRenamed("calendardate", "date")
-    quarterly = quarterly.join(held, ["ticker", "date"], "left")
+    for more in (panels.holdings(spark, sf_dir), panels.insiders(spark, sf_dir)):
+        quarterly = quarterly.join(more.withColumnRenamed("calendardate", "date"), ["ticker", "date"], "left")
     daily = prices(spark, sf_dir)
     market = daily.groupBy("idx").agg(F.avg("close").alias("c")).withColumn("r", safe_div(F.col("c"), ts.lag("c", 1, F.lit(1))) - 1)
-    return Tables(quarterly, daily, panels.descriptions(spark, sf_dir).select("ticker", "sector"), market, {"inst_shares": "inst_date", "inst_holders": "inst_date"})
+    return Tables(quarterly, daily, panels.descriptions(spark, sf_dir).select("ticker", "sector"), market, KNOWN)
+
+
+KNOWN = {"inst_shares": "inst_date", "inst_holders": "inst_date", "insider_net_shares": "insider_date"}
+#: Growth of a quarterly figure over daily values: refused as an error of grids, before any job.
+MIXED_GRIDS = {"DIVYIELD_GROWTH_QOQ", "DIVYIELD_GROWTH_YOY"}
+_QUARTER = "last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE))"
+_ROLLED = ", ".join(f"CASE WHEN count(mr) OVER w{n} >= {max(20, n // 2)} THEN stddev_samp(mr) OVER w{n} END AS ms{n}" for n in (60, 252))
+FACTOR_TABLES = f"""{FILINGS}, {META}, {BENCH},
+hd AS (SELECT 'S' || l_suppkey AS ticker, {_QUARTER} AS date, sum(l_quantity) AS inst_shares, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS inst_holders,
+  sum(l_quantity * CASE l_returnflag WHEN 'R' THEN -1 WHEN 'A' THEN 1 ELSE 0 END) AS insider_net_shares FROM lineitem GROUP BY 1, 2),
+q AS (SELECT f.ticker, f.calendardate AS date, f.idx, f.* EXCLUDE (ticker, calendardate, idx), hd.* EXCLUDE (ticker, date),
+  CAST(hd.date + 75 AS DATE) AS inst_date, CAST(hd.date + 3 AS DATE) AS insider_date, sector FROM f LEFT JOIN hd ON f.ticker = hd.ticker AND f.calendardate = hd.date LEFT JOIN meta ON f.ticker = meta.ticker),
+sd AS (SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS v, sum(l_quantity) AS q, max(l_extendedprice / l_quantity) AS u FROM lineitem GROUP BY 1, 2),
+s1 AS (SELECT t.ticker, b.date, b.idx, b.close AS m, floor(round(v, 2) / q * 1e4 + 0.501) / 1e4 AS c, floor(u * 1e4 + 0.501) / 1e4 AS u, q, round(v, 2) AS v
+  FROM b CROSS JOIN (SELECT DISTINCT ticker FROM sd) t LEFT JOIN sd ON sd.ticker = t.ticker AND sd.date = b.date),
+s2 AS (SELECT ticker, date, idx, floor(last_value(c / m IGNORE NULLS) OVER w * m * 1e4 + 0.501) / 1e4 AS close, last_value(u IGNORE NULLS) OVER w AS closeunadj,
+  CASE WHEN last_value(v IGNORE NULLS) OVER w IS NOT NULL THEN coalesce(q, 0.0) END AS volume, last_value(v IGNORE NULLS) OVER w AS mcap,
+  floor((0.3 * last_value(q IGNORE NULLS) OVER w + 100) * 1e2 + 0.501) / 1e2 AS short_interest FROM s1 WINDOW w AS (PARTITION BY ticker ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+m1 AS (SELECT idx, avg(close) AS c FROM s2 GROUP BY 1), m2 AS (SELECT idx, {div('c', 'lag(c) OVER (ORDER BY idx)')} - 1 AS mr FROM m1),
+m3 AS (SELECT *, {_ROLLED} FROM m2 WINDOW w60 AS (ORDER BY idx ROWS 59 PRECEDING), w252 AS (ORDER BY idx ROWS 251 PRECEDING)),
+d AS (SELECT s2.*, sector, mr, ms60, ms252 FROM s2 LEFT JOIN meta USING (ticker) JOIN m3 USING (idx))"""
+
+
+class _Columns:
+    """The columns of a grid by name, for the SQL of factors."""
 
+    def __init__(self, *columns: str):
+        self.columns = columns
 
-_NOT_HERE = {"INSIDER_NET_BUY", "SHORT_INT_CHG", "INST_SHORT_COMBO", "DIVYIELD_GROWTH_QOQ", "DIVYIELD_GROWTH_YOY"}
+
+LAYOUT = Tables(_Columns(*panels.FIELDS, "revenue", "netinc", "quantity", *KNOWN), _Columns("close", "closeunadj", "volume", "mcap", "short_interest"), known=KNOWN)
+
+
+def _wanted(names: list[str], scoring: bool) -> dict:
+    return {n: catalog.CATALOG[n].scoring() if scoring else catalog.CATALOG[n].expr for n in names}
 
 
 def _factor_query(names: list[str], scoring: bool = False, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices):
     def run(spark, sf_dir):
-        wanted = {n: catalog.CATALOG[n].scoring() if scoring else catalog.CATALOG[n].expr for n in names}
-        out = compile_all(factor_tables(spark, sf_dir, prices), wanted)
+        out = compile_all(factor_tables(spark, sf_dir, prices), _wanted(names, scoring))
         return out.unpivot(["ticker", "date"], names, "factor", "value").filter("value IS NOT NULL")
 
     return run
 
 
+def _factors(name: str, names: list[str], scoring: bool = False) -> None:
+    query(name, factor_sql(FACTOR_TABLES, LAYOUT, _wanted(names, scoring), r))(_factor_query(names, scoring))
+
+
 for _category in ("acceleration", "growth", "flow_proxy", "value_ev", "value_price", "price"):
-    _names = [n for n, x in catalog.CATALOG.items() if x.category == _category and n not in _NOT_HERE]
-    query(f"f_{_category}")(_factor_query(_names))
+    _factors(f"f_{_category}", [n for n, x in catalog.CATALOG.items() if x.category == _category and n not in MIXED_GRIDS])
 _quality = [n for n, x in catalog.CATALOG.items() if x.category == "quality"]
 for _k in range(0, len(_quality), 20):
-    query(f"f_quality_{_k // 20 + 1}")(_factor_query(_quality[_k : _k + 20]))
-query("f_scoring_value")(_factor_query(["PER", "PBR", "SIZE", "EV_EBITDA", "PRR"], True))
+    _factors(f"f_quality_{_k // 20 + 1}", _quality[_k : _k + 20])
+_factors("f_scoring_value", ["PER", "PBR", "SIZE", "EV_EBITDA", "PRR"], True)
 query(
     "f_per_pbr",
     f"""{FILINGS}, mli AS (SELECT 'S' || l_suppkey AS ticker, last_day(CAST(l_shipdate AS DATE)) AS date, round(sum(l_extendedprice), 2) AS mcap FROM lineitem GROUP BY 1, 2),

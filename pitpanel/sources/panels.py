@@ -6,6 +6,11 @@ spine of calendar x tickers with an ordinal, so that a window over ordinals step
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,50 +32,100 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CELLS: ContextVar[dict | None] = ContextVar("cells", default=None)
+
+
+@contextmanager
+def shared():
+    """Inside, a panel that is asked for again is not aggregated again."""
+    token = _CELLS.set({})
+    try:
+        yield
+    finally:
+        _CELLS.reset(token)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder; Spark's cleaner removes the files with the frame.
+
+    Where no folder is set, local mode takes a temporary one and a cluster one under the warehouse.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        local = context.master == "local" or context.master.startswith("local[")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="panels-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
+    return df.checkpoint()
+
+
+def _cells(name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The aggregated cells of a panel: the tables are read once, however often spine and cells are used after."""
+    held = _CELLS.get()
+    if held is None:
+        return kept(make())
+    if (name, sf_dir) not in held:
+        held[name, sf_dir] = kept(make())
+    return held[name, sf_dir]
+
+
 def _dense(cells: DataFrame, key: str, ordinal) -> DataFrame:
     """cells on every (key, ticker), with an ordinal; calendar and names are small beside the cells."""
     calendar = cells.select(key).distinct().withColumn("idx", ordinal)
-    spine = calendar.crossJoin(F.broadcast(cells.select("ticker").distinct()))
+    spine = calendar.crossJoin(cells.select("ticker").distinct())
     return spine.join(cells, [key, "ticker"], "left")
 
 
 def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (brand), date, idx, close, closeunadj, volume, mcap on a dense spine of trading dates."""
+    return _dense(_cells("daily", sf_dir, lambda: _brand_days(spark, sf_dir)), "date", F.row_number().over(Window.orderBy("date")))
+
+
+def _brand_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
         F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("volume"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("u")
     )
-    rows = rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), fixed(F.col("u"), 4).alias("closeunadj"), "volume", F.round("v", 2).alias("mcap"))
-    return _dense(rows, "date", F.row_number().over(Window.orderBy("date")))
+    return rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), fixed(F.col("u"), 4).alias("closeunadj"), "volume", F.round("v", 2).alias("mcap"))
 
 
 def supplier_daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker (supplier), date, idx, close, closeunadj, volume, mcap on a dense spine of trading dates.
+    """ticker (supplier), date, idx, close, closeunadj, volume, mcap, short_interest on a dense spine of trading dates.
 
-    A supplier trades on few dates: close, closeunadj and mcap stand until its next trade, volume is 0 in between. Before
-    its first trade all are NULL.
+    A supplier trades on few dates. In between its close moves with the close of all trade together, closeunadj, mcap
+    and short_interest stand and volume is 0. Before its first trade all are NULL.
     """
+    cells = _cells("supplier_daily", sf_dir, lambda: _supplier_days(spark, sf_dir))
+    market = cells.groupBy("date").agg(fixed(F.round(F.sum("v"), 2) / F.sum("volume"), 4).alias("__m"))
+    rows = _dense(cells.drop("v"), "date", F.row_number().over(Window.orderBy("date"))).join(market, "date")
+    past = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    last = {c: F.last(c, ignorenulls=True).over(past) for c in ("closeunadj", "mcap")}
+    close = fixed(F.last(F.col("close") / F.col("__m"), ignorenulls=True).over(past) * F.col("__m"), 4)
+    short = fixed(0.3 * F.last("volume", ignorenulls=True).over(past) + 100, 2)
+    volume = F.when(last["mcap"].isNotNull(), F.coalesce("volume", F.lit(0.0)))
+    return rows.withColumns(last | {"close": close, "short_interest": short, "volume": volume}).drop("__m")
+
+
+def _supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     rows = lines.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
         F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("volume"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("u")
     )
-    rows = rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), fixed(F.col("u"), 4).alias("closeunadj"), "volume", F.round("v", 2).alias("mcap"))
-    rows = _dense(rows, "date", F.row_number().over(Window.orderBy("date")))
-    past = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    last = {c: F.last(c, ignorenulls=True).over(past) for c in ("close", "closeunadj", "mcap")}
-    return rows.withColumns(last | {"volume": F.when(last["close"].isNotNull(), F.coalesce("volume", F.lit(0)))})
+    return rows.select("ticker", "date", "v", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), fixed(F.col("u"), 4).alias("closeunadj"), "volume", F.round("v", 2).alias("mcap"))
 
 
 def monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (supplier), date (month end), idx (month number), close, volume, mcap on a dense spine of months."""
+    cells = _cells("monthly", sf_dir, lambda: _supplier_months(spark, sf_dir))
+    return _dense(cells, "date", F.year("date") * 12 + F.month("date"))
+
+
+def _supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     rows = lines.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.last_day("l_shipdate").alias("date")).agg(
         F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("volume")
     )
-    rows = rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), "volume", F.round("v", 2).alias("mcap"))
-    return _dense(rows, "date", F.year("date") * 12 + F.month("date"))
+    return rows.select("ticker", "date", fixed(F.round("v", 2) / F.col("volume"), 4).alias("close"), "volume", F.round("v", 2).alias("mcap"))
 
 
 def quarter_end(date):
@@ -79,16 +134,20 @@ def quarter_end(date):
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (supplier), calendardate, idx (quarter number), datekey, revenue, netinc and the ruled fields; dense quarters."""
+    cells = _cells("filings", sf_dir, lambda: _supplier_quarters(spark, sf_dir))
+    return _dense(cells, "calendardate", F.year("calendardate") * 4 + F.quarter("calendardate"))
+
+
+def _supplier_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity", "l_returnflag")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     rows = lines.groupBy("l_suppkey", quarter_end(F.col("l_shipdate")).alias("calendardate")).agg(
         fixed(F.sum(net), 2).alias("revenue"), fixed(F.sum(net * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)), 2).alias("netinc"), F.sum("l_quantity").alias("quantity")
     )
     ruled = [fixed(a * F.col("revenue") + b * F.col("netinc") + c * F.col("quantity"), 2).alias(name) for name, (a, b, c) in FIELDS.items()]
-    rows = rows.select(
+    return rows.select(
         F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "calendardate", F.date_add("calendardate", (45 + F.col("l_suppkey") % 20).cast("int")).alias("datekey"), "revenue", "netinc", *ruled
     )
-    return _dense(rows, "calendardate", F.year("calendardate") * 4 + F.quarter("calendardate"))
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +158,14 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("inst_date", F.date_add("calendardate", 75))
 
 
+def insiders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker (supplier), calendardate, insider_date (3 days later), insider_net_shares: kept less returned quantities of a quarter."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_returnflag")
+    sign = F.when(F.col("l_returnflag") == "R", -1).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    rows = lines.groupBy(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), quarter_end(F.col("l_shipdate")).alias("calendardate"))
+    return rows.agg(F.sum(F.col("l_quantity") * sign).alias("insider_net_shares")).withColumn("insider_date", F.date_add("calendardate", 3))
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (customer), filingdate, shares (sold ones negative)."""
     sign = F.when(F.col("o_orderstatus") == "F", -1).otherwise(1)
