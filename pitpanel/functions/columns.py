@@ -51,6 +51,14 @@ def fixed(v: Column, places: int) -> Column:
     return F.when(F.abs(v) < 9e18 / 10**places, F.floor(v * float(10**places) + 0.501) / float(10**places)).otherwise(v)
 
 
+def significant(v: Column, digits: int = 6) -> Column:
+    """v to so many significant digits (and no finer than 1e-10), just under half going up, as in fixed."""
+    k = F.least(F.lit(digits - 1) - F.floor(F.log10(F.abs(v))), F.lit(10))
+    power = F.pow(F.lit(10.0), F.abs(k))
+    rounded = F.when(k >= 0, F.floor(v * power + 0.501) / power).otherwise(F.floor(v / power + 0.501) * power)
+    return F.when((v == 0) | (F.abs(v) > 1e18), v).otherwise(rounded)
+
+
 def clipped(v: Column, lo: Column, hi: Column) -> Column:
     """v between lo and hi; NULL stays NULL."""
     return F.when(v.isNotNull(), F.greatest(F.least(v, hi), lo))

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import average_rank, clipped, normal_quantile, percent_rank, safe_div
 
@@ -67,24 +66,39 @@ def neutral_groups_and_size(panel: DataFrame, v: str, group: str, size: str, by:
 def neutral(panel: DataFrame, v: str, groups: list[str], controls: list[str], by: str = "date", out: str = "neutral") -> DataFrame:
     """Residual of least squares on an intercept, dummies of several groupings and controls, date by date.
 
-    A date's cross-section (names, not history) is what one call holds.
+    The first grouping is taken out by its means (Frisch-Waugh), the others become 0/1 columns (their values are few and
+    read first). Each date's normal equations are sums, so only that small system is solved in Python.
     """
-    schema = T.StructType([*panel.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.ones((len(rows), 1))]
-        for g in groups:
-            values = sorted(rows[g].dropna().unique())[1:]
-            parts.append(np.column_stack([(rows[g] == x).to_numpy(float) for x in values]) if values else np.zeros((len(rows), 0)))
-        parts.append(rows[controls].to_numpy(float) if controls else np.zeros((len(rows), 0)))
-        x, y = np.hstack(parts), rows[v].to_numpy(float)
-        ok = np.isfinite(x).all(axis=1) & np.isfinite(y) & rows[groups].notna().all(axis=1).to_numpy()
-        res = np.full(len(rows), np.nan)
-        if ok.sum() >= x.shape[1] + 1:
-            res[ok] = y[ok] - x[ok] @ np.linalg.lstsq(x[ok], y[ok], rcond=None)[0]
-        return rows.assign(**{out: pd.Series(res, index=rows.index).where(np.isfinite(res), None)})
-
-    return panel.groupBy(by).applyInPandas(fit, schema)
+    first, *others = groups
+    dummies = [(g, x) for g in others for x in sorted(r[0] for r in panel.select(g).filter(F.col(g).isNotNull()).distinct().collect())[1:]]
+    xs = [F.col(c).cast("double") for c in controls] + [(F.col(g) == x).cast("double") for g, x in dummies]
+    known = F.col(v).isNotNull()
+    for c in [*groups, *controls]:
+        known = known & F.col(c).isNotNull()
+    inside = Window.partitionBy(by, first)
+    names = ["__y", *[f"__x{k}" for k in range(len(xs))]]
+    rows = panel.withColumns({name: F.when(known, x) for name, x in zip(names, [F.col(v).cast("double"), *xs], strict=True)})
+    rows = rows.withColumns({name: F.col(name) - F.avg(name).over(inside) for name in names})
+    pairs = [(i, j) for i in range(len(names)) for j in range(max(i, 1), len(names))]
+    sums = rows.groupBy(by).agg(
+        (F.count("__y") >= F.count_distinct(first) + len(xs) + 1).alias("__enough"), F.array(*[F.coalesce(F.sum(F.col(names[i]) * F.col(names[j])), F.lit(0.0)) for i, j in pairs]).alias("__sums")
+    )
+
+    def solve(batches):
+        for batch in batches:
+            found = []
+            for values in batch["__sums"]:
+                m = np.zeros((len(names), len(names)))
+                for (i, j), x in zip(pairs, values, strict=True):
+                    m[i, j] = m[j, i] = x
+                scale = np.sqrt(np.where(np.diag(m)[1:] > 0, np.diag(m)[1:], 1.0))
+                found.append((np.linalg.lstsq(m[1:, 1:] / np.outer(scale, scale), m[0, 1:] / scale, rcond=None)[0] / scale).tolist())
+            yield pd.DataFrame({"__by": batch["__by"], "__enough": batch["__enough"], "__slopes": found})
+
+    solved = sums.withColumnRenamed(by, "__by").mapInPandas(solve, f"__by {dict(panel.dtypes)[by]}, __enough boolean, __slopes array<double>")
+    rows = rows.join(solved, F.col(by).eqNullSafe(F.col("__by")))
+    fitted = sum((F.col(name) * F.col("__slopes")[k] for k, name in enumerate(names[1:])), F.lit(0.0))
+    return rows.withColumn(out, F.when(F.col("__enough"), F.col("__y") - fitted)).select(*panel.columns, out)
 
 
 def composite(scores: DataFrame, weights: dict[str, float], coverage: float = 0.5, by: tuple[str, ...] = ("date", "ticker")) -> DataFrame:

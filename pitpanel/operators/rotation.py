@@ -128,9 +128,16 @@ def mean_reversion(series: DataFrame, rows: int = 60, steps: int = 21, dt: float
 
 
 def win_share(fits: DataFrame, draws: int = 1000, steps: int = 21, dt: float = 1 / 252, seed: int = 0) -> DataFrame:
-    """ticker, share: how often a name's simulated end value is the largest. End values follow their closed form, one draw each."""
-    runs = fits.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(fits))
+    """ticker, share: how often a name's simulated end value is the largest. End values follow their closed form, one draw each.
+
+    A draw depends on seed, number and ticker alone (Box-Muller on digits of a digest), so any partitioning gives the same.
+    """
+    def uniform(k: int) -> Column:
+        digest = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("draw").cast("string"), F.col("ticker"), F.lit(str(k))).cast("binary"))
+        return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+
+    runs = fits.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(fits.filter("theta IS NOT NULL"))
     fade = F.exp(-F.col("theta") * steps * dt)
     sd = F.col("sigma") * F.sqrt((1 - fade * fade) / (2 * F.col("theta")))
-    runs = runs.withColumn("v", F.col("mu") + (F.col("last") - F.col("mu")) * fade + sd * F.randn(seed))
+    runs = runs.withColumn("v", F.col("mu") + (F.col("last") - F.col("mu")) * fade + sd * F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * F.pi() * uniform(1)))
     return runs.groupBy("draw").agg(F.max_by("ticker", F.struct("v", "ticker")).alias("ticker")).groupBy("ticker").agg((F.count("*") / draws).alias("share"))

@@ -93,11 +93,11 @@ def _column(e: Expr, args: list[str]) -> str:
     return f"CASE WHEN {a} IS NOT NULL THEN CAST({a} {_SIGNS[e.name]} AS INT)::DOUBLE END"
 
 
-class _Grid:
+class Grid:
     """The columns wanted on one grid: steps of SELECTs that each read the one before."""
 
     def __init__(self, name: str, names: dict[str, str] | None = None):
-        self.name, self.names, self.steps = name, dict(names or {}), []
+        self.name, self.names, self.steps, self.depth = name, dict(names or {}), [], {}
 
     def _put(self, depth: int, sql: str) -> str:
         while len(self.steps) < depth:
@@ -128,7 +128,6 @@ class _Grid:
         self.names[text], self.depth[text] = column, depth
         return column, depth
 
-    depth: dict[str, int]
 
     def sql(self) -> str:
         out, last = "", self.name
@@ -157,8 +156,7 @@ def factor_sql(tables: str, layout: Tables, wanted: dict[str, Expr], value) -> s
 
     for e in wanted.values():
         boundary(e)
-    q = _Grid("q")
-    q.depth = {}
+    q = Grid("q")
     columns = {text: q.add(e)[0] for text, e in promoted.items()}
     out = tables + q.sql()
     names, last = {}, "d"
@@ -171,8 +169,7 @@ def factor_sql(tables: str, layout: Tables, wanted: dict[str, Expr], value) -> s
         out += f",\nk{k} AS (SELECT ticker AS kt, {known} AS known, " + ", ".join(f"{columns[t]} AS {c}" for t, c in carry.items()) + f" FROM {q.last} WHERE known IS NOT NULL)"
         out += f",\nj{k} AS (SELECT {last}.*, " + ", ".join(f"k{k}.{c}" for c in carry.values()) + f" FROM {last} ASOF LEFT JOIN k{k} ON {last}.ticker = k{k}.kt AND {last}.date >= k{k}.known)"
         names, last = names | carry, f"j{k}"
-    d = _Grid("d", names)
-    d.depth = {}
+    d = Grid("d", names)
     found = {k: d.add(e)[0] for k, e in wanted.items()}
     d.name, steps = "d", d.sql().replace(" FROM d)", f" FROM {last})", 1)
     last = d.last if d.steps else last

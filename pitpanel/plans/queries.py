@@ -8,29 +8,30 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, fixed, normal_quantile, percent_rank, safe_div
+from ..functions.columns import average_rank, fixed, normal_quantile, percent_rank, safe_div, significant
 from ..operators import backtest, crosssection, overfitting, portfolio, risk, rotation, search, store, universe
 from ..operators import timeseries as ts
 from ..operators.asof import as_of
 from ..sources import panels
 from . import catalog
-from .expr import Tables, compile_all
-from .factor_sql import factor_sql
+from .expr import Tables, compile_all, fields
+from .factor_sql import Grid, factor_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to a fixed number of places, since sums depend on the order of their terms."""
-    return df.select(*[fixed(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, places: int | None = None) -> DataFrame:
+    """Doubles to six significant digits or a number of places, since sums depend on the order of their terms."""
+    round_ = significant if places is None else (lambda v: fixed(v, places))
+    return df.select(*[round_(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, places: int | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             with panels.shared():
-                return rounded(fn(spark, sf_dir))
+                return rounded(fn(spark, sf_dir), places)
 
         QUERIES[name] = run
         if sql:
@@ -40,14 +41,27 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def r(x: str, places: int = 6) -> str:
-    return f"floor(({x}) * 1e{places} + 0.501) / 1e{places}"
+def r(x: str, places: int | None = None) -> str:
+    """SQL of `rounded`."""
+    if places is not None:
+        return f"floor(({x}) * 1e{places} + 0.501) / 1e{places}"
+    k = "CAST(least(5 - floor(log10(abs(v))), 10) AS INT)"
+    each = f"CASE WHEN v IS NULL OR v = 0 OR abs(v) > 1e18 THEN v WHEN {k} >= 0 THEN floor(v * pow(10.0, {k}) + 0.501) / pow(10.0, {k}) ELSE floor(v / pow(10.0, -{k}) + 0.501) * pow(10.0, -{k}) END"
+    return f"list_transform([CAST(({x}) AS DOUBLE)], lambda v: {each})[1]"
 
 
 def div(a: str, b: str) -> str:
     return f"(CASE WHEN abs({b}) > 1e-9 THEN ({a}) / ({b}) END)"
 
 
+def normal(p: str) -> str:
+    """SQL of the normal quantile: Newton steps on a rational start, with the distribution function by its series."""
+    start = "CASE WHEN p < 0.5 THEN -1 ELSE 1 END * list_transform([sqrt(-2 * ln(least(p, 1 - p)))], lambda t: t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t))[1]"
+    cdf = f"(0.5 + list_reduce(list_prepend({{t: z, s: z, x: z}}, list_transform(range(1, 80), lambda n: {{t: 0.0 + n, s: 0.0, x: 0.0}})), lambda a, b: {{t: a.t * a.x * a.x / (2 * b.t + 1), s: a.s + a.t * a.x * a.x / (2 * b.t + 1), x: a.x}}).s * exp(-z * z / 2) / sqrt(2 * pi()))"
+    step = f"list_reduce([{start}, 0.0, 0.0, 0.0, 0.0, 0.0], lambda z, o: z - ({cdf} - p) * sqrt(2 * pi()) * exp(z * z / 2))"
+    return f"list_transform([CAST(({p}) AS DOUBLE)], lambda p: {step})[1]"
+
+
 DAILY = """WITH li AS (
   SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS v, sum(l_quantity) AS q, max(l_extendedprice / l_quantity) AS u
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
@@ -108,6 +122,7 @@ query("src_benchmark", f"WITH {BENCH} SELECT date, idx, {r('close')} AS close FR
     """SELECT 'C' || o_custkey AS ticker, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS calendardate,
        round(sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * o_totalprice), 2) AS shares,
        CAST(last_day(CAST(date_trunc('quarter', any_value(o_orderdate)) + INTERVAL 2 MONTH AS DATE)) + 3 AS DATE) AS datekey FROM orders GROUP BY 1, 2""",
+    places=2,
 )
 def insider_quarters(spark, sf_dir):
     return store.quarterly_transactions(panels.transactions(spark, sf_dir), panels.quarter_end)
@@ -198,7 +213,11 @@ def w_beta(spark, sf_dir):
     return ts.beta(with_returns(panels.daily_prices(spark, sf_dir)), market, 60).select("ticker", "date", F.col("beta").alias("value"))
 
 
-@query("w_rsi")
+_RSI = Grid("p")
+_RSI_COLUMN = _RSI.add(fields.close.rsi(14))[0]
+
+
+@query("w_rsi", f"{DAILY}{_RSI.sql()} SELECT ticker, date, {r(_RSI_COLUMN)} AS value FROM {_RSI.last}")
 def w_rsi(spark, sf_dir):
     return ts.wilder_rsi(panels.daily_prices(spark, sf_dir), "close", 14).select("ticker", "date", F.col("rsi").alias("value"))
 
@@ -366,13 +385,24 @@ SELECT ticker, date, {r('CASE WHEN k >= g + 2 THEN yy - coalesce(slope, 0.0) * x
 )(lambda s, d: crosssection.neutral_groups_and_size(described(s, d), "close", "sector", "mcap").select("ticker", "date", F.col("neutral").alias("value")))
 
 
-@query("x_neutral_general")
+@query(
+    "x_neutral_general",
+    f"""{_SCORED}, y AS (SELECT *, CASE WHEN mcap > 0 THEN ln(mcap) END AS size, count(DISTINCT sector) OVER (PARTITION BY date) AS g FROM x),
+k AS (SELECT *, close IS NOT NULL AND sector IS NOT NULL AND size IS NOT NULL AND volume IS NOT NULL AS ok FROM y),
+c AS (SELECT ticker, date, g, close - avg(close) OVER w AS yy, size - avg(size) OVER w AS a, volume - avg(volume) OVER w AS b FROM k WHERE ok WINDOW w AS (PARTITION BY date, sector)),
+m AS (SELECT *, count(*) OVER w AS n, sum(a * a) OVER w AS aa, sum(a * b) OVER w AS ab, sum(b * b) OVER w AS bb, sum(a * yy) OVER w AS ay, sum(b * yy) OVER w AS vy FROM c WINDOW w AS (PARTITION BY date))
+SELECT x.ticker, x.date, {r('CASE WHEN n >= g + 3 THEN yy - a * (ay * bb - vy * ab) / (aa * bb - ab * ab) - b * (vy * aa - ay * ab) / (aa * bb - ab * ab) END', 6)} AS value FROM x LEFT JOIN m USING (ticker, date)""",
+    places=6,
+)
 def x_neutral_general(spark, sf_dir):
     rows_ = described(spark, sf_dir).withColumn("size", F.when(F.col("mcap") > 0, F.ln("mcap")))
     return crosssection.neutral(rows_, "close", ["sector"], ["size", "volume"]).select("ticker", "date", F.col("neutral").alias("value"))
 
 
-@query("x_rank_normalised")
+@query(
+    "x_rank_normalised",
+    f"{_SCORED}, y AS (SELECT ticker, date, CASE WHEN mcap IS NOT NULL THEN greatest(least({_pct('mcap', 'date')} - 0.5 / count(mcap) OVER (PARTITION BY date), 1 - 1e-6), 1e-6) END AS p FROM x) SELECT ticker, date, CASE WHEN p IS NOT NULL THEN {r(normal('p'))} END AS value FROM y",
+)
 def x_rank_normalised(spark, sf_dir):
     return described(spark, sf_dir).select("ticker", "date", crosssection.rank_normalised("mcap").alias("value"))
 
@@ -429,7 +459,16 @@ SELECT a.date, {r('1 - count(b.ticker) / count(*)::DOUBLE')} AS turnover FROM m
 )(lambda s, d: crosssection.membership_turnover(scored_returns(s, d).filter("score IS NOT NULL AND fwd IS NOT NULL").withColumn("q", crosssection.bucket("score", 5)).filter("q = 5").select("date", "idx", "ticker")))
 
 
-@query("a_ic_decay")
+def _decay(h: int) -> str:
+    ic = _IC.replace("lead(close, 2)", f"lead(close, {1 + h})")
+    ratio = div("avg(ic)", "stddev_samp(ic)")
+    return (
+        f"{ic} SELECT {r('avg(ic)')} AS mean_ic, {r('stddev_samp(ic)')} AS std_ic, {r(ratio)} AS ic_ir, {r(f'{ratio} * sqrt(greatest(count(ic) / {h}.0, 2.0))')} AS t, "
+        f"{r('avg(CASE WHEN ic IS NOT NULL THEN CAST(ic > 0 AS INT) END)')} AS hit_rate, count(ic) AS n, {h} AS horizon FROM ic"
+    )
+
+
+@query("a_ic_decay", "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(map(_decay, (1, 3, 6))) + ")")
 def a_ic_decay(spark, sf_dir):
     rows_ = [crosssection.ic_summary(crosssection.rank_ic(scored_returns(spark, sf_dir, h)), h).withColumn("horizon", F.lit(h)) for h in (1, 3, 6)]
     return rows_[0].unionByName(rows_[1]).unionByName(rows_[2])
@@ -536,14 +575,14 @@ _HALVES = """WITH t AS (SELECT 'C' || o_custkey AS ticker, last_day(CAST(date_tr
   round(sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * o_totalprice), 2) AS shares, max(CAST(o_orderdate AS DATE)) AS datekey FROM orders GROUP BY 1, 2),
 old AS (SELECT * FROM t WHERE calendardate < DATE '1998-01-01'), new AS (SELECT ticker, calendardate, shares * 2 AS shares, datekey FROM t WHERE calendardate >= DATE '1997-06-01')"""
 _KEYS = ["ticker", "calendardate"]
-query("k_insert_first", f"{_HALVES} SELECT ticker, calendardate, {r('shares', 2)} AS shares, datekey FROM old UNION ALL SELECT ticker, calendardate, {r('shares', 2)}, datekey FROM new ANTI JOIN old USING (ticker, calendardate)")(
-    lambda s, d: rounded(store.insert_first(*_halves(s, d), _KEYS, ["datekey"]), 2)
+query("k_insert_first", f"{_HALVES} SELECT ticker, calendardate, {r('shares', 2)} AS shares, datekey FROM old UNION ALL SELECT ticker, calendardate, {r('shares', 2)}, datekey FROM new ANTI JOIN old USING (ticker, calendardate)", places=2)(
+    lambda s, d: store.insert_first(*_halves(s, d), _KEYS, ["datekey"])
 )
-query("k_merge_fields", f"{_HALVES} SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(o.calendardate, n.calendardate) AS calendardate, {r('coalesce(n.shares, o.shares)', 2)} AS shares, o.datekey FROM old o FULL JOIN new n ON o.ticker = n.ticker AND o.calendardate = n.calendardate")(
-    lambda s, d: rounded(store.merge_fields(*_halves(s, d), _KEYS, ["shares"], ["datekey"]), 2)
+query("k_merge_fields", f"{_HALVES} SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(o.calendardate, n.calendardate) AS calendardate, {r('coalesce(n.shares, o.shares)', 2)} AS shares, o.datekey FROM old o FULL JOIN new n ON o.ticker = n.ticker AND o.calendardate = n.calendardate", places=2)(
+    lambda s, d: store.merge_fields(*_halves(s, d), _KEYS, ["shares"], ["datekey"])
 )
-query("k_replace_events", f"{_HALVES} SELECT ticker, calendardate, {r('shares', 2)} AS shares, datekey FROM old ANTI JOIN new USING (ticker, calendardate) UNION ALL SELECT ticker, calendardate, {r('shares', 2)}, datekey FROM new")(
-    lambda s, d: rounded(store.replace_events(*_halves(s, d), _KEYS, ["datekey"]), 2)
+query("k_replace_events", f"{_HALVES} SELECT ticker, calendardate, {r('shares', 2)} AS shares, datekey FROM old ANTI JOIN new USING (ticker, calendardate) UNION ALL SELECT ticker, calendardate, {r('shares', 2)}, datekey FROM new", places=2)(
+    lambda s, d: store.replace_events(*_halves(s, d), _KEYS, ["datekey"])
 )
 _ADJUSTED = f"{DAILY}, o AS (SELECT ticker, date, close FROM p WHERE close > 0), n AS (SELECT ticker, date, CASE WHEN ticker LIKE '%1' THEN close * 0.5 WHEN ticker LIKE '%2' THEN close * (1 + idx % 7) ELSE close END AS close FROM p WHERE close IS NOT NULL), fa AS (SELECT ticker, avg(n.close / o.close) AS factor FROM o JOIN n USING (ticker, date) GROUP BY 1 HAVING stddev_pop(n.close / o.close) <= 1e-4 AND abs(avg(n.close / o.close) - 1) > 1e-4)"
 
@@ -603,7 +642,14 @@ def u_profitable(spark, sf_dir):
     return universe.members(p, universe.Universe(profitable=True)).select("ticker", "date", "netinc")
 
 
-@query("u_distress")
+_DISTRESS = factor_sql(
+    FACTOR_TABLES.replace("\nd AS (", "\nd_daily AS (").replace("WITH fl", MONTHLY + ", fl", 1)
+    + ",\nd AS (SELECT p.*, sector FROM p LEFT JOIN meta USING (ticker))",
+    LAYOUT, {"altman_z": catalog.altman_z()}, lambda v: v,
+)
+
+
+@query("u_distress", f"SELECT p.ticker, p.date, p.idx, {r('value')} AS altman_z FROM ({MONTHLY} SELECT * FROM p) p LEFT JOIN ({_DISTRESS}) USING (ticker, date) WHERE coalesce(value >= 1.81, true)")
 def u_distress(spark, sf_dir):
     z = compile_all(factor_tables(spark, sf_dir, panels.monthly_prices), {"altman_z": catalog.altman_z()})
     return universe.members(z, universe.Universe(without_distress=True))
@@ -639,7 +685,13 @@ query(
 query("b_inverse_volatility", f"{MONTHLY}{MRET}, i AS (SELECT CAST(year(date) AS INT) AS year, ticker, {div('1.0', 'stddev_samp(r)')} AS v FROM pr GROUP BY 1, 2), j AS (SELECT year, ticker, coalesce(v, avg(v) OVER (PARTITION BY year)) AS v FROM i) SELECT year, ticker, {r('v / sum(v) OVER (PARTITION BY year)')} AS w FROM j")(
     lambda s, d: portfolio.inverse_volatility(monthly_returns(s, d).withColumn("year", F.year("date")), "year")
 )
-query("b_capped")(lambda s, d: portfolio.capped(portfolio.value_weights(panels.monthly_prices(s, d).filter("mcap > 0")), 0.03).select("date", "ticker", "w"))
+query(
+    "b_capped",
+    f"""{MONTHLY}, w AS (SELECT date, ticker, mcap / sum(mcap) OVER (PARTITION BY date) AS w FROM p WHERE mcap > 0),
+k AS (SELECT *, row_number() OVER o - 1 AS k, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, count(*) OVER (PARTITION BY date) AS n FROM w WINDOW o AS (PARTITION BY date ORDER BY w DESC, ticker)),
+s AS (SELECT date, min(k) AS k FROM k WHERE w * (1 - k * 0.03) / rest <= 0.03 + 1e-15 GROUP BY 1), f AS (SELECT k.date, k.k AS first, (1 - k.k * 0.03) / rest AS scale FROM k JOIN s ON s.date = k.date AND s.k = k.k)
+SELECT k.date, ticker, {r('CASE WHEN n * 0.03 <= 1 THEN 1.0 / n WHEN k < first THEN 0.03 ELSE w * scale END')} AS w FROM k LEFT JOIN f USING (date)""",
+)(lambda s, d: portfolio.capped(portfolio.value_weights(panels.monthly_prices(s, d).filter("mcap > 0")), 0.03).select("date", "ticker", "w"))
 
 
 def month_calendar(spark, sf_dir) -> DataFrame:
@@ -664,7 +716,13 @@ query(
 a AS (SELECT product(1 + ret) - 1 AS total, pow(product(1 + ret), 12.0 / count(ret)) - 1 AS cagr, stddev_samp(ret) * sqrt(12.0) AS vol, stddev_samp(CASE WHEN ret < 0 THEN ret END) * sqrt(12.0) AS dn, avg(ret) * 12 - 0.05 AS ex, min(dd) AS mdd, avg(turnover) AS tv, count(turnover) AS n FROM d)
 SELECT {r('total')} AS total, {r('cagr')} AS cagr, {r('vol')} AS vol, {r('ex / vol')} AS sharpe, {r('ex / dn')} AS sortino, {r('mdd')} AS max_drawdown, {r('cagr / abs(mdd)')} AS calmar, {r('tv')} AS turnover, n AS rebalances FROM a""",
 )(lambda s, d: backtest.stats(book(s, d), 12))
-query("b_band")(lambda s, d: backtest.with_band(scores(s, d).withColumn("score", F.round("score", 9)).join(F.broadcast(month_calendar(s, d)), "date"), 10, 1.5))
+query(
+    "b_band",
+    f"""{_TOP.replace("WITH ", "WITH RECURSIVE ", 1)}, cd AS (SELECT idx, row_number() OVER (ORDER BY idx) AS k, list(ticker ORDER BY rank) AS names FROM tp WHERE rank <= 15 GROUP BY idx),
+fo AS (SELECT k, idx, names[1:10] AS held FROM cd WHERE k = 1 UNION ALL
+  SELECT cd.k, cd.idx, (list_filter(names, lambda t: list_contains(held, t))[1:10] || list_filter(names, lambda t: NOT list_contains(held, t)))[1:10] FROM fo JOIN cd ON cd.k = fo.k + 1)
+SELECT idx, unnest(held) AS ticker FROM fo""",
+)(lambda s, d: backtest.with_band(scores(s, d).withColumn("score", F.round("score", 9)).join(F.broadcast(month_calendar(s, d)), "date"), 10, 1.5))
 
 
 def _windowed(spark, sf_dir) -> DataFrame:
@@ -711,7 +769,15 @@ query("b_rotation_overlay", f"{_ROT}, {BENCH}, ma AS (SELECT *, CASE WHEN count(
 )
 
 
-@query("b_rotation_tranches")
+def _late(k: int) -> str:
+    """_ROT with momentum from closes of 5 k rows before, returns as they are."""
+    late = f"(SELECT ticker, CAST(year(date) * 12 + month(date) AS INT) AS idx, max_by(c, date) AS close FROM (SELECT *, {'lag(close, ' + str(5 * k) + ') OVER ' + W1 if k else 'close'} AS c FROM p) WHERE c IS NOT NULL GROUP BY 1, 2)"
+    plain = f"sg AS (SELECT l.ticker, l.idx, l.mom, o.r FROM (SELECT *, {_13612} AS mom FROM {late}) l JOIN (SELECT *, {div('close', f'lag(close) OVER {W1}')} - 1 AS r FROM me) o USING (ticker, idx)), "
+    a, b = _ROT.index("sg AS ("), _ROT.index("nd AS (")
+    return f"SELECT {k} AS sleeve, idx, ret FROM ({_ROT[:a]}{plain}{_ROT[b:]} SELECT * FROM rs)"
+
+
+@query("b_rotation_tranches", f"SELECT idx, {r('avg(ret)')} AS ret FROM ({' UNION ALL '.join(map(_late, range(4)))}) GROUP BY idx HAVING count(*) = 4")
 def b_rotation_tranches(spark, sf_dir):
     daily = panels.daily_prices(spark, sf_dir)
     plain = rotation_signals(spark, sf_dir)
@@ -724,12 +790,27 @@ def b_rotation_tranches(spark, sf_dir):
     return rotation.tranches(sleeves, 4)
 
 
-@query("b_mean_reversion")
+_OU = f"""{DAILY}, s AS (SELECT ticker, idx, ln(close) AS v, row_number() OVER (PARTITION BY ticker ORDER BY idx DESC) AS n FROM p WHERE close IS NOT NULL),
+x AS (SELECT *, lead(v) OVER (PARTITION BY ticker ORDER BY idx) AS y FROM s WHERE n <= 60),
+f AS (SELECT ticker, greatest(least(regr_slope(y, v), 1 - 1e-6), 1e-6) AS b, regr_intercept(y, v) AS a, regr_syy(y, v) AS syy, regr_sxy(y, v) AS sxy, regr_count(y, v) AS n, arg_max(v, idx) AS last FROM x GROUP BY 1),
+g AS (SELECT *, -ln(b) * 252 AS theta, a / (1 - b) AS mu, sqrt(greatest(syy - b * sxy, 0) / greatest(n - 2, 1)) AS left_ FROM f),
+ou AS (SELECT ticker, theta, mu, left_ * sqrt(2 * theta / (1 - b * b)) AS sigma, last, mu + (last - mu) * exp(-theta * 21 / 252) AS forecast FROM g)"""
+
+
+@query("b_mean_reversion", f"{_OU} SELECT ticker, {r('theta')} AS theta, {r('mu')} AS mu, {r('sigma')} AS sigma, {r('last')} AS last, {r('forecast')} AS forecast, {r('forecast - last')} AS delta FROM ou")
 def b_mean_reversion(spark, sf_dir):
     return rotation.mean_reversion(panels.daily_prices(spark, sf_dir).select("ticker", "idx", F.ln("close").alias("v")))
 
 
-@query("b_win_share")
+_DRAW = lambda k: f"(CAST('0x' || substr(md5('0-' || draw || '-' || ticker || '-{k}'), 1, 12) AS BIGINT) + 0.5) / pow(2.0, 48)"
+
+
+@query(
+    "b_win_share",
+    f"""{_OU}, z AS (SELECT draw, ou.*, sqrt(-2 * ln({_DRAW(0)})) * cos(2 * pi() * {_DRAW(1)}) AS e, exp(-theta * 21 / 252) AS fade FROM ou CROSS JOIN range(1000) t(draw)),
+v AS (SELECT draw, arg_max(ticker, (mu + (last - mu) * fade + sigma * sqrt((1 - fade * fade) / (2 * theta)) * e, ticker)) AS ticker FROM z WHERE theta IS NOT NULL GROUP BY 1)
+SELECT ticker, {r('count(*) / 1000.0')} AS share FROM v GROUP BY 1""",
+)
 def b_win_share(spark, sf_dir):
     return rotation.win_share(b_mean_reversion(spark, sf_dir))
 
@@ -768,7 +849,14 @@ be AS (SELECT combo, config FROM (SELECT *, row_number() OVER (PARTITION BY comb
 om AS (SELECT combo, config, (rank() OVER (PARTITION BY combo ORDER BY sharpe) + (count(*) OVER (PARTITION BY combo, sharpe) - 1) / 2.0) / (count(*) OVER (PARTITION BY combo) + 1) AS omega FROM sh WHERE NOT inside)
 SELECT CAST(combo AS INT) AS combo, config, {r('omega')} AS omega, {r('ln(omega / (1 - omega))')} AS logit FROM om SEMI JOIN be USING (combo, config)""",
 )(lambda s, d: overfitting.backtest_overfitting(trials(s, d), 6))
-query("a_overfitting_share")(lambda s, d: overfitting.overfitting_share(overfitting.backtest_overfitting(trials(s, d), 10)))
+_SHARE = f"""{_BLOCKS.replace("n // 6", "n // 10").replace("n % 6", "n % 10")}, mom AS (SELECT block, config, count(r) AS n, sum(r) AS s, sum(r * r) AS ss FROM bl GROUP BY 1, 2),
+cb AS (SELECT combo FROM range(1024) t(combo) WHERE bit_count(combo) = 5),
+sm AS (SELECT combo, config, (combo >> block) & 1 = 1 AS inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM cb, mom GROUP BY 1, 2, 3),
+sh AS (SELECT *, round(coalesce({div('s / n', 'sqrt(greatest((ss - n * (s / n) * (s / n)) / (n - 1), 0.0))')}, 0.0), 12) AS sharpe FROM sm),
+be AS (SELECT combo, config FROM (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY sharpe DESC, config) AS k FROM sh WHERE inside) WHERE k = 1),
+om AS (SELECT combo, config, (rank() OVER (PARTITION BY combo ORDER BY sharpe) + (count(*) OVER (PARTITION BY combo, sharpe) - 1) / 2.0) / (count(*) OVER (PARTITION BY combo) + 1) AS omega FROM sh WHERE NOT inside)
+SELECT {r('avg(CAST(ln(omega / (1 - omega)) < 0 AS INT))')} AS pbo, count(*) AS combos FROM om SEMI JOIN be USING (combo, config)"""
+query("a_overfitting_share", _SHARE)(lambda s, d: overfitting.overfitting_share(overfitting.backtest_overfitting(trials(s, d), 10)))
 
 
 def _fold_returns(spark, sf_dir) -> DataFrame:
@@ -788,7 +876,12 @@ query("b_walk_forward", f"{_WF} SELECT CAST(fo.fold AS INT) AS fold, date, {r('a
 )
 
 
-@query("b_weight_grid")
+@query(
+    "b_weight_grid",
+    f"""{_TR}, cb AS (SELECT row_number() OVER (ORDER BY a, b, c, d) - 1 AS combo, [a, b, c, d] AS k FROM range(5) t1(a), range(5) t2(b), range(5) t3(c), range(5) t4(d) WHERE a + b + c + d = 4),
+rr AS (SELECT combo, period, sum(k[CAST(substr(config, 7) AS INT)] / 4.0 * r) AS r FROM cb, tr WHERE config IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') GROUP BY 1, 2)
+SELECT CAST(combo AS INT) AS combo, {r("CASE WHEN count(r) >= 12 AND abs(stddev_samp(r)) > 1e-9 THEN (avg(r) - 0.05 / 12) / stddev_samp(r) * sqrt(12.0) ELSE '-inf'::DOUBLE END")} AS objective, count(r) AS n FROM rr GROUP BY 1""",
+)
 def b_weight_grid(spark, sf_dir):
     names = ["Brand#1", "Brand#2", "Brand#3", "Brand#4"]
     combos = search.weight_grid(spark, names, 0.25)
@@ -796,7 +889,7 @@ def b_weight_grid(spark, sf_dir):
     return search.objective(rows_, "combo", least=12, periods=12)
 
 
-@query("p_normal_quantile")
+@query("p_normal_quantile", f"SELECT i AS id, {r(normal('i / 1000.0'))} AS z FROM range(1, 1000) t(i)")
 def p_normal_quantile(spark, sf_dir):
     return spark.range(1, 1000).select(F.col("id"), normal_quantile(F.col("id") / 1000).alias("z"))
 
@@ -807,6 +900,6 @@ query("p_percent_rank", "SELECT p_partkey, " + r("(rank() OVER (PARTITION BY p_b
 query("p_average_rank", "SELECT s_suppkey, (rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_nationkey, s_acctbal) - 1) / 2.0)::DOUBLE AS rk FROM supplier")(
     lambda s, d: panels.table(s, d, "supplier").select("s_suppkey", average_rank(F.col("s_acctbal"), "s_nationkey").alias("rk"))
 )
-query("event_windows", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, floor(sum(value) * 1e6 + 0.501) / 1e6 AS total FROM events GROUP BY 1, 2")(
+query("event_windows", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, " + r("sum(value)") + " AS total FROM events GROUP BY 1, 2")(
     lambda s, d: panels.table(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 )
