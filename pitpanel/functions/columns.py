@@ -35,10 +35,16 @@ def _ratio(x: Column, coefficients) -> Column:
 
 def normal_quantile(p: Column) -> Column:
     """The standard normal quantile of p in (0, 1), exact to about 1e-15."""
-    q = p - 0.5
-    tail = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    far = F.when(tail <= 5, _ratio(tail - 1.6, AS241_NEAR)).otherwise(_ratio(tail - 5, AS241_FAR))
-    return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, AS241_CENTRE)).otherwise(F.when(q < 0, -far).otherwise(far))
+    def let(value, body):  # the value stands as a variable, so that the formula does not repeat what it is made of
+        return F.transform(F.array(value), body)[0]
+
+    def far(p):
+        return let(F.sqrt(-F.ln(F.least(p, 1 - p))), lambda t: F.when(t <= 5, _ratio(t - 1.6, AS241_NEAR)).otherwise(_ratio(t - 5, AS241_FAR)))
+
+    def centre(p):
+        return (p - 0.5) * let(0.180625 - (p - 0.5) * (p - 0.5), lambda x: _ratio(x, AS241_CENTRE))
+
+    return let(p, lambda p: F.when(F.abs(p - 0.5) <= 0.425, centre(p)).otherwise(F.when(p < 0.5, -far(p)).otherwise(far(p))))
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -109,3 +109,33 @@ def rebalance_plan(target: DataFrame, current: DataFrame) -> DataFrame:
     action = F.when((F.col("current") == 0) & (F.col("target") > 0), "BUY").when((F.col("target") == 0) & (F.col("current") > 0), "SELL")
     action = action.when(F.col("target") > F.col("current"), "ADD").when(F.col("target") < F.col("current"), "TRIM").otherwise("HOLD")
     return rows.withColumn("diff", F.col("target") - F.col("current")).withColumn("action", action)
+
+
+def current_holdings(scores: DataFrame, prices: DataFrame, as_of: str, n: int = 20) -> DataFrame:
+    """ticker, weight, score, price on a date: the n best of the last scores up to it, equally weighted.
+
+    scores: date, ticker, score; prices: date, ticker, close. Only names with a price on the last trading day up to the
+    date count.
+    """
+    day = F.to_date(F.lit(as_of))
+    of = scores.filter(F.col("date") <= day).agg(F.max("date").alias("__d"))
+    at = prices.filter(F.col("date") <= day).agg(F.max("date").alias("__d"))
+    latest = scores.join(of, F.col("date") == F.col("__d")).select("ticker", "score")
+    today = prices.join(at, F.col("date") == F.col("__d")).filter("close IS NOT NULL").select("ticker", F.col("close").alias("price"))
+    best = latest.filter("score IS NOT NULL").join(today, "ticker").orderBy(F.desc("score"), "ticker").limit(n)
+    return best.select("ticker", (1 / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).alias("weight"), "score", "price")
+
+
+def share_plan(targets: DataFrame, holdings: DataFrame, prices: DataFrame, cash: float) -> DataFrame:
+    """ticker, price, shares, target_shares, trade, amount, action: whole shares towards target weights (ticker, w).
+
+    holdings: ticker, shares; prices: ticker, price. The portfolio is worth its shares and the cash; targets are cut to
+    whole shares, so what is bought never costs more than there is. Names without a price are left out.
+    """
+    rows = prices.filter("price > 0").join(holdings, "ticker", "left").join(targets, "ticker", "left").fillna(0, ["shares"]).fillna(0.0, ["w"])
+    rows = rows.filter("shares > 0 OR w > 0")
+    worth = rows.agg((F.sum(F.col("shares") * F.col("price")) + cash).alias("__v"))
+    rows = rows.join(worth, F.lit(True)).withColumn("target_shares", F.floor(F.col("w") * F.col("__v") / F.col("price")).cast("long"))
+    trade = F.col("target_shares") - F.col("shares")
+    action = F.when(trade > 0, "BUY").when(trade < 0, "SELL").otherwise("HOLD")
+    return rows.select("ticker", "price", F.col("shares").cast("long").alias("shares"), "target_shares", trade.cast("long").alias("trade"), (trade * F.col("price")).alias("amount"), action.alias("action"))

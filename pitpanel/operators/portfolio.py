@@ -175,6 +175,28 @@ def optimised(returns: DataFrame, scheme: str, by: str = "date", cap: float = 1.
     return returns.groupBy(by).applyInPandas(fit, f"{by} {kind}, ticker string, w double")
 
 
-def trade_cost(old_new: DataFrame, commission_bps: float = 5.0, slippage_bps: float = 10.0, by: str = "date") -> DataFrame:
-    """by, cost: traded weight times the linear rate, of rows (by, old, new)."""
-    return old_new.groupBy(by).agg((F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))) * ((commission_bps + slippage_bps) / 1e4)).alias("cost"))
+def sector_capped(rows: DataFrame, cap: float, sector: str = "sector", by: str = "date") -> DataFrame:
+    """rows with w such that no sector holds more than cap; inside a sector proportions stay. A name without a sector is one of its own.
+
+    Where the sectors are too few for the cap, w stays as it is.
+    """
+    label = F.when(F.col(sector).isNotNull(), F.concat(F.lit("s "), F.col(sector))).otherwise(F.concat(F.lit("n "), F.col("ticker")))
+    rows = rows.withColumn("__l", label)
+    totals = rows.groupBy(by, "__l").agg(F.sum("w").alias("w"))
+    few = F.count(F.lit(1)).over(Window.partitionBy(by)) * cap < 1 - 1e-9
+    limits = capped(totals.withColumn("__few", few).withColumn("__t", F.col("w")).withColumnRenamed("__l", "ticker"), cap, by)
+    limits = limits.select(F.col(by).alias("__by"), F.col("ticker").alias("__s"), F.when(F.col("__few"), 1.0).otherwise(safe_div(F.col("w"), F.col("__t"))).alias("__f"))
+    out = rows.join(limits, (F.col(by) == F.col("__by")) & (F.col("__l") == F.col("__s")))
+    return out.withColumn("w", F.col("w") * F.coalesce("__f", F.lit(0.0))).drop("__l", "__by", "__s", "__f")
+
+
+def trade_cost(old_new: DataFrame, commission_bps: float = 5.0, slippage_bps: float = 10.0, by: str = "date", impact: float = 0.0, value: float = 0.0) -> DataFrame:
+    """by, cost of rows (by, old, new, and adv if there is impact): traded weight times the linear rate, and market impact.
+
+    Impact is `impact` times the root of traded money (of a portfolio worth `value`) over adv, the money traded a day.
+    """
+    traded = F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
+    cost = F.sum(traded) * ((commission_bps + slippage_bps) / 1e4)
+    if impact > 0 and value > 0:
+        cost = cost + F.sum(F.coalesce(traded * impact * F.sqrt(F.greatest(safe_div(traded * value, F.col("adv")), F.lit(0.0))), F.lit(0.0)))
+    return old_new.groupBy(by).agg(cost.alias("cost"))

@@ -8,7 +8,7 @@ from itertools import product
 from random import Random
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
@@ -81,11 +81,20 @@ def objective(returns: DataFrame, *by: str, risk_free: float = 0.05, least: int
     return returns.groupBy(*by).agg(F.when((n >= least) & value.isNotNull(), value).otherwise(F.lit(float("-inf"))).alias("objective"), n.alias("n"))
 
 
+def calmar_objective(returns: DataFrame, *by: str, order: str = "date", least: int = 60, periods: int = YEAR) -> DataFrame:
+    """Annual growth over the worst drawdown by group, NULL returns as 0; minus infinity under `least` rows or without a drawdown."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = returns.withColumn("__e", F.product(1 + F.coalesce("r", F.lit(0.0))).over(w))
+    rows = rows.withColumn("__d", F.col("__e") / F.max("__e").over(w) - 1)
+    n = F.count("r")
+    growth = F.pow(F.max_by("__e", order), periods / n) - 1
+    value = safe_div(growth, F.abs(F.min("__d")))
+    return rows.groupBy(*by).agg(F.when((n >= least) & value.isNotNull(), value).otherwise(F.lit(float("-inf"))).alias("objective"), n.alias("n"))
+
+
 def walk_forward(returns: DataFrame, found: DataFrame, top: int = 1, **how) -> tuple[DataFrame, DataFrame]:
     """(chosen: fold, config, objective; tested: fold, date, r) of returns (config, date, r): the best configurations of each
     training window, and their mean return in the test window. Folds are few and broadcast, so one pass serves them all."""
-    from pyspark.sql import Window
-
     train = returns.join(F.broadcast(found), F.col("date").between(F.col("train_start"), F.col("train_end")))
     scored = objective(train, "fold", "config", **how)
     best = Window.partitionBy("fold").orderBy(F.desc("objective"), "config")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, fixed, normal_quantile, percent_rank, safe_div, significant
-from ..operators import backtest, crosssection, overfitting, portfolio, risk, rotation, search, store, universe
+from ..operators import backtest, crosssection, overfitting, portfolio, research, risk, rotation, search, store, universe
 from ..operators import timeseries as ts
 from ..operators.asof import as_of
 from ..sources import panels
@@ -474,6 +474,75 @@ def a_ic_decay(spark, sf_dir):
     return rows_[0].unionByName(rows_[1]).unionByName(rows_[2])
 
 
+# from ICs to weights
+
+_FOUR = ("close", "mcap", "volume", "change")
+_RN = lambda v: f"CASE WHEN {v} IS NOT NULL THEN {normal(f'greatest(least({_pct(v, 'date')} - 0.5 / count({v}) OVER (PARTITION BY date), 1 - 1e-6), 1e-6)')} END"
+_WIDE = f"""{MONTHLY}, ch AS (SELECT *, {div('close', f'lag(close) OVER {W1}')} - 1 AS change, {div(f'lead(close, 2) OVER {W1}', f'lead(close, 1) OVER {W1}')} - 1 AS fw FROM p),
+wide AS (SELECT ticker, date, idx, round(fw, 9) AS fwd, {", ".join(f"round({_RN(c)}, 9) AS {c}" for c in _FOUR)} FROM ch)"""
+_FIC = f"""{_WIDE}, zl AS (SELECT date, idx, ticker, fwd, unnest([{", ".join(f"{{factor: '{c}', z: {c}}}" for c in _FOUR)}]) AS f FROM wide),
+zr AS (SELECT date, f.factor AS factor, rank() OVER a + (count(*) OVER (PARTITION BY date, f.factor, f.z) - 1) / 2.0 AS a, rank() OVER b + (count(*) OVER (PARTITION BY date, f.factor, fwd) - 1) / 2.0 AS b
+  FROM zl WHERE f.z IS NOT NULL AND fwd IS NOT NULL WINDOW a AS (PARTITION BY date, f.factor ORDER BY f.z), b AS (PARTITION BY date, f.factor ORDER BY fwd)),
+fic AS (SELECT date, factor, CASE WHEN count(*) >= 20 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM zr GROUP BY 1, 2)"""
+_MR = f"""{_FIC}, {BENCH}, ra AS (SELECT *, {div('close', 'lag(close) OVER (ORDER BY idx)')} - 1 AS r, {div('close', 'lag(close, 126) OVER (ORDER BY idx)')} - 1 AS t FROM b),
+rv AS (SELECT *, CASE WHEN count(r) OVER {rows(63, '')} >= 63 THEN stddev_samp(r) OVER {rows(63, '')} * sqrt(252.0) END AS vol FROM ra),
+rc AS (SELECT *, CASE WHEN count(vol) OVER (ORDER BY idx) >= 126 THEN quantile_cont(vol, 0.6) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) END AS cut FROM rv),
+rg AS (SELECT last_day(date) AS date, max_by(CASE WHEN t IS NULL OR cut IS NULL OR vol IS NULL THEN 'unknown' ELSE (CASE WHEN t > 0 THEN 'bull' ELSE 'bear' END) || (CASE WHEN vol > cut THEN '_volatile' ELSE '_calm' END) END, date) AS regime FROM rc GROUP BY 1)"""
+
+
+def _shares(v: str, by: str, source: str) -> str:
+    return f"SELECT *, CASE WHEN sum(greatest(coalesce({v}, 0), 0)) OVER (PARTITION BY {by}) > 0 THEN greatest(coalesce({v}, 0), 0) / sum(greatest(coalesce({v}, 0), 0)) OVER (PARTITION BY {by}) ELSE 1.0 / count(*) OVER (PARTITION BY {by}) END AS w FROM {source}"
+
+
+def wide_scores(spark, sf_dir) -> DataFrame:
+    """date, ticker, fwd and four rank-normalised factors."""
+    p = panels.monthly_prices(spark, sf_dir).withColumn("change", ts.change("close"))
+    return p.select("date", "ticker", F.round(ts.forward_return("close", 1), 9).alias("fwd"), *[F.round(crosssection.rank_normalised(c), 9).alias(c) for c in _FOUR])
+
+
+def long_scores(spark, sf_dir) -> DataFrame:
+    return wide_scores(spark, sf_dir).unpivot(["date", "ticker", "fwd"], list(_FOUR), "factor", "z")
+
+
+def month_regimes(spark, sf_dir) -> DataFrame:
+    daily = ts.regimes(panels.benchmark(spark, sf_dir), trend=126, warm=126)
+    return daily.groupBy(F.last_day("date").alias("date")).agg(F.max_by("regime", "date").alias("regime"))
+
+
+query("a_factor_ic", f"{_FIC} SELECT date, factor, {r('ic')} AS ic FROM fic")(lambda s, d: research.factor_ics(long_scores(s, d)))
+query(
+    "x_trailing_weights",
+    f"{_FIC}, t AS (SELECT date, factor, CASE WHEN count(*) OVER w >= 24 THEN avg(ic) OVER w END AS m FROM fic WINDOW w AS (PARTITION BY factor ORDER BY date ROWS 35 PRECEDING)), s AS ({_shares('m', 'date', 't')}) SELECT date, factor, {r('w')} AS w FROM s",
+)(lambda s, d: research.trailing_weights(research.factor_ics(long_scores(s, d)), 36, 24))
+_BYR = f"{_MR}, en AS (SELECT regime FROM rg GROUP BY 1 HAVING count(*) >= 12), br AS (SELECT factor, regime, avg(ic) AS ic FROM fic JOIN rg USING (date) JOIN en USING (regime) GROUP BY 1, 2)"
+query("a_ic_by_regime", f"{_BYR} SELECT factor, regime, {r('ic')} AS ic FROM br")(lambda s, d: research.ic_by_regime(research.factor_ics(long_scores(s, d)), month_regimes(s, d)))
+query("x_regime_weights", f"{_BYR}, k AS (SELECT * FROM br WHERE ic IS NOT NULL), s AS ({_shares('ic', 'regime', 'k')}) SELECT regime, factor, {r('w')} AS w FROM s")(
+    lambda s, d: research.weights_by_regime(research.ic_by_regime(research.factor_ics(long_scores(s, d)), month_regimes(s, d)))
+)
+query(
+    "x_regime_scores",
+    f"""{_MR}, dn AS (SELECT *, row_number() OVER (ORDER BY date) AS no FROM rg), x AS (SELECT fic.*, regime, no FROM fic JOIN dn USING (date)),
+m AS (SELECT a.date, a.factor, CASE WHEN any_value(a.no) - 3 >= 24 AND count(b.no) >= 12 THEN avg(b.ic) END AS m FROM x a LEFT JOIN x b ON a.factor = b.factor AND a.regime = b.regime AND b.no <= a.no - 3 GROUP BY 1, 2), s AS ({_shares('m', 'date', 'm')}),
+sc AS (SELECT zl.date, ticker, CASE WHEN count(f.z) = count(*) THEN sum(f.z * w) END AS score FROM zl JOIN s ON s.date = zl.date AND s.factor = f.factor WHERE w > 0 GROUP BY 1, 2) SELECT date, ticker, {r('score')} AS score FROM sc""",
+)(lambda s, d: (lambda z: research.weighted_scores(z.drop("fwd"), research.regime_weights(research.factor_ics(z), month_regimes(s, d), 24, 2)))(long_scores(s, d)))
+query(
+    "x_select_factors",
+    f"""{_FIC}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS no FROM (SELECT DISTINCT date FROM fic)), en AS (SELECT y AS fold, make_date(CAST(y AS INT), 12, 31) AS e FROM range(1996, 2002) t(y)),
+la AS (SELECT fold, max(no) - 2 AS upto FROM dd JOIN en ON date <= e GROUP BY 1), mm AS (SELECT fold, factor, any_value(upto) AS upto, avg(ic) AS ic FROM la JOIN dd ON no <= upto JOIN fic USING (date) GROUP BY 1, 2),
+rr AS (SELECT *, upto >= 36 AND row_number() OVER (PARTITION BY fold ORDER BY ic DESC NULLS LAST, factor) <= 2 AND coalesce(ic > 0, false) AS good FROM mm)
+SELECT CAST(fold AS INT) AS fold, factor, {r('ic')} AS ic FROM (SELECT *, bool_or(good) OVER (PARTITION BY fold) AS any_good FROM rr) WHERE good OR NOT any_good""",
+)(lambda s, d: research.select_factors(research.factor_ics(long_scores(s, d)), s.range(1996, 2002).select(F.col("id").cast("int").alias("fold"), F.make_date(F.col("id").cast("int"), F.lit(12), F.lit(31)).alias("end")), 2))
+_RESID = f"""{_FIC}, f1 AS (SELECT factor, avg(ic) AS ic FROM fic GROUP BY 1 ORDER BY ic DESC, factor LIMIT 1),
+pr AS (SELECT a.date, a.fwd, a.f.z AS x, b.f.z AS y, b.f.factor AS factor FROM zl a JOIN f1 ON a.f.factor = f1.factor JOIN zl b ON a.date = b.date AND a.ticker = b.ticker AND b.f.factor <> f1.factor WHERE a.f.z IS NOT NULL AND b.f.z IS NOT NULL),
+rs AS (SELECT *, round(y - avg(y) OVER w - coalesce(regr_slope(y, x) OVER w, 0) * (x - avg(x) OVER w), 9) AS e, count(*) OVER w AS n FROM pr WINDOW w AS (PARTITION BY date, factor)),
+rk2 AS (SELECT date, factor, rank() OVER a + (count(*) OVER (PARTITION BY date, factor, e) - 1) / 2.0 AS a, rank() OVER b + (count(*) OVER (PARTITION BY date, factor, fwd) - 1) / 2.0 AS b
+  FROM rs WHERE n >= 30 AND fwd IS NOT NULL WINDOW a AS (PARTITION BY date, factor ORDER BY e), b AS (PARTITION BY date, factor ORDER BY fwd)),
+ic2 AS (SELECT date, factor, CASE WHEN count(*) >= 20 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM rk2 GROUP BY 1, 2),
+f2 AS (SELECT factor, avg(ic) AS ic FROM ic2 GROUP BY 1 ORDER BY ic DESC, factor LIMIT 1)"""
+query("x_forward_selection", f"{_RESID} SELECT CAST(1 AS INT) AS step, factor, {r('ic')} AS ic FROM f1 UNION ALL SELECT CAST(2 AS INT), factor, {r('ic')} FROM f2")(
+    lambda s, d: research.forward_selection(panels.kept(wide_scores(s, d)), list(_FOUR), 2, -1.0)
+)
+
 # as-of joins and factors
 
 _ASOF = f"{FILINGS}, m AS (SELECT DISTINCT last_day(CAST(l_shipdate AS DATE)) AS date FROM lineitem), g AS (SELECT m.date, t.ticker FROM m CROSS JOIN (SELECT DISTINCT ticker FROM f) t), k AS (SELECT * FROM f WHERE datekey IS NOT NULL), j AS (SELECT g.ticker, g.date, k.calendardate, k.netinc, k.revenue FROM g ASOF LEFT JOIN k ON g.ticker = k.ticker AND g.date >= k.datekey)"
@@ -694,6 +763,53 @@ SELECT k.date, ticker, {r('CASE WHEN n * 0.03 <= 1 THEN 1.0 / n WHEN k < first T
 )(lambda s, d: portfolio.capped(portfolio.value_weights(panels.monthly_prices(s, d).filter("mcap > 0")), 0.03).select("date", "ticker", "w"))
 
 
+query(
+    "b_sector_cap",
+    f"""{MONTHLY}, {META}, w AS (SELECT p.date, p.ticker, coalesce('s ' || sector, 'n ' || p.ticker) AS s, mcap / sum(mcap) OVER (PARTITION BY date) AS w FROM p LEFT JOIN meta USING (ticker) WHERE mcap > 0),
+t AS (SELECT date, s, sum(w) AS w FROM w GROUP BY 1, 2), k AS (SELECT *, row_number() OVER o - 1 AS k, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, count(*) OVER (PARTITION BY date) AS n FROM t WINDOW o AS (PARTITION BY date ORDER BY w DESC, s)),
+m AS (SELECT date, min(k) AS k FROM k WHERE w * (1 - k * 0.3) / rest <= 0.3 + 1e-15 GROUP BY 1), f AS (SELECT k.date, k.k AS first, (1 - k.k * 0.3) / rest AS scale FROM k JOIN m ON m.date = k.date AND m.k = k.k),
+l AS (SELECT k.date, s, CASE WHEN n * 0.3 < 1 - 1e-9 THEN 1.0 WHEN k < first THEN 0.3 / w ELSE scale END AS g FROM k LEFT JOIN f USING (date))
+SELECT w.date, ticker, {r('w * g')} AS w FROM w JOIN l USING (date, s)""",
+)(
+    lambda s, d: portfolio.sector_capped(
+        portfolio.value_weights(panels.monthly_prices(s, d).filter("mcap > 0")).join(panels.descriptions(s, d).select("ticker", "sector"), "ticker", "left"), 0.3
+    ).select("date", "ticker", "w")
+)
+query(
+    "b_trade_cost",
+    f"""{_W}, c AS (SELECT coalesce(a.idx, b.idx + 1) AS idx, coalesce(a.ticker, b.ticker) AS ticker, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS t FROM w a FULL JOIN w b ON a.idx = b.idx + 1 AND a.ticker = b.ticker)
+SELECT c.idx, {r(f"sum(t) * 0.0015 + sum(coalesce(t * 0.1 * sqrt({div('t * 1e6', 'p.volume * p.close')}), 0))")} AS cost FROM c LEFT JOIN p ON p.ticker = c.ticker AND p.idx = c.idx GROUP BY 1""",
+)(
+    lambda s, d: portfolio.trade_cost(
+        (lambda w: w.withColumnRenamed("w", "new").join(w.select((F.col("idx") + 1).alias("idx"), "ticker", F.col("w").alias("old")), ["idx", "ticker"], "full_outer"))(chosen(s, d))
+        .join(panels.monthly_prices(s, d).select("idx", "ticker", (F.col("volume") * F.col("close")).alias("adv")), ["idx", "ticker"], "left"),
+        by="idx", impact=0.1, value=1e6,
+    )
+)
+_NOW = f"""{_TOP}, la AS (SELECT ticker, round(score, 9) AS score FROM sc WHERE date = (SELECT max(date) FROM sc WHERE date <= DATE '1999-06-15')),
+td AS (SELECT ticker, close AS price FROM p WHERE close IS NOT NULL AND date = (SELECT max(date) FROM p WHERE date <= DATE '1999-06-15')),
+hn AS (SELECT ticker, score, price FROM la JOIN td USING (ticker) WHERE score IS NOT NULL ORDER BY score DESC, ticker LIMIT 15)"""
+
+
+def holdings_now(spark, sf_dir) -> DataFrame:
+    return backtest.current_holdings(scores(spark, sf_dir).withColumn("score", F.round("score", 9)), panels.monthly_prices(spark, sf_dir), "1999-06-15", 15)
+
+
+query("b_current_holdings", f"{_NOW} SELECT ticker, {r('1.0 / count(*) OVER ()')} AS weight, {r('score')} AS score, {r('price')} AS price FROM hn")(holdings_now)
+query(
+    "b_share_plan",
+    f"""{_NOW}, ho AS (SELECT 'S' || s_suppkey AS ticker, CAST(s_suppkey % 7 AS BIGINT) AS shares FROM supplier), tg AS (SELECT ticker, 1.0 / count(*) OVER () AS w FROM hn),
+x AS (SELECT td.ticker, price, coalesce(shares, 0) AS shares, coalesce(w, 0) AS w FROM td LEFT JOIN ho USING (ticker) LEFT JOIN tg USING (ticker) WHERE price > 0), y AS (SELECT *, sum(shares * price) OVER () + 1e6 AS v FROM x WHERE shares > 0 OR w > 0),
+zz AS (SELECT *, CAST(floor(w * v / price) AS BIGINT) AS target_shares FROM y)
+SELECT ticker, {r('price')} AS price, shares, target_shares, target_shares - shares AS trade, {r('(target_shares - shares) * price')} AS amount, CASE WHEN target_shares > shares THEN 'BUY' WHEN target_shares < shares THEN 'SELL' ELSE 'HOLD' END AS action FROM zz""",
+)(
+    lambda s, d: backtest.share_plan(
+        holdings_now(s, d).select("ticker", F.col("weight").alias("w")), panels.table(s, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("ticker"), (F.col("s_suppkey") % 7).alias("shares")),
+        panels.monthly_prices(s, d).filter("date = DATE '1999-05-31'").select("ticker", F.col("close").alias("price")), 1e6,
+    )
+)
+
+
 def month_calendar(spark, sf_dir) -> DataFrame:
     return panels.monthly_prices(spark, sf_dir).select("date", "idx").distinct()
 
@@ -876,6 +992,14 @@ query("b_walk_forward", f"{_WF} SELECT CAST(fo.fold AS INT) AS fold, date, {r('a
 )
 
 
+query(
+    "a_calmar_objective",
+    f"""{_TR}, e AS (SELECT *, product(1 + coalesce(r, 0)) OVER w AS e FROM tr WINDOW w AS (PARTITION BY config ORDER BY period ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, e / max(e) OVER (PARTITION BY config ORDER BY period ROWS UNBOUNDED PRECEDING) - 1 AS d FROM e)
+SELECT config, {r("CASE WHEN count(r) >= 24 AND abs(min(d)) > 1e-9 THEN (pow(arg_max(e, period), 12.0 / count(r)) - 1) / abs(min(d)) ELSE '-inf'::DOUBLE END")} AS objective, count(r) AS n FROM g GROUP BY 1""",
+)(lambda s, d: search.calmar_objective(trials(s, d), "config", order="period", least=24, periods=12))
+
+
 @query(
     "b_weight_grid",
     f"""{_TR}, cb AS (SELECT row_number() OVER (ORDER BY a, b, c, d) - 1 AS combo, [a, b, c, d] AS k FROM range(5) t1(a), range(5) t2(b), range(5) t3(c), range(5) t4(d) WHERE a + b + c + d = 4),
