@@ -250,10 +250,10 @@ def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None
 
     for e in wanted.values():
         boundary(e)
-    quarterly = tables.quarterly if tables.groups is None else tables.quarterly.join(F.broadcast(tables.groups), "ticker", "left")
+    quarterly = tables.quarterly if tables.groups is None else tables.quarterly.join(tables.groups, "ticker", "left")
     q = _Emitter(quarterly, tables)
     columns = {text: q.add(e) for text, e in promoted.items()}
-    daily = tables.daily if tables.groups is None else tables.daily.join(F.broadcast(tables.groups), "ticker", "left")
+    daily = tables.daily if tables.groups is None else tables.daily.join(tables.groups, "ticker", "left")
     early = days is not None and all(g == "q" for g in grids.values())
     if early:  # nothing looks back along days: only the days wanted need the join
         daily = daily.join(F.broadcast(days.select("date")), "date", "left_semi")

@@ -353,7 +353,7 @@ _SCORED = f"{MONTHLY}, {META}, x AS (SELECT p.*, meta.sector FROM p LEFT JOIN me
 
 
 def described(spark, sf_dir) -> DataFrame:
-    return panels.monthly_prices(spark, sf_dir).join(F.broadcast(panels.descriptions(spark, sf_dir).select("ticker", "sector")), "ticker", "left")
+    return panels.monthly_prices(spark, sf_dir).join(panels.descriptions(spark, sf_dir).select("ticker", "sector"), "ticker", "left")
 
 
 def _pct(v: str, by: str) -> str:
@@ -597,15 +597,20 @@ def _wanted(names: list[str], scoring: bool) -> dict:
 
 
 def _factor_query(names: list[str], scoring: bool = False, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices):
+    """Factors on signal dates: each month's last trading day, windows running over all days before it."""
+
     def run(spark, sf_dir):
-        out = compile_all(factor_tables(spark, sf_dir, prices), _wanted(names, scoring))
+        tables = factor_tables(spark, sf_dir, prices)
+        signals = backtest.rebalance_dates(tables.daily.select("date", "idx").distinct()) if prices is panels.supplier_daily_prices else None
+        out = compile_all(tables, _wanted(names, scoring), signals)
         return out.unpivot(["ticker", "date"], names, "factor", "value").filter("value IS NOT NULL")
 
     return run
 
 
 def _factors(name: str, names: list[str], scoring: bool = False) -> None:
-    query(name, factor_sql(FACTOR_TABLES, LAYOUT, _wanted(names, scoring), r))(_factor_query(names, scoring))
+    signals = "SELECT max(date) FROM b GROUP BY date_trunc('month', date) HAVING max(idx) < (SELECT max(idx) FROM b)"
+    query(name, factor_sql(FACTOR_TABLES, LAYOUT, _wanted(names, scoring), r) + f" AND date IN ({signals})")(_factor_query(names, scoring))
 
 
 for _category in ("acceleration", "growth", "flow_proxy", "value_ev", "value_price", "price"):
@@ -690,7 +695,7 @@ _UNI = f"{MONTHLY}, {META}, x AS (SELECT p.*, sector, location, name FROM p LEFT
 
 
 def _named(spark, sf_dir):
-    return panels.monthly_prices(spark, sf_dir).join(F.broadcast(panels.descriptions(spark, sf_dir)), "ticker", "left")
+    return panels.monthly_prices(spark, sf_dir).join(panels.descriptions(spark, sf_dir), "ticker", "left")
 
 
 _UNIVERSES = {
