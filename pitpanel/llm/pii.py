@@ -13,26 +13,34 @@ put in by place (between the pieces that the pattern splits the text into), so n
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-EMAIL = r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
 CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
-SECRET = r"""\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)["']?\s{0,2}[=:]?\s{0,2}["']?)(?=[A-Za-z]{0,64}\d)[A-Za-z0-9]{8,64}+"""
+SECRET = r"""\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|secret|token|api_?key)["']?\s{0,2}[=:]?\s{0,2}["']?)(?=[A-Za-z]*+\d)[A-Za-z0-9]{8,}+"""
 #: Titles by gender; a name follows after a space.
 MALE = r"Mr|Herrn?|Monsieur|Señor|Sr|Г-н|Господин|господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Mme|Madame|Mlle|Señora|Sra|Г-жа|Госпожа|госпожа"
-PERSON = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}})?"
+#: A name: parts of letters joined by a hyphen or an apostrophe, as in Smith-Jones or O'Brien.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}++(?:[-'’]\p{Lu}\p{L}++)*+"
+PERSON = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}(?: {_NAME})?"
+#: Second labels under which domains are registered, as in example.co.uk; they stay.
+SECOND_LEVEL = "co|com|org|net|ac|gov|edu"
 ENTITY = "|".join([EMAIL, PHONE, IP, CARD, SECRET, PERSON])
 #: A text without any of these has no entity.
 HINT = rf"[0-9@]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
-KEY = "pitpanel"
-#: Draws that a surrogate may take before the run is given up.
+#: Session setting that holds the secret key; without it a key is drawn for the session, so nobody can redo the mapping.
+KEY_SETTING = "spark.pitpanel.surrogates.key"
+#: Draws after which a job ends: formats of letters and digits keep their length, so a short one can run out of values.
+#: Names grow by a syllable with every eighth draw and do not run out.
 DRAWS = 40
 #: Parts of generated names by script: beginnings and vowels of syllables; male names end in a consonant, female in a.
 SYLLABLES = {
@@ -119,14 +127,25 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda a, b: a + b)
 
 
-def generated_name(norm: Column, stream: Column, gender: str | None) -> Column:
-    """A name of three syllables in the script of norm, with the ending of the gender."""
+def session_key(spark: SparkSession) -> str:
+    """The secret key of KEY_SETTING, or one drawn for this session and kept there."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def generated_name(norm: Column, stream: Column, gender: str | None, draw: Column | None = None) -> Column:
+    """A name of three syllables, and one more for every eighth draw, in the script of norm, with the ending of the gender."""
+    draw = F.lit(0) if draw is None else draw
 
     def of(script):
         onsets, vowels, female, male = SYLLABLES[script]
         pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), _byte(stream, i) % len(values) + 1)
         body = F.concat(*[F.concat(pick(onsets, F.lit(2 * k)), pick(vowels, F.lit(2 * k + 1))) for k in range(3)])
-        body = F.initcap(body)
+        more = F.transform(F.sequence(F.lit(0), F.floor(draw / 8).cast("int")), lambda k: F.when(k > 0, F.concat(pick(onsets, 2 * k + 8), pick(vowels, 2 * k + 9))).otherwise(""))
+        body = F.initcap(F.concat(body, F.array_join(more, "")))
         if gender == "m":
             return F.concat(body, F.lit(male))
         stem = F.concat(body, pick(onsets[:14], F.lit(7)))
@@ -135,14 +154,15 @@ def generated_name(norm: Column, stream: Column, gender: str | None) -> Column:
     return F.when(norm.rlike(r"^\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
-def surrogate(kind: Column, norm: Column, draw: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     """The surrogate of an entity at its draw-th attempt."""
     stream = _stream(F.lit(key), kind, norm, draw.cast("string"))
     domain = F.regexp_extract(norm, "@(.*)$", 1)
-    front = F.when(domain.rlike(r"\..*\."), F.regexp_extract(domain, r"^(.*)\.[^.]+\.[^.]+$", 1)).otherwise(F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1))
+    suffix = F.regexp_extract(domain, rf"((?:\.(?:{SECOND_LEVEL}))?\.[^.]+)$", 1)
+    front = F.substring(domain, F.lit(1), F.length(domain) - F.length(suffix))
     email = F.concat(
         masked(F.regexp_extract(norm, "^(.*)@", 1), stream), F.lit("@"),
-        masked(front, _stream(F.lit(key), F.lit("domain"), domain)), F.regexp_extract(domain, r"^.*?((?:\.[^.]+){1,2})$", 1),
+        F.array_join(F.transform(F.split(front, r"\."), lambda label, k: masked(label, _stream(F.lit(key), F.lit("domain"), F.array_join(F.slice(F.split(front, r"\."), k + 1, F.size(F.split(front, r"\."))), "."), suffix))), "."), suffix,
     )
     octets = [1 + _byte(stream, F.lit(0)) % 223, _byte(stream, F.lit(1)), _byte(stream, F.lit(2)), 1 + _byte(stream, F.lit(3)) % 254]
     ip = F.concat_ws(".", *[o.cast("string") for o in octets])
@@ -154,12 +174,12 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str = KEY) -> Colum
     secret = F.when(norm.startswith("AKIA"), F.concat(F.lit("AKIA"), masked(F.substring(norm, F.lit(5), F.length(norm)), stream))).otherwise(masked(norm, stream))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "secret", secret)
-        .when(kind == "given_f", generated_name(norm, stream, "f")).when(kind == "given_m", generated_name(norm, stream, "m"))
-        .otherwise(generated_name(norm, stream, None))
+        .when(kind == "given_f", generated_name(norm, stream, "f", draw)).when(kind == "given_m", generated_name(norm, stream, "m", draw))
+        .otherwise(generated_name(norm, stream, None, draw))
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame:
+def surrogates(entities: DataFrame, key: str, draws: int = DRAWS) -> DataFrame:
     """kind, norm, out for the different entities (kind, norm): no two of a kind share out, and none equals an entity."""
     open_ = entities.withColumn("draw", F.lit(0))
     done = None
@@ -202,39 +222,42 @@ def written(raw: Column, outs: Column) -> Column:
     return F.when(kind.isin("phone", "card"), poured(raw, F.regexp_replace(out, r"\D", ""))).otherwise(F.concat(lead, out))
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with surrogates in text, and n_entities (mentions replaced; a column of that name is replaced).
 
     Whole texts. A null or empty text has no entities and stays as it is. Equal mentions get equal surrogates in all
-    rows, repeated rows and rows that share a doc_id included. An empty table gives no rows; other columns stay.
+    rows, repeated rows and rows that share a doc_id included. An empty table gives no rows; other columns stay. Without
+    a key that of the session is taken (session_key).
     """
+    key = key or session_key(docs.sparkSession)
     docs = docs.drop("n_entities")
+    my_id, my_outs, my_put = common.free_names(docs.columns, "doc_id", "outs", "put")
     plain = docs.filter(F.size(found(F.coalesce(F.col("text"), F.lit("")))) == 0).withColumn("n_entities", F.lit(0))
     bearing = docs.filter(F.size(found(F.coalesce(F.col("text"), F.lit("")))) > 0)
-    doc_id = F.col("doc_id").cast("long").alias("__doc_id")
+    doc_id = F.col("doc_id").cast("long").alias(my_id)
     mentions = bearing.select(doc_id, F.explode(F.array_distinct(found(F.col("text")))).alias("raw"))
-    mentions = common.materialize(mentions.select("__doc_id", "raw", F.explode(parts_of(F.col("raw"))).alias("p")).select("__doc_id", "raw", "p.*"), "mentions")
+    mentions = common.materialize(mentions.select(my_id, "raw", F.explode(parts_of(F.col("raw"))).alias("p")).select(my_id, "raw", "p.*"), "mentions")
     entities = common.materialize(mentions.select("kind", "norm").distinct(), "entities")
     outs = common.materialize(surrogates(entities, key), "surrogates")
-    per_mention = mentions.join(outs, ["kind", "norm"]).groupBy("__doc_id", "raw").agg(F.sort_array(F.collect_set(F.struct("part", "out"))).alias("outs"))
-    per_mention = per_mention.select("__doc_id", "raw", written(F.col("raw"), F.transform("outs", lambda o: o["out"])).alias("out"))
-    per_doc = per_mention.groupBy("__doc_id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "out"))).alias("__outs"))
+    per_mention = mentions.join(outs, ["kind", "norm"]).groupBy(my_id, "raw").agg(F.sort_array(F.collect_set(F.struct("part", "out"))).alias("outs"))
+    per_mention = per_mention.select(my_id, "raw", written(F.col("raw"), F.transform("outs", lambda o: o["out"])).alias("out"))
+    per_doc = per_mention.groupBy(my_id).agg(F.map_from_entries(F.collect_list(F.struct("raw", "out"))).alias(my_outs))
     per_doc = common.materialize(per_doc, "per_doc")
-    rows = bearing.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")))
+    rows = bearing.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(my_id)))
 
     def put(pieces):
         return common.let(
             found(F.col("text")),
             lambda hits: F.struct(
                 F.concat(
-                    F.array_join(F.transform(hits, lambda hit, i: F.concat(pieces[i], F.element_at(F.col("__outs"), hit))), ""), F.element_at(pieces, -1)
+                    F.array_join(F.transform(hits, lambda hit, i: F.concat(pieces[i], F.element_at(F.col(my_outs), hit))), ""), F.element_at(pieces, -1)
                 ).alias("text"),
                 F.size(hits).alias("n"),
             ),
         )
 
-    rows = rows.withColumn("__put", common.let(F.split("text", ENTITY, -1), put))
-    rows = rows.select(*[F.col("__put.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("__put.n").alias("n_entities"))
+    rows = rows.withColumn(my_put, common.let(F.split("text", ENTITY, -1), put))
+    rows = rows.select(*[F.col(f"{my_put}.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col(f"{my_put}.n").alias("n_entities"))
     return plain.unionByName(rows)
 
 

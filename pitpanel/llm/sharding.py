@@ -21,7 +21,8 @@ SHARDS = 40
 RANGE_DIGITS = 3
 ROUNDS = 8
 #: Steps of the cycle walk. Fewer than a values lie at n or above, of a * b, so for n up to 4096 the walk always ends
-#: within these steps, and above that it goes on past k steps with a chance below (1 / 64) ** k.
+#: within these steps, and above that it goes on past k steps with a chance below (1 / 64) ** k. A walk that were longer
+#: ends the job with an error; no row ever gets a number of n or above.
 WALK = 64
 #: Modulus of the round function.
 PRIME = 2147483647
@@ -57,9 +58,9 @@ def permute(value: Column, a: Column, b: Column, seed: int) -> Column:
 
 def walk(value: Column, n: Column, a: Column, b: Column, seed: int) -> Column:
     """The permutation of 0..n-1: the network again and again until the value is below n."""
-    return F.aggregate(
-        F.sequence(F.lit(2), F.lit(WALK)), permute(value, a, b, seed), lambda v, _: F.when(v < n, v).otherwise(permute(v, a, b, seed))
-    )
+    steps = F.sequence(F.lit(2), F.lit(WALK))
+    done = F.aggregate(steps, permute(value, a, b, seed), lambda v, _: F.when(v < n, v).otherwise(permute(v, a, b, seed)))
+    return common.let(done, lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long")))
 
 
 def numbered(docs: DataFrame, range_digits: int = RANGE_DIGITS) -> DataFrame:
