@@ -24,7 +24,7 @@ FIELDS = {
     "intangibles": (0.05, 0, 25), "liabilities": (0.45, -0.05, 180), "liabilitiesc": (0.2, 0, 70), "debt": (0.2, -0.02, 90), "debtc": (0.05, 0, 20),
     "debtnc": (0.15, -0.02, 70), "equity": (0.45, 0.05, 220), "retearn": (0.2, 0.3, 10), "workingcapital": (0.2, 0, 80), "invcap": (0.6, 0, 300),
     "ncfo": (0.1, 0.5, -5), "capex": (-0.06, 0, -4), "fcf": (0.04, 0.5, -9), "ncfdiv": (-0.01, -0.02, 0), "ncfcommon": (-0.005, 0, 2), "ncfdebt": (0.01, -0.01, 3),
-    "sharesbas": (0, 0, 50), "eps_growth_fwd": (0, 0.000001, 0.001),
+    "sharesbas": (0.01, 0, 50), "eps_growth_fwd": (0, 0.000001, 0.001),
 }
 
 
