@@ -197,6 +197,14 @@ def test_components(spark):
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in (100, 101, 102)} == {100}
 
 
+def test_components_that_further_edges_join(spark):
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = components.extended(components.extended(components.connected(table(edges[:80])), table(edges[80:150])), table(edges[150:]))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, components.connected(table(edges)).collect()))
+
+
 def test_token_counts(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = token_count.tokenizer_path(token_count.TOKENIZER)
