@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, pii, quality, sentence_piece, sharding, substring_dedup, token_count, toxicity
+from . import centroids, exact_dedup, merkle, mixing, ngram_join, pii, quality, secret_scan, sentence_piece, sharding, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op2_ngram_join": ngram_join.ORACLE_OP2,
     "op6_mixing": mixing.ORACLE_OP6,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
+    "op11_centroid_clusters": centroids.ORACLE_OP11,
+    "op12_merkle_manifest": merkle.ORACLE_OP12,
+    "op13_secret_scan": secret_scan.ORACLE_OP13,
 }
