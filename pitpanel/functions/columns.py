@@ -47,6 +47,21 @@ def normal_quantile(p: Column) -> Column:
     return let(p, lambda p: F.when(F.abs(p - 0.5) <= 0.425, centre(p)).otherwise(F.when(p < 0.5, -far(p)).otherwise(far(p))))
 
 
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function: its series within 7 of zero (to about 1e-15), 0 or 1 beyond."""
+    def series(z):
+        def step(s, n):
+            return F.transform(F.array(s["term"] * z * z / (2 * n + 1)), lambda t: F.struct(t.alias("term"), (s["total"] + t).alias("total")))[0]
+
+        total = F.aggregate(F.sequence(F.lit(1), F.lit(120)), F.struct(z.alias("term"), z.alias("total")), step, lambda s: s["total"])
+        return 0.5 + total * F.exp(-z * z / 2) / F.sqrt(F.lit(2.0) * F.pi())
+
+    def value(z):
+        return F.when(z >= 7, F.lit(1.0)).when(z <= -7, F.lit(0.0)).otherwise(series(z))
+
+    return F.when(z.isNotNull(), F.transform(F.array(z.cast("double")), value)[0])
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b; NULL where b is within TINY of zero."""
     return F.when(F.abs(b) > TINY, a / b)

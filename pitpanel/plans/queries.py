@@ -957,27 +957,21 @@ query(
     "a_deflated_sharpe",
     f"""{_TR}, mo AS (SELECT *, avg(r) OVER (PARTITION BY config) AS mu FROM tr), g AS (SELECT config, count(r)::DOUBLE AS n, avg(r) / stddev_samp(r) AS sr, {_MM(3)} / pow({_MM(2)}, 1.5) AS sk, {_MM(4)} / pow({_MM(2)}, 2) AS ku FROM mo GROUP BY 1)
 SELECT config, n, {r('sr')} AS sharpe, {r('sk')} AS skew, {r('ku')} AS kurt, {r(f'(sr - sqrt((1 + 0.5 * sr * sr) / n) * {_UNIT!r}) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr)')} AS z FROM g""",
-)(lambda s, d: overfitting.deflated_sharpe(trials(s, d), 25, None, "config"))
+)(lambda s, d: overfitting.deflated_sharpe(trials(s, d), 25, None, "config").drop("probability"))
 _BLOCKS = f"""{_TR}, nn AS (SELECT max(period) + 1 AS n FROM tr), bl AS (SELECT CAST(CASE WHEN period < (n // 6 + 1) * (n % 6) THEN period // (n // 6 + 1) ELSE n % 6 + (period - (n // 6 + 1) * (n % 6)) // (n // 6) END AS INT) AS block, config, r FROM tr, nn)"""
 query("a_block_moments", f"{_BLOCKS} SELECT block, config, count(r) AS n, {r('sum(r)')} AS s, {r('sum(r * r)')} AS ss FROM bl GROUP BY 1, 2")(lambda s, d: overfitting.block_moments(trials(s, d), 6))
-query(
-    "a_overfitting",
-    f"""{_BLOCKS}, mom AS (SELECT block, config, count(r) AS n, sum(r) AS s, sum(r * r) AS ss FROM bl GROUP BY 1, 2),
-cb AS (SELECT a.x AS a, b.x AS b, c.x AS c, row_number() OVER (ORDER BY a.x, b.x, c.x) - 1 AS combo FROM range(6) a(x), range(6) b(x), range(6) c(x) WHERE a.x < b.x AND b.x < c.x),
-sm AS (SELECT combo, config, block IN (a, b, c) AS inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM cb, mom GROUP BY 1, 2, 3),
-sh AS (SELECT *, round(coalesce({div('s / n', 'sqrt(greatest((ss - n * (s / n) * (s / n)) / (n - 1), 0.0))')}, 0.0), 12) AS sharpe FROM sm),
-be AS (SELECT combo, config FROM (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY sharpe DESC, config) AS k FROM sh WHERE inside) WHERE k = 1),
-om AS (SELECT combo, config, (rank() OVER (PARTITION BY combo ORDER BY sharpe) + (count(*) OVER (PARTITION BY combo, sharpe) - 1) / 2.0) / (count(*) OVER (PARTITION BY combo) + 1) AS omega FROM sh WHERE NOT inside)
-SELECT CAST(combo AS INT) AS combo, config, {r('omega')} AS omega, {r('ln(omega / (1 - omega))')} AS logit FROM om SEMI JOIN be USING (combo, config)""",
-)(lambda s, d: overfitting.backtest_overfitting(trials(s, d), 6))
-_SHARE = f"""{_BLOCKS.replace("n // 6", "n // 10").replace("n % 6", "n % 10")}, mom AS (SELECT block, config, count(r) AS n, sum(r) AS s, sum(r * r) AS ss FROM bl GROUP BY 1, 2),
+_OMEGA = f"""{_BLOCKS.replace("n // 6", "n // 10").replace("n % 6", "n % 10")}, mom AS (SELECT block, config, count(r) AS n, sum(r) AS s, sum(r * r) AS ss FROM bl GROUP BY 1, 2),
 cb AS (SELECT combo FROM range(1024) t(combo) WHERE bit_count(combo) = 5),
 sm AS (SELECT combo, config, (combo >> block) & 1 = 1 AS inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM cb, mom GROUP BY 1, 2, 3),
 sh AS (SELECT *, round(coalesce({div('s / n', 'sqrt(greatest((ss - n * (s / n) * (s / n)) / (n - 1), 0.0))')}, 0.0), 12) AS sharpe FROM sm),
 be AS (SELECT combo, config FROM (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY sharpe DESC, config) AS k FROM sh WHERE inside) WHERE k = 1),
-om AS (SELECT combo, config, (rank() OVER (PARTITION BY combo ORDER BY sharpe) + (count(*) OVER (PARTITION BY combo, sharpe) - 1) / 2.0) / (count(*) OVER (PARTITION BY combo) + 1) AS omega FROM sh WHERE NOT inside)
-SELECT {r('avg(CAST(ln(omega / (1 - omega)) < 0 AS INT))')} AS pbo, count(*) AS combos FROM om SEMI JOIN be USING (combo, config)"""
-query("a_overfitting_share", _SHARE)(lambda s, d: overfitting.overfitting_share(overfitting.backtest_overfitting(trials(s, d), 10)))
+om AS (SELECT combo, config, (rank() OVER (PARTITION BY combo ORDER BY sharpe) + (count(*) OVER (PARTITION BY combo, sharpe) - 1) / 2.0) / (count(*) OVER (PARTITION BY combo) + 1) AS omega FROM sh WHERE NOT inside)"""
+query("a_overfitting", f"{_OMEGA} SELECT CAST(combo AS INT) AS combo, config, {r('omega')} AS omega, {r('ln(omega / (1 - omega))')} AS logit FROM om SEMI JOIN be USING (combo, config)")(
+    lambda s, d: overfitting.backtest_overfitting(trials(s, d), 10)
+)
+query("a_overfitting_share", f"{_OMEGA} SELECT {r('avg(CAST(ln(omega / (1 - omega)) < 0 AS INT))')} AS pbo, count(*) AS combos FROM om SEMI JOIN be USING (combo, config)")(
+    lambda s, d: overfitting.overfitting_share(overfitting.backtest_overfitting(trials(s, d), 10))
+)
 
 
 def _fold_returns(spark, sf_dir) -> DataFrame:
