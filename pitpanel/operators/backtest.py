@@ -45,39 +45,52 @@ def with_band(scores: DataFrame, n: int, keep: float) -> DataFrame:
     return folded.select(F.explode("d").alias("d")).select("d.idx", F.explode("d.held").alias("ticker"))
 
 
-def segments(weights: DataFrame, calendar: DataFrame) -> DataFrame:
-    """weights (idx of the signal, ticker, w) with seg, first and last: rows in which the holdings earn (idx + 2 on)."""
-    order = weights.select("idx").distinct().withColumn("seg", F.row_number().over(Window.orderBy("idx")))
-    order = order.withColumn("last", F.lead("idx").over(Window.orderBy("idx")) + 1)
+def segments(weights: DataFrame, calendar: DataFrame, *by: str) -> DataFrame:
+    """weights (by, idx of the signal, ticker, w) with seg, first and last: rows in which the holdings earn (idx + 2 on)."""
+    w = Window.partitionBy(*by).orderBy("idx")
+    order = weights.select(*by, "idx").distinct().withColumn("seg", F.row_number().over(w)).withColumn("last", F.lead("idx").over(w) + 1)
     end = calendar.agg(F.max("idx").alias("end"))
-    order = order.crossJoin(F.broadcast(end)).select("idx", "seg", (F.col("idx") + 2).alias("first"), F.coalesce("last", "end").alias("last"))
-    return weights.join(F.broadcast(order), "idx")
+    order = order.crossJoin(F.broadcast(end)).select(*by, "idx", "seg", (F.col("idx") + 2).alias("first"), F.coalesce("last", "end").alias("last"))
+    return weights.join(order, [*by, "idx"])
 
 
-def drift(segs: DataFrame, returns: DataFrame) -> DataFrame:
-    """seg, idx, ticker, value: what a holding is worth in its segment, weights drifting with returns (NULL as 0)."""
-    rows = segs.join(returns.select("ticker", F.col("idx").alias("day"), "r"), "ticker").filter("day BETWEEN first AND last")
-    w = Window.partitionBy("seg", "ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("seg", "ticker", F.col("day").alias("idx"), "w", (F.col("w") * F.product(1 + F.coalesce("r", F.lit(0.0))).over(w)).alias("value"))
+def drift(segs: DataFrame, returns: DataFrame, *by: str) -> DataFrame:
+    """by, seg, idx, ticker, w, value: what a holding is worth in its segment, weights drifting with returns (NULL as 0).
+
+    Every holding gets the days of its segment and meets its returns on (ticker, idx), so no row is made that is not kept.
+    """
+    days = segs.filter("first <= last").select(*by, "seg", "ticker", "w", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("idx"))
+    rows = days.join(returns.select("ticker", "idx", "r"), ["ticker", "idx"])
+    w = Window.partitionBy(*by, "seg", "ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(*by, "seg", "ticker", "idx", "w", (F.col("w") * F.product(1 + F.coalesce("r", F.lit(0.0))).over(w)).alias("value"))
+
+
+def gross(weights: DataFrame, returns: DataFrame, calendar: DataFrame, *by: str, adv: DataFrame | None = None) -> DataFrame:
+    """by, idx, gross, traded, strain: daily returns before costs; on a segment's first day the weights traded and, with adv
+    (ticker, idx of the signal, adv), the sum of traded ** 1.5 / sqrt(adv), to which market impact is in proportion."""
+    segs = segments(weights.select(*by, "idx", "ticker", "w"), calendar, *by)
+    held = drift(segs, returns, *by)
+    daily = held.groupBy(*by, "seg", "idx").agg(F.sum("value").alias("v"), F.sum("w").alias("w0"))
+    order = Window.partitionBy(*by, "seg").orderBy("idx")
+    daily = daily.withColumn("gross", safe_div(F.col("v"), F.coalesce(F.lag("v").over(order), "w0")) - 1).withColumn("__no", F.row_number().over(order))
+    ends = held.groupBy(*by, "seg", "ticker").agg(F.max_by("value", "idx").alias("value"))
+    ends = ends.select(*by, (F.col("seg") + 1).alias("seg"), "ticker", safe_div(F.col("value"), F.sum("value").over(Window.partitionBy(*by, "seg"))).alias("old"))
+    moved = segs.select(*by, "seg", "ticker", "w", "idx").join(ends, [*by, "seg", "ticker"], "full_outer")
+    moved = moved.withColumn("moved", F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
+    strain = F.lit(0.0)
+    if adv is not None:
+        moved = moved.withColumn("idx", F.max("idx").over(Window.partitionBy(*by, "seg"))).join(adv.select("ticker", "idx", "adv"), ["ticker", "idx"], "left")
+        strain = F.coalesce(F.sum(F.col("moved") * F.sqrt(F.greatest(safe_div(F.col("moved"), F.col("adv")), F.lit(0.0)))), F.lit(0.0))
+    trade = moved.groupBy(*by, "seg").agg(F.sum("moved").alias("traded"), strain.alias("strain"))
+    rows = daily.join(trade, [*by, "seg"])
+    first = F.col("__no") == 1
+    return rows.select(*by, "idx", "gross", F.when(first, F.col("traded")).alias("traded"), F.when(first, F.col("strain")).alias("strain"))
 
 
 def run(weights: DataFrame, returns: DataFrame, calendar: DataFrame, cost: float = 0.0015) -> DataFrame:
     """idx, ret, turnover: daily portfolio returns net of costs on the traded weights, charged on a segment's first day."""
-    segs = segments(weights, calendar)
-    held = drift(segs, returns)
-    daily = held.groupBy("seg", "idx").agg(F.sum("value").alias("v"), F.sum("w").alias("w0"))
-    prev = F.lag("v").over(Window.partitionBy("seg").orderBy("idx"))
-    daily = daily.withColumn("gross", safe_div(F.col("v"), F.coalesce(prev, "w0")) - 1)
-    ends = held.withColumn("__n", F.row_number().over(Window.partitionBy("seg", "ticker").orderBy(F.desc("idx")))).filter("__n = 1")
-    ends = ends.withColumn("end_w", safe_div(F.col("value"), F.sum("value").over(Window.partitionBy("seg"))))
-    new = segs.select("seg", "ticker", "w")
-    old = ends.select((F.col("seg") + 1).alias("seg"), "ticker", "end_w")
-    last = segs.agg(F.max("seg").alias("m"))
-    trade = new.join(old, ["seg", "ticker"], "full_outer").join(F.broadcast(last), F.col("seg") <= F.col("m"))
-    trade = trade.groupBy("seg").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("end_w", F.lit(0.0)))).alias("traded"))
-    first = F.row_number().over(Window.partitionBy("seg").orderBy("idx")) == 1
-    rows = daily.join(trade, "seg").withColumn("__first", first)
-    return rows.select("idx", (F.col("gross") - F.when(F.col("__first"), F.col("traded") * cost).otherwise(0.0)).alias("ret"), F.when(F.col("__first"), F.col("traded") / 2).alias("turnover"))
+    rows = gross(weights, returns, calendar)
+    return rows.select("idx", (F.col("gross") - F.coalesce(F.col("traded") * cost, F.lit(0.0))).alias("ret"), (F.col("traded") / 2).alias("turnover"))
 
 
 def apply_exposure(result: DataFrame, exposure: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def inverse_volatility(returns: DataFrame, by: str = "date") -> DataFrame:
     return rows.select(by, "ticker", (F.col("__i") / F.sum("__i").over(w)).alias("w"))
 
 
-def capped(rows: DataFrame, cap: float, by: str = "date") -> DataFrame:
+def capped(rows: DataFrame, cap: float | Column, by: str = "date") -> DataFrame:
     """w at most cap, the excess spread in proportion over the others; equal weights where the cap can't hold.
 
     In order of weight the largest k names sit at the cap, k the least number for which the scaled rest stays under it.
