@@ -979,8 +979,15 @@ def _fold_returns(spark, sf_dir) -> DataFrame:
 
 
 FOLDS = search.folds(date(1995, 1, 2), date(2001, 11, 4))
-_FOLDS = "fo AS (SELECT * FROM (VALUES " + ", ".join(f"({f.no}, DATE '{f.train_start}', DATE '{f.train_end}', DATE '{f.test_start}', DATE '{f.test_end}')" for f in FOLDS) + ") t(fold, a, b, c, d))"
-_WF = f"""{DAILY}{RET}, {_FOLDS}, rr AS (SELECT ticker AS config, date, round(r, 9) AS r FROM pr WHERE r IS NOT NULL),
+
+
+def folds_sql(first: str, last: str) -> str:
+    """SQL of the folds (fo: fold, training a to b, test c to d), one test year after the other from three years on; for WITH RECURSIVE."""
+    return f"""fs AS (SELECT 0 AS fold, {first} AS a, CAST({first} + INTERVAL 36 MONTH AS DATE) AS c, {last} AS l UNION ALL SELECT fold + 1, a, CAST(c + INTERVAL 12 MONTH AS DATE), l FROM fs WHERE CAST(c + INTERVAL 12 MONTH AS DATE) < l),
+fo AS (SELECT fold, a, CAST(c - 31 AS DATE) AS b, c, CAST(least(CAST(c + INTERVAL 12 MONTH AS DATE) - 1, l) AS DATE) AS d FROM fs WHERE c < l AND least(CAST(c + INTERVAL 12 MONTH AS DATE) - 1, l) - c >= 60)"""
+
+
+_WF = f"""{DAILY.replace("WITH li", "WITH RECURSIVE li", 1)}{RET}, {folds_sql("DATE '1995-01-02'", "DATE '2001-11-04'")}, rr AS (SELECT ticker AS config, date, round(r, 9) AS r FROM pr WHERE r IS NOT NULL),
 ob AS (SELECT fold, config, count(r) AS n, CASE WHEN count(r) >= 60 AND abs(stddev_samp(r)) > 1e-9 THEN (avg(r) - 0.05 / 252) / stddev_samp(r) * sqrt(252.0) ELSE '-inf'::DOUBLE END AS objective FROM rr JOIN fo ON date BETWEEN a AND b GROUP BY 1, 2),
 ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY objective DESC, config) AS place FROM ob) WHERE place <= 2 AND objective > '-inf'::DOUBLE)"""
 query("b_fold_choice", f"{_WF} SELECT CAST(fold AS INT) AS fold, config, {r('objective')} AS objective, n, CAST(place AS INT) AS place FROM ch")(

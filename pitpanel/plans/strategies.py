@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, crosssection, strategy
+from ..functions.columns import fixed
+from ..operators import backtest, crosssection, search, strategy, walkforward
 from ..operators.universe import Universe
 from ..sources import panels
-from .queries import BENCH, DAILY, RET, _Z, div, query, r, rows
+from .queries import BENCH, DAILY, RET, _Z, div, folds_sql, normal, query, r, rows
+from .rotations import _cdf, pbo_sql
 
 FACTORS = ("close", "mcap", "volume")
 DECLARED = (
@@ -89,3 +91,55 @@ query(
 a AS (SELECT config, count(ret) AS days, product(1 + coalesce(ret, 0)) AS g, stddev_samp(ret) * sqrt(252.0) AS vol, avg(ret) * 252 - 0.05 AS x, min(dd) AS mdd, avg(turnover) AS tv FROM d GROUP BY 1)
 SELECT config, days, {r('g - 1')} AS total, {r('pow(g, 252.0 / days) - 1')} AS cagr, {r('vol')} AS vol, {r(div('x', 'vol'))} AS sharpe, {r('mdd')} AS max_drawdown, {r('tv')} AS turnover FROM a""",
 )(lambda s, d: strategy.summary(strategy.returns(market(s, d), DECLARED)))
+
+
+# search inside walk-forward
+
+BASE = strategy.Declared("base", (("close", 2.0), ("mcap", -1.0), ("volume", 1.0)), n=6)
+SPACE = {"n": ("int", 4, 8), "rebalance": ("cat", ["month", "quarter"]), "w_close": ("float", 0.0, 2.0)}
+
+
+def tried(spark, sf_dir, method: str, **how) -> walkforward.Found:
+    """A search over BASE's parameters in the folds of the table's own calendar."""
+    at = market(spark, sf_dir)
+    bench = panels.kept(at.benchmark)
+    at = strategy.Market(panels.kept(at.daily), panels.kept(at.factors), bench)
+    first, last = bench.agg(F.min("date"), F.max("date")).first()
+
+    def returns_of(configs):
+        rows_ = strategy.returns(at, [BASE.with_params(name, params) for name, params in configs.items()])
+        return rows_.join(F.broadcast(bench.select("idx", "date")), "idx").select("config", "date", F.round("ret", 9).alias("r"))
+
+    return walkforward.run(spark, returns_of, SPACE, search.folds(first, last), panels.kept, method, **how)
+
+
+GRID = {walkforward.key(p): p for p in walkforward.lattice(SPACE, 2)}
+_ORDER = ", ".join(f"({k}, {c!r}, {p['n']!r}, {p['w_close']!r})" for k, (c, p) in enumerate(GRID.items()))
+_GRID = f"""{book_sql([BASE.with_params(c, p) for c, p in GRID.items()]).replace("WITH li", "WITH RECURSIVE li", 1)},
+tr AS (SELECT * FROM (VALUES {_ORDER}) t(trial, config, p_n, p_close)), {folds_sql("(SELECT min(date) FROM b)", "(SELECT max(date) FROM b)")},
+rr AS MATERIALIZED (SELECT config, date, round(ret, 9) AS r FROM bk JOIN b USING (idx) WHERE ret IS NOT NULL),
+lg AS MATERIALIZED (SELECT fo.fold, trial, tr.config, coalesce(CASE WHEN count(r) >= 60 AND abs(stddev_samp(r)) > 1e-9 THEN (avg(r) - 0.05 / 252) / stddev_samp(r) * sqrt(252.0) END, '-inf'::DOUBLE) AS objective, count(r) AS n
+  FROM fo CROSS JOIN tr LEFT JOIN rr ON rr.config = tr.config AND rr.date BETWEEN fo.a AND fo.b GROUP BY 1, 2, 3),
+ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY objective DESC, trial) AS place FROM lg) WHERE place <= 2 AND (objective > '-inf'::DOUBLE OR place = 1)),
+te AS (SELECT ch.fold, date, avg(r) AS r FROM ch JOIN fo USING (fold) JOIN rr ON rr.config = ch.config AND rr.date BETWEEN fo.c AND fo.d GROUP BY 1, 2)"""
+_FIGURES = f"""{_GRID}, va AS (SELECT count(*) AS trials, count(DISTINCT fold) AS folds, var_pop(objective) FILTER (objective > '-inf'::DOUBLE) / 252 AS v FROM lg),
+mm AS (SELECT *, avg(r) OVER () AS mu FROM te), sg2 AS (SELECT count(r)::DOUBLE AS n, avg(r) / stddev_samp(r) AS sr, stddev_samp(r) AS sdv, avg(pow(r - mu, 3)) / pow(avg(pow(r - mu, 2)), 1.5) AS sk, avg(pow(r - mu, 4)) / pow(avg(pow(r - mu, 2)), 2) AS ku FROM mm),
+fg AS (SELECT folds, trials, n, (sr - 0.05 / 252 / sdv) * sqrt(252.0) AS sharpe, {_cdf(f"(sr - sqrt(v) * ((1 - 0.5772156649015329) * {normal('1 - 1.0 / trials')} + 0.5772156649015329 * {normal('1 - 1 / (trials * exp(1))')})) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12))")} AS dsr FROM sg2, va)"""
+_STABLE = f"""st AS (SELECT param, count(*) AS folds, quantile_cont(v, 0.25) AS low, quantile_cont(v, 0.75) AS high, {div('quantile_cont(v, 0.75) - quantile_cont(v, 0.25)', 'max(v) - min(v)')} AS spread
+  FROM (SELECT 'n' AS param, p_n::DOUBLE AS v FROM ch JOIN tr USING (trial) WHERE place = 1 UNION ALL SELECT 'w_close', p_close::DOUBLE FROM ch JOIN tr USING (trial) WHERE place = 1) GROUP BY 1)"""
+
+query("b_search_log", f"{_GRID} SELECT CAST(fold AS INT) AS fold, trial, config, {r('objective')} AS objective, n FROM lg")(lambda s, d: tried(s, d, "grid", steps=2, top=2).log)
+query("b_search_choice", f"{_GRID} SELECT CAST(fold AS INT) AS fold, CAST(place AS INT) AS place, config, {r('objective')} AS objective FROM ch")(lambda s, d: tried(s, d, "grid", steps=2, top=2).chosen)
+query("b_search_returns", f"{_GRID} SELECT CAST(fold AS INT) AS fold, date, {r('r', 9)} AS r FROM te", places=9)(lambda s, d: tried(s, d, "grid", steps=2, top=2).tested)
+query("b_search_figures", f"{_FIGURES} SELECT CAST(folds AS INT) AS folds, trials, CAST(n AS BIGINT) AS days, {r('sharpe')} AS sharpe, {r('dsr', 6)} AS deflated_sharpe FROM fg")(
+    lambda s, d: walkforward.figures(tried(s, d, "grid", steps=2, top=2)).withColumn("deflated_sharpe", fixed(F.col("deflated_sharpe"), 6))
+)
+query("b_search_stability", f"{_GRID}, {_STABLE} SELECT param, folds, {r('low')} AS low, {r('high')} AS high, {r('spread')} AS spread FROM st")(lambda s, d: walkforward.stability(tried(s, d, "grid", steps=2, top=2)))
+query(
+    "a_search_gates",
+    f"""{_FIGURES}, {_STABLE}, pm AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY date) - 1 AS period, config, coalesce(r, 0.0) AS r FROM (SELECT config, date, round(ret, 9) AS r FROM bk JOIN b USING (idx))), pb AS ({pbo_sql('pm', 10)}),
+ga AS (SELECT 'sharpe' AS gate, sharpe AS value, sharpe > 0.5 AS passed FROM fg UNION ALL SELECT 'deflated_sharpe', dsr, dsr > 0.95 FROM fg UNION ALL SELECT 'stability', max(spread), coalesce(max(spread) <= 1.0 / 3, true) FROM st UNION ALL SELECT 'pbo', pbo, pbo < 0.3 FROM pb)
+SELECT gate, {r('value', 6)} AS value, passed FROM ga""",
+    places=6,
+)(lambda s, d: walkforward.gates(tried(s, d, "grid", steps=2, top=2)))
+query("b_search_bayesian")(lambda s, d: tried(s, d, "bayesian", trials=7).log)
