@@ -462,10 +462,44 @@ def test_long_entities_go_whole_and_one_domain_has_one_surrogate(spark):
     assert got == {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
 
 
-def test_surrogates_stay_distinct_in_a_small_format(spark):
-    entities = spark.createDataFrame([("secret", f"{i:02d}") for i in range(40)], "kind string, norm string")
-    outs = [r.out for r in pii.surrogates(entities, "k").collect()]
-    assert len(set(outs)) == 40 and not {f"{i:02d}" for i in range(40)} & set(outs)
+@pytest.mark.parametrize(
+    "kind, norms",
+    [
+        ("secret", [f"{i:02d}" for i in range(100)]), ("secret", [f"{c}{d}" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(3)]), ("email", [f"{c}@corp.io" for c in "abcdefghijklmnopqrstuvwxyz"]),
+        ("secret", ["9f" * 20, "9f" * 19 + "90", "P@ss-w0rd!x9", "é1", "-"]), ("card", [f"41111111111111{i:02d}" for i in range(100)]), ("ip", [f"10.0.0.{i}" for i in range(256)]), ("phone", [f"+4930123{i}" for i in range(50)]),
+        ("iban", ["DE89370400440532013000", "GB29NWBK60161331926819"]), ("ssn", ["078051120", "078051121"]),
+    ],
+)
+def test_formatted_surrogates_are_one_to_one(spark, kind, norms):
+    got = {r.norm: r.out for r in pii.surrogates(spark.createDataFrame([(kind, n) for n in norms], "kind string, norm string"), "k").collect()}
+    shape = lambda t: re.sub("[a-f]", "a", re.sub("[g-z]", "g", re.sub("[A-F]", "A", re.sub("[G-Z]", "G", re.sub("[0-9]", "0", t)))))
+    luhn = lambda t: sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(int(c) for c in reversed(t))) % 10
+    assert len(set(got.values())) == len(set(norms)) == len(got)
+    for norm, out in got.items():
+        assert (out != norm or norm == "-") and (kind == "ip" or shape(out) == shape(norm))
+        assert kind != "card" or luhn(out) == luhn(norm)
+        assert kind != "ip" or all(0 <= int(o) < 256 for o in out.split("."))
+
+
+def test_the_permutation_of_a_format_takes_all_its_values(spark):
+    for size in (2, 10, 97, 600):
+        rows = spark.range(size).select("id", pii.moved_on(F.col("id"), F.lit(size).cast("long"), F.lit("t")).alias("to")).collect()
+        assert sorted(r.to for r in rows) == list(range(size)) and all(r.to != r.id for r in rows)
+
+
+def test_names_without_end_and_other_kinds(spark):
+    rows = [
+        (1, "Mr. Juan Carlos Garcia wrote to Dr. Alan Turing and Prof. Marie Curie."), (1, "Another row of this id: Mr. Garcia."), (None, "Dr. Turing"), (None, "Mrs. Curie, SSN 078-05-1120"),
+        (2, "IBAN DE89 3704 0044 0532 0130 00, password: p@ss-w0rd!x9, token=abcdefghijkl, x.y@a.b.c.d.e.f.g.h.i.jkl.com"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r.text for r in pii.replace_entities(docs, "k").orderBy("doc_id", "text").collect()]
+    for word in ("Juan", "Carlos", "Garcia", "Alan", "Turing", "Marie", "Curie", "078-05-1120", "3704", "p@ss", "abcdefghijkl", "jkl.com", "x.y@"):
+        assert not any(word in t for t in out), word
+    text = "\n".join(out)
+    family = re.search(r"Mr\. \S+ \S+ (\S+) wrote to Dr\. \S+ (\S+) and Prof\. \S+ (\S+)\.", text)
+    assert f"this id: Mr. {family[1]}." in text and f"Dr. {family[2]}" in out and f"Mrs. {family[3]}, SSN" in text
+    assert re.search(r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d, password: \w@\w\w-\w\d\w\w!\w\d, token=[a-z]{12}, \w\.\w@", text)
 
 
 def test_bitmap_has_no_false_no(spark):
