@@ -28,3 +28,26 @@ def validity(right: DataFrame, key: str, known: str, order: list[str]) -> DataFr
     newest = Window.partitionBy(key, known).orderBy(*[F.desc(c) for c in order])
     rows = right.filter(F.col(known).isNotNull()).withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
     return rows.withColumn("valid_to", F.lead(known).over(Window.partitionBy(key).orderBy(known)))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, known: str, carry: list[str], ahead: bool = False, most_days: int | None = None) -> DataFrame:
+    """left with `found` (the date met) and `carry` of the key's right row at `at` or nearest before it (after it, with ahead).
+
+    Rows more than most_days away don't count; values are carried as they are, NULLs too. Right has one row for each
+    (key, known) and rows without `known` don't count. One sorted run per key, as in as_of.
+    """
+    payload = F.struct(F.col(known).alias("__f"), *carry)
+    facts = right.filter(F.col(known).isNotNull()).select(F.col(key).alias("__k"), F.col(known).alias("__t"), F.lit(0).alias("__side"), payload.alias("__p"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"))
+    asks = left.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(facts.schema["__p"].dataType).alias("__p"), F.struct(*left.columns).alias("__l"))
+    w = Window.partitionBy("__k").orderBy(F.desc("__t") if ahead else F.col("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = facts.unionByName(asks).withColumn("__p", F.last("__p", ignorenulls=True).over(w)).filter("__side = 1")
+    if most_days is not None:
+        rows = rows.withColumn("__p", F.when(F.abs(F.datediff("__t", F.col("__p.__f"))) <= most_days, F.col("__p")))
+    return rows.select("__l.*", F.col("__p.__f").alias("found"), *[F.col(f"__p.{c}").alias(c) for c in carry])
+
+
+def months_before(prices: DataFrame, months: int, key: str = "ticker", date: str = "date", value: str = "close") -> DataFrame:
+    """prices with `start`: the last known value at or before the date less so many months; NULL before the first."""
+    known = prices.filter(F.col(value).isNotNull()).select(key, F.col(date).alias("__d"), F.col(value).alias("start"))
+    asked = prices.withColumn("__ask", F.add_months(date, -months))
+    return nearest(asked, known, key, "__ask", "__d", ["start"]).drop("__ask", "found")

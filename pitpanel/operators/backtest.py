@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import safe_div
 from .timeseries import YEAR, drawdown, equity
@@ -17,32 +19,39 @@ def rebalance_dates(calendar: DataFrame, period: str = "month") -> DataFrame:
     return last.join(calendar.agg(F.max("idx").alias("end")), F.col("idx") < F.col("end")).drop("end")
 
 
-def top_n(scores: DataFrame, n: int, by: str = "date") -> DataFrame:
-    """The n best scores of a date; ties go by ticker."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "ticker")
+def top_n(scores: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n best scores of a date (or of what `by` names); ties go by ticker."""
+    w = Window.partitionBy(*(by or ("date",))).orderBy(F.desc("score"), "ticker")
     return scores.filter("score IS NOT NULL").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def with_band(scores: DataFrame, n: int, keep: float) -> DataFrame:
-    """idx, ticker held: those held before stay while ranked within round(n * keep), the best others fill up.
+def with_band(scores: DataFrame, n: int, keep: float, *by: str) -> DataFrame:
+    """by, idx, ticker held: those held before stay while ranked within round(n * keep), the best others fill up.
 
-    A choice depends on the one before, so the candidates of all dates (n * keep names each) form one ordered fold.
+    A choice depends on the one before, so each strategy's candidates (n * keep names a date) run along its dates in one
+    call that holds the n names of the date before and hands out each date's names: time and memory are linear in dates.
     """
-    ranked = top_n(scores, max(n, int(n * keep + 0.5)), "idx").groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("rank", "ticker"))).alias("c"))
-    steps = ranked.agg(F.sort_array(F.collect_list(F.struct("idx", F.transform("c", lambda x: x["ticker"]).alias("names")))).alias("s"))
-    none = F.array().cast("array<struct<idx:int,held:array<string>>>")
-
-    def step(done, row):
-        held = F.coalesce(F.try_element_at(done, F.lit(-1))["held"], F.array().cast("array<string>"))
-        stay = F.filter(row["names"], lambda t: F.array_contains(held, t))
-        stay = F.slice(stay, 1, n)
-        fresh = F.filter(row["names"], lambda t: ~F.array_contains(held, t))
-        return F.concat(done, F.array(F.struct(row["idx"].cast("int").alias("idx"), F.slice(F.concat(stay, fresh), 1, n).alias("held"))))
-
     if n * keep == n:
-        return top_n(scores, n, "idx").select("idx", "ticker")
-    folded = steps.select(F.aggregate("s", none, step).alias("d"))
-    return folded.select(F.explode("d").alias("d")).select("d.idx", F.explode("d.held").alias("ticker"))
+        return top_n(scores, n, *by, "idx").select(*by, "idx", "ticker")
+    ranked = top_n(scores, max(n, int(n * keep + 0.5)), *by, "idx").select(*by, "idx", "ticker", "rank")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("idx", "ascending"), ("rank", "ascending")])
+        names, dates = rows.column("ticker").to_pylist(), rows.column("idx").to_pylist()
+        held, kept, at = set(), [], 0
+        while at < len(names):
+            end = at
+            while end < len(names) and dates[end] == dates[at]:
+                end += 1
+            stay = [k for k in range(at, end) if names[k] in held][:n]
+            fresh = [k for k in range(at, end) if names[k] not in held]
+            chosen = (stay + fresh)[:n]
+            held = {names[k] for k in chosen}
+            kept += chosen
+            at = end
+        return rows.take(pa.array(kept, pa.int64())).drop_columns(["rank"])
+
+    return ranked.groupBy(*(by or (F.lit("all"),))).applyInArrow(run, StructType([f for f in ranked.schema if f.name != "rank"]))
 
 
 def segments(weights: DataFrame, calendar: DataFrame, *by: str) -> DataFrame:
@@ -139,16 +148,39 @@ def current_holdings(scores: DataFrame, prices: DataFrame, as_of: str, n: int =
     return best.select("ticker", (1 / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).alias("weight"), "score", "price")
 
 
-def share_plan(targets: DataFrame, holdings: DataFrame, prices: DataFrame, cash: float) -> DataFrame:
-    """ticker, price, shares, target_shares, trade, amount, action: whole shares towards target weights (ticker, w).
+def share_plan(targets: DataFrame, holdings: DataFrame, prices: DataFrame, cash: float, *by: str) -> DataFrame:
+    """by, step, ticker, price, shares, target, trade, action, final_shares, cash, error: whole shares towards target weights.
 
-    holdings: ticker, shares; prices: ticker, price. The portfolio is worth its shares and the cash; targets are cut to
-    whole shares, so what is bought never costs more than there is. Names without a price are left out.
+    targets: ticker, w; holdings: ticker, shares; prices: ticker, price; all with the portfolio in `by`, if there are many.
+    A portfolio is worth its priced shares and the cash. First sales, whole positions of names without a target and of
+    others what exceeds theirs, then purchases, the largest shortfall first (ties by ticker), each of as many shares as
+    its shortfall and the cash left then allow; so cash never falls below zero. `cash` is what is left after a row's step
+    and `error` the share of the final worth less the target. Positions without a price are kept and listed, worth nothing
+    here; targets without one stay unfilled. One portfolio's orders are one ordered fold.
     """
-    rows = prices.filter("price > 0").join(holdings, "ticker", "left").join(targets, "ticker", "left").fillna(0, ["shares"]).fillna(0.0, ["w"])
-    rows = rows.filter("shares > 0 OR w > 0")
-    worth = rows.agg((F.sum(F.col("shares") * F.col("price")) + cash).alias("__v"))
-    rows = rows.join(worth, F.lit(True)).withColumn("target_shares", F.floor(F.col("w") * F.col("__v") / F.col("price")).cast("long"))
-    trade = F.col("target_shares") - F.col("shares")
-    action = F.when(trade > 0, "BUY").when(trade < 0, "SELL").otherwise("HOLD")
-    return rows.select("ticker", "price", F.col("shares").cast("long").alias("shares"), "target_shares", trade.cast("long").alias("trade"), (trade * F.col("price")).alias("amount"), action.alias("action"))
+    keys = [*by, "ticker"]
+    rows = holdings.select(*keys, "shares").join(targets.select(*keys, "w"), keys, "full_outer").join(prices.filter("price > 0").select(*keys, "price"), keys, "left")
+    rows = rows.select(*keys, F.coalesce("shares", F.lit(0)).cast("long").alias("shares"), F.coalesce("w", F.lit(0.0)).alias("w"), "price").filter("shares > 0 OR w > 0")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    value = F.coalesce(F.col("shares") * F.col("price"), F.lit(0.0))
+    rows = rows.withColumn("target", F.col("w") * (F.sum(value).over(whole) + cash))
+    short = F.col("target") - value
+    sold = F.when(F.col("price").isNull(), 0).when(F.col("w") == 0, F.col("shares")).otherwise(F.floor(F.greatest(-short, F.lit(0.0)) / F.col("price"))).cast("long")
+    rows = rows.withColumn("sold", sold).withColumn("most", F.when((short > 0) & F.col("price").isNotNull(), F.floor(short / F.col("price"))).otherwise(0).cast("long"))
+    order = F.struct((F.col("sold") == 0).alias("later"), F.when(F.col("sold") == 0, -short).otherwise(0.0).alias("first"), "ticker", "price", "shares", "w", "target", "sold", "most")
+    orders = rows.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("o"), F.lit(0).alias("one"))
+    none = F.array().cast("array<struct<cash:double,trade:bigint>>")
+
+    def step(s, o):
+        left = s["cash"] + o["sold"] * F.coalesce(o["price"], F.lit(0.0))
+        bought = F.greatest(F.least(o["most"], F.coalesce(F.floor(left / o["price"]).cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"))
+        rest = left - bought * F.coalesce(o["price"], F.lit(0.0))
+        return F.struct(rest.alias("cash"), F.concat(s["done"], F.array(F.struct(rest.alias("cash"), (bought - o["sold"]).cast("long").alias("trade")))).alias("done"))
+
+    walked = orders.select(*by, F.arrays_zip("o", F.aggregate("o", F.struct(F.lit(float(cash)).alias("cash"), none.alias("done")), step, lambda s: s["done"]).alias("d")).alias("z"))
+    out = walked.select(*by, F.posexplode("z").alias("step", "z")).select(*by, "step", "z.o.*", F.col("z.d.cash").alias("cash"), F.col("z.d.trade").alias("trade"))
+    out = out.withColumn("final_shares", F.col("shares") + F.col("trade"))
+    final = F.coalesce(F.col("final_shares") * F.col("price"), F.lit(0.0))
+    action = F.when(F.col("trade") > 0, "BUY").when(F.col("trade") < 0, "SELL").otherwise("HOLD")
+    error = safe_div(final, F.sum(final).over(whole)) - F.col("w")
+    return out.withColumn("error", error).select(*by, "step", "ticker", "price", "shares", "target", "trade", action.alias("action"), "final_shares", "cash", "error")

@@ -81,30 +81,53 @@ def select_factors(ic: DataFrame, ends: DataFrame, k: int = 5, least_ic: float =
     return rows.filter("__good OR NOT __some").select("fold", "factor", "ic")
 
 
-def forward_selection(panel: DataFrame, factors: list[str], k: int = 5, least_ic: float = 0.0) -> DataFrame:
-    """step, factor, ic: factors picked one by one by the mean IC of what is left of them after regression on those picked.
+def forward_selection(panel: DataFrame, factors: list[str], ends: DataFrame, k: int = 5, least_ic: float = 0.0, least: int = 36, lag: int = 2) -> DataFrame:
+    """fold, step, factor, ic: for each fold (fold, end) factors picked one by one by the mean IC of what is left of them after
+    regression on those picked, from dates up to the end less the last `lag`; so nothing after a fold's training counts.
 
-    panel: date, ticker, fwd and a column for each factor, of one scale. A round scores all candidates in one plan; its
-    result, a row a factor, decides the next.
+    All factors (step 0) where fewer than `least` dates are left or none is above least_ic. panel: date, ticker, fwd and a
+    column for each factor, of one scale. Folds that have picked the same factors share their ICs, and a round scores all
+    candidates of all folds; the driver holds a row for each fold, step and factor.
     """
-    spark, picked, found = panel.sparkSession, [], []
-    while len(picked) < min(k, len(factors)):
+    spark = panel.sparkSession
+    dates = panel.select("date").distinct().withColumn("no", F.row_number().over(Window.orderBy("date")))
+    upto = {r.fold: r.n - lag for r in dates.join(ends, F.col("date") <= F.col("end")).groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    picked: dict[int, list[str]] = {fold: [] for fold, n in upto.items() if n >= least}
+    found, open_ = [], set(picked)
+    while open_:
+        groups: dict[tuple[str, ...], list[int]] = {}
+        for fold in open_:
+            groups.setdefault(tuple(picked[fold]), []).append(fold)
         scored = None
-        for name in (f for f in factors if f not in picked):
-            rows = panel.select("date", "ticker", "fwd", *picked, F.col(name).alias("y"))
-            if picked:
-                ok = F.col("y").isNotNull()
-                for p in picked:
-                    ok = ok & F.col(p).isNotNull()
-                rows = rows.filter(ok).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("__n") >= LEAST_NAMES)
-                rows = neutral(rows.withColumn("__all", F.lit(1)), "y", ["__all"], picked, out="left")
-            else:
-                rows = rows.withColumn("left", F.col("y"))
-            one = rank_ic(rows.withColumn("left", F.round("left", 9)), "left").agg(F.avg("ic").alias("ic")).select(F.lit(name).alias("factor"), "ic")
+        for done, folds in groups.items():
+            means = candidate_ics(panel, factors, list(done)).join(F.broadcast(dates), "date")
+            last = spark.createDataFrame([(fold, upto[fold]) for fold in folds], "fold int, upto int")
+            one = means.join(F.broadcast(last), F.col("no") <= F.col("upto")).groupBy("fold", "factor").agg(F.avg("ic").alias("ic"))
             scored = one if scored is None else scored.unionByName(one)
-        best = scored.filter(F.col("ic") > least_ic).orderBy(F.desc("ic"), "factor").first()
-        if best is None:
-            break
-        picked.append(best.factor)
-        found.append((len(picked), best.factor, best.ic))
-    return spark.createDataFrame(found or [(0, f, None) for f in factors], "step int, factor string, ic double")
+        first = Window.partitionBy("fold").orderBy(F.desc("ic"), "factor")
+        best = scored.filter(F.col("ic") > least_ic).withColumn("__r", F.row_number().over(first)).filter("__r = 1").collect()
+        for row in best:
+            picked[row.fold].append(row.factor)
+            found.append((row.fold, len(picked[row.fold]), row.factor, row.ic))
+        open_ = {row.fold for row in best if len(picked[row.fold]) < min(k, len(factors))}
+    every = [(r.fold, 0, f, None) for r in ends.collect() if not picked.get(r.fold) for f in factors]
+    return spark.createDataFrame(found + every, "fold int, step int, factor string, ic double")
+
+
+def candidate_ics(panel: DataFrame, factors: list[str], picked: list[str]) -> DataFrame:
+    """date, factor, ic of every factor not picked: the rank IC of its residual on those picked, in one plan with the factor as a column.
+
+    Dates with fewer than LEAST_NAMES complete names don't count once something is picked.
+    """
+    long = panel.unpivot(["date", "ticker", "fwd", *picked], [f for f in factors if f not in picked], "factor", "y").withColumn("key", F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), "factor"))
+    if picked:
+        ok = F.col("y").isNotNull()
+        for p in picked:
+            ok = ok & F.col(p).isNotNull()
+        long = long.filter(ok).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter(F.col("__n") >= LEAST_NAMES)
+        long = neutral(long.withColumn("__all", F.lit(1)), "y", ["__all"], picked, by="key", out="left")
+    else:
+        long = long.withColumn("left", F.col("y"))
+    rows = long.withColumn("left", F.round("left", 9)).withColumnRenamed("date", "__date").withColumnRenamed("key", "date")
+    ics = rank_ic(rows.select("date", "ticker", "fwd", "left"), "left")
+    return ics.join(rows.select("date", "__date", "factor").distinct(), "date").select(F.col("__date").alias("date"), "factor", "ic")

@@ -141,3 +141,23 @@ def win_share(fits: DataFrame, draws: int = 1000, steps: int = 21, dt: float = 1
     sd = F.col("sigma") * F.sqrt((1 - fade * fade) / (2 * F.col("theta")))
     runs = runs.withColumn("v", F.col("mu") + (F.col("last") - F.col("mu")) * fade + sd * F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * F.pi() * uniform(1)))
     return runs.groupBy("draw").agg(F.max_by("ticker", F.struct("v", "ticker")).alias("ticker")).groupBy("ticker").agg((F.count("*") / draws).alias("share"))
+
+
+def simulated(fits: DataFrame, draws: int = 1000, steps: int = 21, dt: float = 1 / 252, seed: int = 0, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """ticker, step, mean and a quantile column (q05, q50, ...) over draws of simulated paths at each step from 0 on.
+
+    A path follows v + theta (mu - v) dt + sigma sqrt(dt) z. Its normal numbers come from digests of seed, draw, ticker
+    and step, so paths do not depend on how rows are dealt out; a path is one fold over its steps.
+    """
+    def uniform(step: Column, k: int) -> Column:
+        digest = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("draw").cast("string"), F.col("ticker"), step.cast("string"), F.lit(str(k))).cast("binary"))
+        return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+
+    def on(path, step):
+        z = F.sqrt(-2 * F.ln(uniform(step, 0))) * F.cos(2 * F.pi() * uniform(step, 1))
+        v = F.element_at(path, -1)
+        return F.concat(path, F.array(v + F.col("theta") * (F.col("mu") - v) * dt + F.col("sigma") * F.sqrt(F.lit(dt)) * z))
+
+    runs = fits.filter("theta IS NOT NULL").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    paths = runs.select("ticker", F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(F.col("last").cast("double")), on)).alias("step", "v"))
+    return paths.groupBy("ticker", "step").agg(F.avg("v").alias("mean"), *[F.percentile("v", F.lit(q)).alias(f"q{round(100 * q):02d}") for q in quantiles])

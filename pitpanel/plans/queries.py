@@ -532,15 +532,21 @@ la AS (SELECT fold, max(no) - 2 AS upto FROM dd JOIN en ON date <= e GROUP BY 1)
 rr AS (SELECT *, upto >= 36 AND row_number() OVER (PARTITION BY fold ORDER BY ic DESC NULLS LAST, factor) <= 2 AND coalesce(ic > 0, false) AS good FROM mm)
 SELECT CAST(fold AS INT) AS fold, factor, {r('ic')} AS ic FROM (SELECT *, bool_or(good) OVER (PARTITION BY fold) AS any_good FROM rr) WHERE good OR NOT any_good""",
 )(lambda s, d: research.select_factors(research.factor_ics(long_scores(s, d)), s.range(1996, 2002).select(F.col("id").cast("int").alias("fold"), F.make_date(F.col("id").cast("int"), F.lit(12), F.lit(31)).alias("end")), 2))
-_RESID = f"""{_FIC}, f1 AS (SELECT factor, avg(ic) AS ic FROM fic GROUP BY 1 ORDER BY ic DESC, factor LIMIT 1),
-pr AS (SELECT a.date, a.fwd, a.f.z AS x, b.f.z AS y, b.f.factor AS factor FROM zl a JOIN f1 ON a.f.factor = f1.factor JOIN zl b ON a.date = b.date AND a.ticker = b.ticker AND b.f.factor <> f1.factor WHERE a.f.z IS NOT NULL AND b.f.z IS NOT NULL),
-rs AS (SELECT *, round(y - avg(y) OVER w - coalesce(regr_slope(y, x) OVER w, 0) * (x - avg(x) OVER w), 9) AS e, count(*) OVER w AS n FROM pr WINDOW w AS (PARTITION BY date, factor)),
-rk2 AS (SELECT date, factor, rank() OVER a + (count(*) OVER (PARTITION BY date, factor, e) - 1) / 2.0 AS a, rank() OVER b + (count(*) OVER (PARTITION BY date, factor, fwd) - 1) / 2.0 AS b
-  FROM rs WHERE n >= 30 AND fwd IS NOT NULL WINDOW a AS (PARTITION BY date, factor ORDER BY e), b AS (PARTITION BY date, factor ORDER BY fwd)),
-ic2 AS (SELECT date, factor, CASE WHEN count(*) >= 20 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM rk2 GROUP BY 1, 2),
-f2 AS (SELECT factor, avg(ic) AS ic FROM ic2 GROUP BY 1 ORDER BY ic DESC, factor LIMIT 1)"""
-query("x_forward_selection", f"{_RESID} SELECT CAST(1 AS INT) AS step, factor, {r('ic')} AS ic FROM f1 UNION ALL SELECT CAST(2 AS INT), factor, {r('ic')} FROM f2")(
-    lambda s, d: research.forward_selection(panels.kept(wide_scores(s, d)), list(_FOUR), 2, -1.0)
+_RESID = f"""{_FIC}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS no FROM (SELECT DISTINCT date FROM wide)), en AS (SELECT y AS fold, make_date(CAST(y AS INT), 12, 31) AS e FROM range(1996, 2002) t(y)),
+la AS (SELECT fold, count(*) - 2 AS upto FROM dd JOIN en ON date <= e GROUP BY 1),
+f1 AS (SELECT * FROM (SELECT fold, factor, any_value(upto) AS upto, avg(ic) AS ic, row_number() OVER (PARTITION BY fold ORDER BY avg(ic) DESC NULLS LAST, factor) AS k FROM la JOIN dd ON no <= upto JOIN fic USING (date) WHERE upto >= 36 GROUP BY 1, 2) WHERE k = 1 AND ic > 0),
+pr AS (SELECT a.date, a.fwd, a.f.factor AS pick, a.f.z AS x, b.f.z AS y, b.f.factor AS factor FROM zl a JOIN zl b ON a.date = b.date AND a.ticker = b.ticker AND b.f.factor <> a.f.factor WHERE a.f.z IS NOT NULL AND b.f.z IS NOT NULL),
+rs AS (SELECT *, round(y - avg(y) OVER w - coalesce(regr_slope(y, x) OVER w, 0) * (x - avg(x) OVER w), 9) AS e, count(*) OVER w AS n FROM pr WINDOW w AS (PARTITION BY date, pick, factor)),
+rk2 AS (SELECT date, pick, factor, rank() OVER a + (count(*) OVER (PARTITION BY date, pick, factor, e) - 1) / 2.0 AS a, rank() OVER b + (count(*) OVER (PARTITION BY date, pick, factor, fwd) - 1) / 2.0 AS b
+  FROM rs WHERE n >= 30 AND fwd IS NOT NULL WINDOW a AS (PARTITION BY date, pick, factor ORDER BY e), b AS (PARTITION BY date, pick, factor ORDER BY fwd)),
+ic2 AS (SELECT date, pick, factor, CASE WHEN count(*) >= 20 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM rk2 GROUP BY 1, 2, 3),
+f2 AS (SELECT * FROM (SELECT fold, i.factor, avg(i.ic) AS ic, row_number() OVER (PARTITION BY fold ORDER BY avg(i.ic) DESC NULLS LAST, i.factor) AS k FROM f1 JOIN dd ON no <= upto JOIN ic2 i ON i.date = dd.date AND pick = f1.factor GROUP BY 1, 2) WHERE k = 1 AND ic > 0)"""
+query(
+    "x_forward_selection",
+    f"""{_RESID} SELECT CAST(fold AS INT) AS fold, CAST(1 AS INT) AS step, factor, {r('ic')} AS ic FROM f1 UNION ALL SELECT CAST(fold AS INT), CAST(2 AS INT), factor, {r('ic')} FROM f2
+UNION ALL SELECT CAST(fold AS INT), CAST(0 AS INT), factor, NULL FROM en, (SELECT unnest([{", ".join(repr(c) for c in _FOUR)}]) AS factor) WHERE fold NOT IN (SELECT fold FROM f1)""",
+)(
+    lambda s, d: research.forward_selection(panels.kept(wide_scores(s, d)), list(_FOUR), s.range(1996, 2002).select(F.col("id").cast("int").alias("fold"), F.make_date(F.col("id").cast("int"), F.lit(12), F.lit(31)).alias("end")), 2)
 )
 
 # as-of joins and factors
@@ -801,18 +807,6 @@ def holdings_now(spark, sf_dir) -> DataFrame:
 
 
 query("b_current_holdings", f"{_NOW} SELECT ticker, {r('1.0 / count(*) OVER ()')} AS weight, {r('score')} AS score, {r('price')} AS price FROM hn")(holdings_now)
-query(
-    "b_share_plan",
-    f"""{_NOW}, ho AS (SELECT 'S' || s_suppkey AS ticker, CAST(s_suppkey % 7 AS BIGINT) AS shares FROM supplier), tg AS (SELECT ticker, 1.0 / count(*) OVER () AS w FROM hn),
-x AS (SELECT td.ticker, price, coalesce(shares, 0) AS shares, coalesce(w, 0) AS w FROM td LEFT JOIN ho USING (ticker) LEFT JOIN tg USING (ticker) WHERE price > 0), y AS (SELECT *, sum(shares * price) OVER () + 1e6 AS v FROM x WHERE shares > 0 OR w > 0),
-zz AS (SELECT *, CAST(floor(w * v / price) AS BIGINT) AS target_shares FROM y)
-SELECT ticker, {r('price')} AS price, shares, target_shares, target_shares - shares AS trade, {r('(target_shares - shares) * price')} AS amount, CASE WHEN target_shares > shares THEN 'BUY' WHEN target_shares < shares THEN 'SELL' ELSE 'HOLD' END AS action FROM zz""",
-)(
-    lambda s, d: backtest.share_plan(
-        holdings_now(s, d).select("ticker", F.col("weight").alias("w")), panels.table(s, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("ticker"), (F.col("s_suppkey") % 7).alias("shares")),
-        panels.monthly_prices(s, d).filter("date = DATE '1999-05-31'").select("ticker", F.col("close").alias("price")), 1e6,
-    )
-)
 
 
 def month_calendar(spark, sf_dir) -> DataFrame:
