@@ -71,6 +71,8 @@ CATALOG: dict[str, Factor] = {}
 
 
 def _add(category: str, name: str, expr: Expr, **more) -> None:
+    if name in CATALOG:
+        raise ValueError(f"{name} is registered already")
     CATALOG[name] = Factor(name, expr, category, **more)
 
 

@@ -664,7 +664,7 @@ query("k_merge_fields", f"{_HALVES} SELECT coalesce(o.ticker, n.ticker) AS ticke
 query("k_replace_events", f"{_HALVES} SELECT ticker, calendardate, {r('shares', 2)} AS shares, datekey FROM old ANTI JOIN new USING (ticker, calendardate) UNION ALL SELECT ticker, calendardate, {r('shares', 2)}, datekey FROM new", places=2)(
     lambda s, d: store.replace_events(*_halves(s, d), _KEYS, ["datekey"])
 )
-_ADJUSTED = f"{DAILY}, o AS (SELECT ticker, date, close FROM p WHERE close > 0), n AS (SELECT ticker, date, CASE WHEN ticker LIKE '%1' THEN close * 0.5 WHEN ticker LIKE '%2' THEN close * (1 + idx % 7) ELSE close END AS close FROM p WHERE close IS NOT NULL), fa AS (SELECT ticker, avg(n.close / o.close) AS factor FROM o JOIN n USING (ticker, date) GROUP BY 1 HAVING stddev_pop(n.close / o.close) <= 1e-4 AND abs(avg(n.close / o.close) - 1) > 1e-4)"
+_ADJUSTED = f"{DAILY}, o AS MATERIALIZED (SELECT ticker, date, close FROM p WHERE close > 0), n AS MATERIALIZED (SELECT ticker, date, CASE WHEN ticker LIKE '%1' THEN close * 0.5 WHEN ticker LIKE '%2' THEN close * (1 + idx % 7) ELSE close END AS close FROM p WHERE close IS NOT NULL), fa AS MATERIALIZED (SELECT ticker, avg(n.close / o.close) AS factor FROM o JOIN n USING (ticker, date) GROUP BY 1 HAVING stddev_pop(n.close / o.close) <= 1e-4 AND abs(avg(n.close / o.close) - 1) > 1e-4)"
 
 
 def _adjusted(spark, sf_dir):

@@ -6,25 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import first_per_key
+from ..sources.tables import Store
 
 
-def ingest_first(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Append the first filing of each new key to the Parquet table at path, batch by batch; later restatements don't count.
+def ingest(stream: DataFrame, store: Store, table: str, checkpoint: str) -> StreamingQuery:
+    """Load a stream into a stored table batch by batch, by the table's own rule.
 
-    A batch that runs again finds its own rows stored and adds none, so restarts leave no duplicates.
+    A batch reads and rewrites only the partitions that its rows touch. One that runs again finds its rows stored and
+    changes nothing, and one that is cut short leaves nothing, so restarts leave no duplicates.
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = first_per_key(batch.dropna(subset=keys), keys, order)
-        try:
-            stored = spark.read.schema(batch.schema).parquet(path)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            stored = spark.createDataFrame([], batch.schema)
-        rows.join(stored.select(*keys), keys, "left_anti").write.mode("append").parquet(path)
+        store.load(table, batch)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -267,10 +267,13 @@ def test_readers(spark, tmp_path):
 
 
 def test_streaming_first_filing_wins(spark, tmp_path):
-    from pitpanel.streaming.ingest import event_stream, ingest_first
+    from pitpanel.sources.tables import Store
+    from pitpanel.streaming.ingest import event_stream, ingest
 
-    schema = "t string, k int, v double"
-    for no, rows in enumerate(([("A", 1, 1.0)], [("A", 1, 9.0), ("B", 1, 2.0)])):
+    schema, kept = "ticker string, calendardate date, datekey date, inst_shares double", Store(spark, f"file://{tmp_path}/store")
+    day = date.fromisoformat
+    for rows in ([("A", day("2020-03-31"), day("2020-05-15"), 1.0)], [("A", day("2020-03-31"), day("2020-04-15"), 9.0), ("B", day("2021-03-31"), day("2021-05-15"), 2.0)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-        ingest_first(event_stream(spark, f"file://{tmp_path}/in", schema), f"file://{tmp_path}/out", ["t", "k"], ["v"], f"file://{tmp_path}/cp").awaitTermination()
-    assert sorted((r.t, r.v) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("A", 1.0), ("B", 2.0)]
+        ingest(event_stream(spark, f"file://{tmp_path}/in", schema), kept, "institutions", f"file://{tmp_path}/cp").awaitTermination()
+    assert sorted((r.ticker, r.inst_shares) for r in kept.read("institutions").collect()) == [("A", 1.0), ("B", 2.0)]
+
