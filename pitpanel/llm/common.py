@@ -87,6 +87,18 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Copies of a repeated row that one array holds.
+COPIES = 1 << 16
+
+
+def with_copies(rows: DataFrame, copies: str, name: str) -> DataFrame:
+    """rows as often as the column `copies` says (1 or more), numbered from 0 in a new column; no array holds more than COPIES numbers."""
+    (block,) = free_names([*rows.columns, name], "block")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / COPIES).cast("long")))
+    first = F.col(block) * COPIES
+    return rows.withColumn(block, blocks).withColumn(name, F.explode(F.sequence(first, F.least(first + COPIES, F.col(copies)) - 1))).drop(block)
+
+
 def normalize_case(text: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -164,28 +164,21 @@ def deduplicate(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """docs without exact copies, all its columns; rules as in exact_groups.
 
     The dropped doc_ids are joined against docs. Rows that share a doc_id need more than that: where a doc_id has
-    rows of several groups or repeated rows, its rows are told apart by their normalised text.
+    rows of several groups or repeated rows, its rows are told apart by their normalised text. An empty table gives no
+    rows; other columns may bear any name.
     """
+    my_id, my_sha, own_id, own_sha = common.free_names(docs.columns, "doc_id", "sha", "own_id", "own_sha")
     marks = common.materialize(exact_groups(docs, chunk), "exact")
-    dropped = marks.filter(~F.col("kept")).select(F.col("doc_id").alias("__doc_id")).distinct()
-    clean = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_anti")
-    both = _kept_and_dropped(marks)
+    dropped = marks.filter(~F.col("kept")).select(F.col("doc_id").alias(my_id)).distinct()
+    doc_id = F.col("doc_id").cast("long")
+    clean = docs.join(dropped, doc_id.eqNullSafe(F.col(my_id)), "left_anti")
+    both = marks.filter("kept").join(dropped, F.col("doc_id").eqNullSafe(F.col(my_id)), "left_semi").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha)).distinct()
+    both = common.materialize(both, "both")
     if both.isEmpty():
         return clean
-    shared = docs.withColumn("__sha", F.sha2(F.encode(common.normalize_case(F.coalesce(F.col("text"), F.lit(""))), "UTF-8"), 256)).join(
-        both, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__sha") == F.col("__sha2")), "left_semi"
-    )
-    return clean.unionByName(shared.dropDuplicates(["doc_id", "__sha"]).drop("__sha"))
-
-
-def _kept_and_dropped(marks: DataFrame) -> DataFrame:
-    """doc_id and digest of kept rows whose doc_id also has a dropped row."""
-    return (
-        marks.groupBy("doc_id")
-        .agg(F.bool_or("kept").alias("some"), F.bool_or(~F.col("kept")).alias("other"), F.collect_set(F.when(F.col("kept"), F.col("text_sha256"))).alias("sha"))
-        .filter("some AND other")
-        .select(F.col("doc_id").alias("__doc_id"), F.explode("sha").alias("__sha2"))
-    )
+    shared = docs.withColumns({my_id: doc_id, my_sha: F.sha2(F.encode(common.normalize_case(F.coalesce(F.col("text"), F.lit(""))), "UTF-8"), 256)})
+    shared = shared.join(both, F.col(my_id).eqNullSafe(F.col(own_id)) & (F.col(my_sha) == F.col(own_sha)), "left_semi")
+    return clean.unionByName(shared.dropDuplicates([my_id, my_sha]).select(*docs.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

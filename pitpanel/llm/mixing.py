@@ -65,7 +65,7 @@ def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST_E
     rows = rows.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     ranges = ranges.withColumnsRenamed({"source": "r_source", "range": "r_range"})
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = common.with_copies(rows, "copies", "copy")
     at = F.col("start") + F.col("before") + F.col("copy") * F.col("size")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
@@ -78,20 +78,23 @@ def mixed(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST
     """The rows of the mix: docs with each row as often as the mix takes it, all columns kept.
 
     Where a budget ends within a row, that copy has the words up to there, joined by spaces. Rows of which no word is
-    taken are left out. Rows that agree in doc_id, source and size get the places of the mix in order of text.
+    taken are left out, null and blank texts among them. Rows that agree in doc_id, source and size get the places of the
+    mix in order of text. An empty table gives no rows; other columns may bear any name.
     """
-    same = ["doc_id", "source", "size"]
-    place = Window.partitionBy("__doc_id", "__source", "__size")
-    plan = mix(docs, seed, share, most, weights).select(*[F.col(c).alias(f"__{c}") for c in same], F.col("taken").alias("__taken"))
-    plan = plan.withColumn("__place", F.row_number().over(place.orderBy(F.desc("__taken")))).filter("__taken > 0")
-    plan = common.materialize(plan, "plan").withColumnsRenamed({f"__{c}": f"__p_{c}" for c in [*same, "place"]})
+    same = ["doc_id", "source", "size", "place"]
+    wanted = [*same, *[f"p_{c}" for c in same], "taken", "copy"]
+    my = dict(zip(wanted, common.free_names(docs.columns, *wanted), strict=True))
+    plan = mix(docs, seed, share, most, weights)
+    plan = plan.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken")))).filter("taken > 0")
+    plan = common.materialize(plan.select(*same, "taken"), "plan").withColumnsRenamed({c: my[f"p_{c}"] for c in same} | {"taken": my["taken"]})
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__source": F.col("source"), "__size": size})
-    rows = rows.withColumn("__place", F.row_number().over(place.orderBy("text")))
-    on = [F.col(f"__{c}").eqNullSafe(F.col(f"__p_{c}")) for c in [*same, "place"]]
-    rows = rows.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
-    words = F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size"))
-    text = F.when(words == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(common.words_of(F.col("text")), F.lit(1), words.cast("int")), " "))
+    rows = docs.withColumns({my["doc_id"]: F.col("doc_id").cast("long"), my["source"]: F.col("source"), my["size"]: size})
+    rows = rows.withColumn(my["place"], F.row_number().over(Window.partitionBy(*[my[c] for c in same[:3]]).orderBy("text")))
+    rows = rows.join(plan, [F.col(my[c]).eqNullSafe(F.col(my[f"p_{c}"])) for c in same])
+    size, taken, copy = (F.col(my[c]) for c in ("size", "taken", "copy"))
+    rows = rows.withColumn(my["copy"], F.explode(F.sequence(F.lit(0).cast("long"), F.floor((taken - 1) / size))))  # as many as epochs
+    words = F.least(size, taken - copy * size)
+    text = F.when(words == size, F.col("text")).otherwise(F.array_join(F.slice(common.words_of(F.col("text")), F.lit(1), words.cast("int")), " "))
     return rows.withColumn("text", text).select(*docs.columns)
 
 

@@ -593,7 +593,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     Whole texts in lower case (A to Z); fewer words than `words` make one shingle; null and blank texts have none, are
     linked with nothing and are their own component. Equal texts are linked. A null doc_id is never a component's
-    smallest unless all are null. Repeated rows give a row each. An empty table gives no rows.
+    smallest unless all are null. Repeated rows give a row each. An empty table gives no rows. Other columns play no part.
     """
     rows, grouped = _grouped(docs, words, percent)
     return _with_component(rows, grouped).select("doc_id", "n_shingles", "component_id")
@@ -629,7 +629,8 @@ def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERC
     """docs with one document of each group of near copies: the one with the smallest doc_id; all columns stay.
 
     Rows without words stay, and so do rows without a doc_id. Rows that share a doc_id are told apart by their sets:
-    of those in a group whose smallest doc_id they have, one stays.
+    of those in a group whose smallest doc_id they have, one stays. An empty table gives no rows; other columns may bear
+    any name.
     """
     plan = plan_for(docs, words, percent)
     rows, grouped = _grouped(docs, words, percent, plan)

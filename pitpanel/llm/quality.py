@@ -66,7 +66,8 @@ def measured(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.withColumn("__m", common.let(common.words_of(F.col("text")), measures)).select("*", "__m.*").drop("__m")
+    (mine,) = common.free_names(docs.columns, "m")
+    return docs.withColumn(mine, common.let(common.words_of(F.col("text")), measures)).select("*", f"{mine}.*").drop(mine)
 
 
 @dataclass(frozen=True)

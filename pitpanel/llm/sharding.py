@@ -78,7 +78,7 @@ def numbered(docs: DataFrame, range_digits: int = RANGE_DIGITS) -> DataFrame:
     ranges = ranges.withColumn("n", F.sum("here").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("here")
     order = Window.partitionBy("range").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))).join(ranges, "range")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = common.with_copies(rows, "copies", "copy")
     return rows.select("doc_id", "size", "text_crc32", (F.col("first") + F.col("before") + F.col("copy")).alias("row_number"), "n")
 
 

@@ -146,17 +146,18 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES) ->
     """
     extra = ["n_sentences", "n_removed", "n_words_removed"]
     docs = docs.drop(*extra)
+    my_id, my_gone = common.free_names(docs.columns, "doc_id", "gone")
     runs = common.materialize(repeated(docs, least_sentences), "runs")
     bitmap = common.bitmap_of(runs, "h", BITS)
     later = _emit(docs, bitmap, least_sentences).join(runs, ["h", "n_words"]).filter("doc_id > first_doc")
-    gone = later.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.collect_list("h").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").drop("__doc_id")
+    gone = later.groupBy(F.col("doc_id").alias(my_id)).agg(F.collect_list("h").alias(my_gone))
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col(my_id), "left").drop(my_id)
     place, names = docs.columns.index("text"), docs.columns + extra
 
     def run(batches):
         for batch in batches:
             texts, counts = [], ([], [], [])
-            lists = batch.column("__gone")
+            lists = batch.column(my_gone)
             for k, text in enumerate(batch.column("text").to_pylist()):
                 raw = (text or "").encode()
                 found = Runs(raw, least_sentences)
@@ -169,7 +170,7 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES) ->
             yield pa.RecordBatch.from_arrays(columns + [pa.array(c, pa.int32()) for c in counts], names=names)
 
     schema = T.StructType(docs.schema.fields + [T.StructField(c, T.IntegerType()) for c in extra])
-    return joined.select(*docs.columns, "__gone").mapInArrow(run, schema)
+    return joined.select(*docs.columns, my_gone).mapInArrow(run, schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,7 +172,11 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns stay, in one pass without a join."""
+    """docs without the rows whose score reaches the threshold; all columns stay, in one pass without a join.
+
+    Null and empty texts have the score of no sentences. Repeated rows are judged alike; an empty table gives no rows;
+    other columns may bear any name.
+    """
     def run(batches):
         for batch in common.sliced(batches):
             at = batch.schema.get_field_index("text")
