@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import overfitting, tactics
+from ..operators import overfitting, tactics, vigilant
 from ..operators import timeseries as ts
 from ..sources import panels
 from .queries import DAILY, W1, div, query, r
@@ -135,3 +135,67 @@ SELECT frequency, measure, config, CAST(blocks AS INT) AS blocks, {r('value')} A
 def a_search_cost(spark, sf_dir):
     daily = panels.daily_prices(spark, sf_dir).withColumn("r", F.round(ts.change("close", 1, True), 9))
     return tactics.search_cost(panels.kept(daily.select(F.col("ticker").alias("config"), "date", "r")))
+
+
+# the older momentum strategy
+
+# Its assets and the weights beside the selected one.
+AGGRESSIVE, PROTECTIVE, DEFAULT, CORE = ("SPY", "EFA", "EEM", "AGG"), ("LQD", "IEF", "SHY"), "SHY", ("SPY", "TLT", "GLD", "BIL")
+MIX = {"selected": 0.5, "SPY": 0.125, "TLT": 0.125, "GLD": 0.125, "BIL": 0.125}
+_AGG, _PRO, _CORE = (tuple(ASSETS[t] for t in some) for some in (AGGRESSIVE, PROTECTIVE, CORE))
+_IN = lambda some: "(" + ", ".join(map(repr, some)) + ")"
+
+
+def carried_days(spark, sf_dir) -> DataFrame:
+    past = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return panels.daily_prices(spark, sf_dir).filter(F.col("ticker").isin(*ASSETS.values())).select("ticker", "date", "idx", F.last("close", ignorenulls=True).over(past).alias("close"))
+
+
+def _picked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    scores = panels.kept(vigilant.month_scores(carried_days(spark, sf_dir)))
+    return vigilant.picks(scores, _AGG, _PRO, ASSETS[DEFAULT]), scores
+
+
+_ROWMOM = " + ".join(f"{100 * k} * ({div('close', f'lag(close, {n}) OVER {W1}')} - 1)" for k, n in ((12, 21), (4, 63), (2, 126), (1, 252)))
+_AHEAD = lambda k: f"CASE WHEN pairs + 1 >= {vigilant.LEAST_DAYS} AND raw IS NOT NULL THEN mu + (mom - mu) * exp(-speed * {21 * k}) ELSE mom END"
+_VIG = f"""{DAILY}, cl AS (SELECT ticker, date, idx, last_value(close IGNORE NULLS) OVER {W1} AS close FROM p WHERE ticker IN {_IN(ASSETS.values())}),
+ms AS (SELECT *, {_ROWMOM} AS mom FROM cl), mp AS (SELECT *, lag(mom) OVER {W1} AS prev FROM ms WHERE mom IS NOT NULL),
+ft AS (SELECT *, regr_slope(mom, prev) OVER q AS raw, regr_intercept(mom, prev) OVER q AS icpt, count(prev) OVER q AS pairs FROM mp WINDOW q AS (PARTITION BY ticker ORDER BY idx ROWS {vigilant.CALIBRATION - 2} PRECEDING)),
+fu AS (SELECT *, greatest(least(raw, {vigilant.SLOPE[1]}), {vigilant.SLOPE[0]}) AS sl FROM ft), fv AS (SELECT *, greatest(least(-ln(sl), {vigilant.SPEED[1]}), {vigilant.SPEED[0]}) AS speed, icpt / (1 - sl) AS mu FROM fu),
+fw AS (SELECT ticker, CAST(year(date) * 12 + month(date) AS INT) AS m, date, mom AS current, {", ".join(f"{_AHEAD(k)} AS forecast_{k}m" for k in (1, 3, 6))}, {_AHEAD(1)} - mom AS delta FROM fv),
+fx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, m ORDER BY date DESC) AS k FROM fw) WHERE k = 1),
+me AS (SELECT ticker, CAST(year(date) * 12 + month(date) AS INT) AS m, max_by(close, date) AS c FROM cl WHERE close IS NOT NULL GROUP BY 1, 2), mr AS (SELECT *, lead(c) OVER (PARTITION BY ticker ORDER BY m) / c - 1 AS r FROM me),
+lo AS ({" UNION ALL ".join(f"SELECT '{k}' AS rule, ticker, m, {k} AS score, {'forecast_1m' if k == 'delta' else k} AS safety FROM fx" for k in vigilant.RULES)}),
+sx AS (SELECT rule, m, min(safety) < 0 AS defensive FROM lo WHERE ticker IN {_IN(_AGG)} GROUP BY 1, 2 HAVING count(safety) = {len(set(_AGG))}),
+bx AS (SELECT lo.rule, lo.m, ticker, row_number() OVER (PARTITION BY lo.rule, lo.m ORDER BY score DESC, ticker) AS k FROM lo JOIN sx ON sx.rule = lo.rule AND sx.m = lo.m WHERE score IS NOT NULL AND CASE WHEN defensive THEN ticker IN {_IN(_PRO)} ELSE ticker IN {_IN(_AGG)} END),
+pk AS (SELECT sx.rule, sx.m, coalesce(ticker, '{ASSETS[DEFAULT]}') AS ticker, defensive FROM sx LEFT JOIN bx ON bx.rule = sx.rule AND bx.m = sx.m AND k = 1),
+co AS (SELECT 'selected' AS name, pk.m + 1 AS idx, r FROM pk JOIN mr USING (ticker, m) WHERE rule = 'current' AND r IS NOT NULL UNION ALL SELECT mr.ticker, pk.m + 1, mr.r FROM pk JOIN mr ON mr.m = pk.m WHERE rule = 'current' AND mr.r IS NOT NULL AND mr.ticker IN {_IN(_CORE)})"""
+query("b_vigilant_scores", f"{_VIG} SELECT ticker, m AS idx, {', '.join(f'{r(k)} AS {k}' for k in vigilant.RULES)} FROM fx")(
+    lambda s, d: vigilant.month_scores(carried_days(s, d)).filter("current IS NOT NULL").select("ticker", "idx", *vigilant.RULES)
+)
+query("b_vigilant_picks", f"{_VIG} SELECT rule, m AS idx, ticker, defensive FROM pk")(lambda s, d: _picked(s, d)[0])
+query("b_vigilant_returns", f"{_VIG} SELECT rule, CAST(pk.m + 1 AS INT) AS idx, ticker, defensive, {r('r - 0.001', 9)} AS ret FROM pk JOIN mr USING (ticker, m) WHERE r IS NOT NULL", places=9)(lambda s, d: vigilant.returns(*_picked(s, d)))
+query("b_vigilant_components", f"{_VIG} SELECT name, CAST(idx AS INT) AS idx, {r('r', 9)} AS r FROM co", places=9)(lambda s, d: vigilant.components(*_picked(s, d), _CORE))
+_MIXED = {("selected" if t == "selected" else ASSETS[t]): w for t, w in MIX.items()}
+query(
+    "b_vigilant_mix",
+    f"{_VIG}, wt AS (SELECT * FROM (VALUES {', '.join(f'({t!r}, {w!r})' for t, w in _MIXED.items())}) t(name, w)) SELECT CAST(idx AS INT) AS idx, {r('sum(w * r) - 0.001', 9)} AS r FROM co JOIN wt USING (name) GROUP BY 1",
+    places=9,
+)(lambda s, d: vigilant.mixed(vigilant.components(*_picked(s, d), _CORE), s.createDataFrame([(0, t, w) for t, w in _MIXED.items()], "combo int, name string, w double")).select("idx", "r"))
+
+
+@query(
+    "b_vigilant_optimised",
+    f"""{_VIG}, cb AS (SELECT row_number() OVER (ORDER BY a, b, c, e, f) - 1 AS combo, [a, b, c, e, f] AS k FROM range(11) t1(a), range(11) t2(b), range(11) t3(c), range(11) t4(e), range(11) t5(f) WHERE a + b + c + e + f = 10),
+nm AS (SELECT * FROM (VALUES {', '.join(f'({k}, {t!r})' for k, t in enumerate(('selected', *_CORE), 1))}) t(i, name)), mxr AS (SELECT combo, idx, sum(k[i] / 10.0 * r) - 0.001 AS r FROM cb, co JOIN nm USING (name) GROUP BY 1, 2),
+ob AS (SELECT combo, CASE WHEN count(r) >= 12 AND abs(stddev_samp(r)) > 1e-9 THEN (avg(r) - 0.05 / 12) / stddev_samp(r) * sqrt(12.0) ELSE '-inf'::DOUBLE END AS o FROM mxr GROUP BY 1), bo AS (SELECT combo FROM ob ORDER BY round(o, 9) DESC, combo LIMIT 1)
+SELECT CAST(combo AS INT) AS combo, name, CAST(NULL AS INT) AS idx, {r('k[i] / 10.0')} AS w, NULL::DOUBLE AS r FROM bo JOIN cb USING (combo), nm UNION ALL SELECT CAST(combo AS INT), NULL, CAST(idx AS INT), NULL, {r('r')} FROM mxr JOIN bo USING (combo)""",
+)
+def b_vigilant_optimised(spark, sf_dir):
+    """The best weights (name, w) and the returns (idx, r) of that combination."""
+    weights, rows = vigilant.optimised(spark, panels.kept(vigilant.components(*_picked(spark, sf_dir), _CORE)), _CORE, 0.1, keep=panels.kept)
+    weights = weights.select("combo", "name", F.lit(None).cast("int").alias("idx"), "w", F.lit(None).cast("double").alias("r"))
+    return weights.unionByName(rows.select("combo", F.lit(None).cast("string").alias("name"), "idx", F.lit(None).cast("double").alias("w"), "r"))
+
+
+query("b_vigilant_win_shares")(lambda s, d: vigilant.win_shares(carried_days(s, d), (*_AGG, *_PRO), 500))
