@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_div
 from . import backtest, portfolio, timeseries, universe
 
-REBALANCES, WEIGHTINGS = ("month", "quarter"), ("equal", "value", "inverse_volatility")
+REBALANCES = ("month", "quarter")
+#: Schemes that need a covariance, and days without which none is estimated (weights are equal then).
+OPTIMISED, LEAST_DAYS = ("risk_parity", "hrp", "mvo", "black_litterman"), 60
+WEIGHTINGS = ("equal", "value", "inverse_volatility", *OPTIMISED)
 
 
 @dataclass(frozen=True)
@@ -143,7 +146,11 @@ def selected(market: Market, strategies: Sequence[Declared]) -> DataFrame:
 
 
 def weights(market: Market, strategies: Sequence[Declared]) -> DataFrame:
-    """config, idx, ticker, w by each strategy's scheme, none above its cap (equal where the cap cannot hold)."""
+    """config, idx, ticker, w by each strategy's scheme, none above its cap (equal where the cap cannot hold).
+
+    Schemes that need a covariance take the returns of the names chosen over `window` days up to the signal; one call holds
+    one strategy's names of one signal, n * window numbers.
+    """
     change = timeseries.change("close", 1)
     wanted = sorted({s.window for s in strategies if s.weighting == "inverse_volatility"})
     daily = market.daily.withColumn("__r", change)
@@ -152,13 +159,30 @@ def weights(market: Market, strategies: Sequence[Declared]) -> DataFrame:
         daily = daily.withColumn(f"__v{n}", timeseries.rolling("__r", n, "std", 2))
         spread = F.when(F.col("win") == n, F.col(f"__v{n}")).otherwise(spread)
     at = daily.select("idx", "ticker", "mcap", *[f"__v{n}" for n in wanted])
-    rows = selected(market, strategies).join(at, ["idx", "ticker"])
+    rows = selected(market, strategies).join(at, ["idx", "ticker"]).withColumn("__key", F.concat_ws(" ", "idx", "config"))
     group = Window.partitionBy("config", "idx")
     value, calm = F.when(F.col("mcap") > 0, F.col("mcap")), safe_div(F.lit(1.0), spread)
     raw = F.when(F.col("weighting") == "value", F.coalesce(value, F.percentile(value, F.lit(0.5)).over(group))).when(F.col("weighting") == "inverse_volatility", F.coalesce(calm, F.avg(calm).over(group)))
-    rows = rows.withColumn("w", F.coalesce(raw / F.sum(raw).over(group), 1 / F.count(F.lit(1)).over(group))).select("config", "idx", "ticker", "w", "cap")
-    rows = rows.withColumn("__key", F.concat_ws(" ", "idx", "config"))
-    return portfolio.capped(rows, F.col("cap"), "__key").select("config", "idx", "ticker", "w")
+    plain = rows.filter(~F.col("weighting").isin(*OPTIMISED)).withColumn("w", F.coalesce(raw / F.sum(raw).over(group), 1 / F.count(F.lit(1)).over(group)))
+    plain = plain.select("config", "idx", "ticker", "w", "cap", "__key")
+    for scheme, cap in _distinct((s.weighting, s.max_weight) for s in strategies if s.weighting in OPTIMISED):
+        some = rows.filter((F.col("weighting") == scheme) & (F.col("cap") == cap)).select("config", F.col("idx").alias("signal"), "ticker", "score", "win", "cap", "__key")
+        days = some.withColumn("idx", F.explode(F.sequence(F.col("signal") - F.col("win") + 1, F.col("signal"))))
+        past = days.join(daily.select("ticker", F.col("idx").cast("int").alias("idx"), F.col("__r").alias("r")), ["ticker", "idx"]).select("__key", "idx", "ticker", "r", "score")
+        fitted = portfolio.optimised(past, scheme, "__key", cap, least=LEAST_DAYS)
+        plain = plain.unionByName(fitted.join(some.select("config", F.col("signal").alias("idx"), "ticker", "cap", "__key"), ["__key", "ticker"]).select("config", "idx", "ticker", "w", "cap", "__key"))
+    return portfolio.capped(plain, F.col("cap"), "__key").select("config", "idx", "ticker", "w")
+
+
+def current_holdings(market: Market, strategies: Sequence[Declared], as_of: str) -> DataFrame:
+    """config, ticker, weight, price on a date: each strategy's weights of its last signal up to it, at the last close up to it."""
+    day = F.to_date(F.lit(as_of))
+    known = market.benchmark.filter(F.col("date") <= day).agg(F.max("idx").alias("__now"))
+    rows = weights(market, strategies).join(F.broadcast(known), F.col("idx") <= F.col("__now"))
+    last = F.max("idx").over(Window.partitionBy("config"))
+    rows = rows.withColumn("__last", last).filter("idx = __last").select("config", "ticker", F.col("w").alias("weight"))
+    price = market.daily.filter((F.col("date") <= day) & F.col("close").isNotNull()).groupBy("ticker").agg(F.max_by("close", "date").alias("price"))
+    return rows.join(price, "ticker").select("config", "ticker", "weight", "price")
 
 
 def exposures(market: Market, strategies: Sequence[Declared]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fixed
@@ -91,6 +92,21 @@ query(
 a AS (SELECT config, count(ret) AS days, product(1 + coalesce(ret, 0)) AS g, stddev_samp(ret) * sqrt(252.0) AS vol, avg(ret) * 252 - 0.05 AS x, min(dd) AS mdd, avg(turnover) AS tv FROM d GROUP BY 1)
 SELECT config, days, {r('g - 1')} AS total, {r('pow(g, 252.0 / days) - 1')} AS cagr, {r('vol')} AS vol, {r(div('x', 'vol'))} AS sharpe, {r('mdd')} AS max_drawdown, {r('tv')} AS turnover FROM a""",
 )(lambda s, d: strategy.summary(strategy.returns(market(s, d), DECLARED)))
+query(
+    "b_declared_now",
+    f"""{_DECLARED}, la AS (SELECT config, max(idx) AS idx FROM w WHERE idx <= (SELECT max(idx) FROM b WHERE date <= DATE '1999-06-15') GROUP BY 1), pc AS (SELECT ticker, max_by(close, date) AS price FROM p WHERE close IS NOT NULL AND date <= DATE '1999-06-15' GROUP BY 1)
+SELECT config, ticker, {r('w')} AS weight, {r('price')} AS price FROM w JOIN la USING (config, idx) JOIN pc USING (ticker)""",
+)(lambda s, d: strategy.current_holdings(market(s, d), DECLARED, "1999-06-15"))
+#: One strategy under each scheme that needs a covariance; no SQL, tests hold the weights against plain numpy.
+FITTED = tuple(strategy.Declared(scheme, (("mcap", -1.0), ("volume", 1.0)), n=6, rebalance="quarter", weighting=scheme, window=120, max_weight=0.4) for scheme in strategy.OPTIMISED)
+
+
+@query("b_declared_fitted")
+def b_declared_fitted(spark, sf_dir):
+    """On closes that stand where a day has no trade, so that windows have complete rows."""
+    at = market(spark, sf_dir)
+    past = Window.partitionBy("ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return strategy.weights(strategy.Market(at.daily.withColumn("close", F.last("close", ignorenulls=True).over(past)), at.factors, at.benchmark), FITTED)
 
 
 # search inside walk-forward
