@@ -140,14 +140,38 @@ def quantile_returns(pairs: DataFrame, n: int = 5, score: str = "score", fwd: st
     return rows.groupBy("date", "q").agg(F.avg(fwd).alias("ret"), F.count("*").alias("names")).filter(F.col("names") >= least // n)
 
 
-def quantile_report(returns: DataFrame, n: int = 5, horizon: int = 1) -> DataFrame:
-    """One row: top less bottom bucket (mean, t) and the rank correlation of bucket and mean return."""
-    spread = returns.groupBy("date").agg((F.max(F.when(F.col("q") == n, F.col("ret"))) - F.max(F.when(F.col("q") == 1, F.col("ret")))).alias("s"))
+def quantile_report(returns: DataFrame, n: int = 5, horizon: int = 1, *by: str) -> DataFrame:
+    """One row (by group): top less bottom bucket (mean, t) and the rank correlation of bucket and mean return."""
+    spread = returns.groupBy(*by, "date").agg((F.max(F.when(F.col("q") == n, F.col("ret"))) - F.max(F.when(F.col("q") == 1, F.col("ret")))).alias("s"))
     sd, k = F.stddev_samp("s"), F.count("s")
-    spread = spread.agg(F.avg("s").alias("spread"), (safe_div(F.avg("s"), sd) * F.sqrt(F.greatest(k / F.lit(float(horizon)), F.lit(2.0)))).alias("spread_t"))
-    means = returns.groupBy("q").agg(F.avg("ret").alias("m"))
-    means = means.select(F.col("q").cast("double").alias("q"), average_rank(F.col("m"), F.lit(1)).alias("r")).agg(F.corr("q", "r").alias("monotonicity"))
-    return spread.crossJoin(means)
+    spread = spread.groupBy(*by).agg(F.avg("s").alias("spread"), (safe_div(F.avg("s"), sd) * F.sqrt(F.greatest(k / F.lit(float(horizon)), F.lit(2.0)))).alias("spread_t"))
+    means = returns.groupBy(*by, "q").agg(F.avg("ret").alias("m"))
+    means = means.select(*by, F.col("q").cast("double").alias("q"), average_rank(F.col("m"), *(by or (F.lit(1),))).alias("r")).groupBy(*by).agg(F.corr("q", "r").alias("monotonicity"))
+    return spread.join(means, list(by)) if by else spread.crossJoin(means)
+
+
+#: What a factor has to reach to be promoted: t of the spread, monotonicity, and most turnover of its ranks.
+PROMOTION = (2.0, 0.6, 0.15)
+
+
+def lab(pairs: DataFrame, n: int = 10, horizon: int = 1) -> DataFrame:
+    """factor, ic, ic_ir, spread, spread_t, monotonicity, turnover, coverage, promoted of pairs (date, ticker, factor, z, fwd), best spread_t first.
+
+    All factors in one plan, the factor being a column. Turnover is the mean change of a name's percent rank from one date
+    to the next, averaged by name first; coverage is the share of names and dates that have a value.
+    """
+    key = pairs.withColumn("__day", F.col("date")).withColumn("date", F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), "factor"))
+    days = key.select("date", "factor").distinct()
+    ics = rank_ic(key, "z").join(days, "date").groupBy("factor").agg(F.avg("ic").alias("ic"), safe_div(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"))
+    report = quantile_report(quantile_returns(key, n, "z").join(days, "date"), n, horizon, "factor")
+    ranks = key.withColumn("__p", percent_rank(F.col("z"), "date"))
+    moved = ranks.withColumn("__m", F.abs(F.col("__p") - F.lag("__p").over(Window.partitionBy("factor", "ticker").orderBy("__day"))))
+    turnover = moved.groupBy("factor", "ticker").agg(F.avg("__m").alias("m")).groupBy("factor").agg(F.avg("m").alias("turnover"))
+    coverage = pairs.groupBy("factor").agg((F.count("z") / F.count("*")).alias("coverage"))
+    rows = ics.join(report, "factor").join(turnover, "factor").join(coverage, "factor")
+    least_t, least_mono, most = PROMOTION
+    promoted = (F.abs("spread_t") >= least_t) & (F.col("monotonicity") >= least_mono) & (F.col("turnover") <= most)
+    return rows.withColumn("promoted", F.coalesce(promoted, F.lit(False))).orderBy(F.desc(F.abs("spread_t")), "factor")
 
 
 def membership_turnover(members: DataFrame) -> DataFrame:

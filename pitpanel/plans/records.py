@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asof, backtest, risk, rotation, store, universe
+from ..operators import asof, backtest, crosssection, risk, rotation, store, universe
 from ..operators import timeseries as ts
 from ..sources import panels, tables
-from .queries import _ASOF, _BOOK, _NOW, _OU, _W, BENCH, DAILY, FILINGS, META, b_mean_reversion, book, chosen, div, holdings_now, query, r, rows
+from .queries import _ASOF, _BOOK, _FIC, _NOW, _OU, _W, _pct, BENCH, DAILY, FILINGS, META, b_mean_reversion, book, chosen, div, holdings_now, long_scores, query, r, rows
 
 
 def new_store(spark) -> tables.Store:
@@ -131,3 +131,16 @@ query("k_duplicate_dates", "SELECT 'C' || o_custkey AS ticker, CAST(o_orderdate
 query("j_validity", f"{FILINGS} SELECT ticker, datekey, {r('revenue')} AS revenue, lead(datekey) OVER (PARTITION BY ticker ORDER BY datekey) AS valid_to FROM f WHERE datekey IS NOT NULL")(
     lambda s, d: asof.validity(panels.filings(s, d), "ticker", "datekey", ["calendardate"]).select("ticker", "datekey", "revenue", "valid_to")
 )
+
+query(
+    "a_factor_lab",
+    f"""{_FIC}, zf AS (SELECT date, ticker, fwd, f.factor AS factor, f.z AS z FROM zl), ok AS (SELECT * FROM zf WHERE z IS NOT NULL AND fwd IS NOT NULL),
+qd AS (SELECT date, factor, fwd, CAST(ceil({_pct('z', 'date, factor')} * 10) AS INT) AS q FROM ok), qr AS (SELECT date, factor, q, avg(fwd) AS ret FROM qd GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+sp AS (SELECT factor, date, max(CASE WHEN q = 10 THEN ret END) - max(CASE WHEN q = 1 THEN ret END) AS s FROM qr GROUP BY 1, 2), sq AS (SELECT factor, avg(s) AS spread, {div('avg(s)', 'stddev_samp(s)')} * sqrt(greatest(count(s), 2.0)) AS spread_t FROM sp GROUP BY 1),
+mo AS (SELECT factor, corr(q::DOUBLE, rk) AS monotonicity FROM (SELECT factor, q, rank() OVER (PARTITION BY factor ORDER BY avg(ret))::DOUBLE AS rk FROM qr GROUP BY 1, 2) GROUP BY 1),
+pc AS (SELECT date, ticker, factor, CASE WHEN z IS NOT NULL THEN {_pct('z', 'date, factor')} END AS p FROM zf), mv AS (SELECT factor, ticker, abs(p - lag(p) OVER (PARTITION BY factor, ticker ORDER BY date)) AS m FROM pc),
+tv AS (SELECT factor, avg(m) AS turnover FROM (SELECT factor, ticker, avg(m) AS m FROM mv GROUP BY 1, 2) GROUP BY 1), cv AS (SELECT factor, count(z) / count(*)::DOUBLE AS coverage FROM zf GROUP BY 1),
+ii AS (SELECT factor, avg(ic) AS ic, {div('avg(ic)', 'stddev_samp(ic)')} AS ic_ir FROM fic GROUP BY 1)
+SELECT factor, {r('ic')} AS ic, {r('ic_ir')} AS ic_ir, {r('spread')} AS spread, {r('spread_t')} AS spread_t, {r('monotonicity')} AS monotonicity, {r('turnover')} AS turnover, {r('coverage')} AS coverage,
+  coalesce(abs(spread_t) >= 2 AND monotonicity >= 0.6 AND turnover <= 0.15, false) AS promoted FROM ii JOIN sq USING (factor) JOIN mo USING (factor) JOIN tv USING (factor) JOIN cv USING (factor)""",
+)(lambda s, d: crosssection.lab(panels.kept(long_scores(s, d))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import overfitting, tactics, vigilant
+from ..operators import overfitting, risk, tactics, vigilant
 from ..operators import timeseries as ts
 from ..sources import panels
 from .queries import DAILY, W1, div, query, r
@@ -118,6 +118,23 @@ def a_registered_verdict(spark, sf_dir):
     return tactics.verdict(metrics, overfitting.overfitting_share(overfitting.backtest_overfitting(tactics.matrix(common), 10)))
 
 
+
+
+@query(
+    "a_registered_compare",
+    f"""{_RETURNS}, bq AS (SELECT m + 1 AS idx, r AS m FROM sg WHERE sleeve = 0 AND ticker = '{BENCHMARK}'), pj AS (SELECT name, ret AS r, m, ret - m AS x FROM rs JOIN bq USING (idx) WHERE ret IS NOT NULL AND m IS NOT NULL),
+cb AS (SELECT *, coalesce({div('covar_samp(r, m) OVER n', 'var_samp(m) OVER n')}, 1.0) AS b FROM pj WINDOW n AS (PARTITION BY name))
+SELECT name, {r('any_value(b)', 9)} AS beta, {r('(avg(r) - any_value(b) * avg(m)) * 12', 9)} AS alpha, {r('stddev_samp(x) * sqrt(12.0)', 9)} AS tracking_error, {r(div('avg(x) * 12', 'stddev_samp(x) * sqrt(12.0)'), 9)} AS information_ratio, {r('corr(r, m)', 9)} AS correlation FROM cb GROUP BY 1""",
+    places=9,
+)
+def a_registered_compare(spark, sf_dir):
+    """Every registered strategy against the benchmark's own months."""
+    daily = panels.kept(carried(spark, sf_dir))
+    market = tactics.signals(tactics.observed(daily.filter(F.col("ticker") == BENCHMARK), 1)).select((F.col("idx") + 1).alias("idx"), F.col("r").alias("m"))
+    pairs = tactics.returns(daily, TACTICS, BENCHMARK).select("name", "idx", F.col("ret").alias("r")).join(F.broadcast(market), "idx")
+    return risk.against_market(pairs, "name")
+
+
 _COST_PARTS = [f"SELECT '{f}' AS frequency, 'pbo' AS measure, NULL AS config, {b} AS blocks, pbo AS value, pbo < 0.5 AS passed FROM ({pbo_sql(t, b)})" for f, t in (("daily", "td"), ("monthly", "tm")) for b in (8, 10, 12, 16)]
 _COST_PARTS += [f"SELECT '{f}', 'dsr', config, NULL, dsr, dsr >= 0.95 FROM ({_dsr(25, t)})" for f, t in (("daily", "td"), ("monthly", "tm"))]
 
