@@ -638,6 +638,38 @@ m AS (SELECT DISTINCT last_day(CAST(l_shipdate AS DATE)) AS date FROM lineitem),
 SELECT g.ticker, g.date, 'GP_A_TTM' AS factor, {r('v')} AS value FROM g ASOF JOIN kk ON g.ticker = kk.ticker AND g.date >= kk.datekey WHERE v IS NOT NULL""",
 )(_factor_query(["GP_A_TTM"], prices=panels.monthly_prices))
 
+# two factors of each category against SQL written from their definitions, not from the expression tree
+
+_GROWN = lambda v, n, back=0: div(f"{_at(v, back)} - {_at(v, n + back)}", f"abs({_at(v, n + back)})")
+
+
+def _at(v: str, n: int) -> str:
+    return f"(lag({v}, {n}) OVER {W1})" if n else v
+
+
+_TTM = lambda v: f"(CASE WHEN count({v}) OVER {rows(4)} >= 4 THEN sum({v}) OVER {rows(4)} END)"
+_FILED = {
+    "GP_ACCEL_QOQ": f"{_GROWN('gp', 1)} - {_GROWN('gp', 1, 1)}", "NETINC_ACCEL_YOY": f"{_GROWN('netinc', 4)} - {_GROWN('netinc', 4, 4)}",
+    "REVENUE_GROWTH_YOY": _GROWN("revenue", 4), "EQUITY_GROWTH_QOQ": _GROWN("equity", 1),
+    "ROE": div("netinc", f"((equity + {_at('equity', 1)}) / 2)"), "CURRENT_RATIO": div("assetsc", "liabilitiesc"), "NET_ISSUANCE": div(f"sharesbas - {_at('sharesbas', 4)}", _at("sharesbas", 4)),
+}
+_BY_HAND = (*_FILED, "INST_HOLDER_CHG", "MOM_3M", "MOM_12_1", "TURNOVER", "EV", "EV_SALES", "PBR", "PER_TTM", "SIZE")
+_HAND_DAILY = {
+    "MOM_3M": f"{div('close', f'lag(close, 63) OVER {W1}')} - 1", "MOM_12_1": f"{div(f'lag(close, 21) OVER {W1}', f'lag(close, 252) OVER {W1}')} - 1",
+    "TURNOVER": div(_roll("avg", "volume * close", 20), "mcap"), "SIZE": "mcap",
+}
+_HAND = f"""{FACTOR_TABLES},
+fq AS (SELECT ticker, date AS period, datekey, {", ".join(f"{v} AS {k}" for k, v in _FILED.items())}, debt, cashneq, revenue, equity, {_TTM('netinc')} AS net4 FROM q),
+iq AS (SELECT ticker, inst_date, {_GROWN('inst_holders', 1)} AS INST_HOLDER_CHG FROM q),
+dq AS (SELECT ticker, date, mcap, {", ".join(f"{v} AS {k}" for k, v in _HAND_DAILY.items())} FROM d),
+sg AS (SELECT * FROM dq WHERE date IN (SELECT max(date) FROM b GROUP BY date_trunc('month', date) HAVING max(idx) < (SELECT max(idx) FROM b))),
+pf AS (SELECT sg.*, fk.* EXCLUDE (ticker, period, datekey) FROM sg ASOF LEFT JOIN (SELECT * FROM fq WHERE datekey IS NOT NULL) fk ON fk.ticker = sg.ticker AND sg.date >= fk.datekey),
+pi AS (SELECT pf.*, ik.INST_HOLDER_CHG FROM pf ASOF LEFT JOIN (SELECT * FROM iq WHERE inst_date IS NOT NULL) ik ON ik.ticker = pf.ticker AND pf.date >= ik.inst_date),
+al AS (SELECT ticker, date, {", ".join((*_FILED, "INST_HOLDER_CHG", *_HAND_DAILY))}, mcap + debt - cashneq AS EV, {div('mcap + debt - cashneq', 'revenue')} AS EV_SALES, {div('mcap', 'equity')} AS PBR, {div('mcap', 'net4')} AS PER_TTM FROM pi)
+SELECT ticker, date, factor, {r('value')} AS value FROM (UNPIVOT al ON {", ".join(_BY_HAND)} INTO NAME factor VALUE value)"""
+query("f_by_hand", _HAND)(_factor_query(list(_BY_HAND)))
+
+
 # store
 
 _SPLIT = "TIMESTAMP '1998-01-01'"
