@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -151,13 +154,49 @@ def drawdown_episodes(curve: DataFrame, *by: str) -> DataFrame:
     return rows.agg(F.min("idx").alias("start"), F.min_by("idx", F.struct("__dd", "idx")).alias("trough"), F.max_by("__next", "idx").alias("end"), F.min("__dd").alias("depth"), F.count("*").alias("rows"))
 
 
-def regimes(series: DataFrame, trend: int = 252, window: int = 63, warm: int = 504, q: float = 0.6) -> DataFrame:
+def expanding_quantile(series: DataFrame, v: str, q: float, least: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """idx, cut: the exact quantile (interpolated) of the values of v up to each row that has one; NULL under `least` of them.
+
+    With n values, rows fall into about sqrt(n) blocks of dates and sqrt(n) ranges of values. A block knows how many
+    earlier values lie in each range; with its own values up to a row that gives the range which holds the wanted place,
+    and that range's values up to the row are sorted. So a row looks at arrays of about sqrt(n) numbers, and rows are
+    spread over tasks. The values are read several times, so `keep` may write them first.
+    """
+    known = keep(series.filter(F.col(v).isNotNull()).select(F.col("idx").cast("int").alias("idx"), F.col(v).cast("double").alias("v")))
+    n, first, last = known.agg(F.count("*"), F.min("idx"), F.max("idx")).first()
+    if not n:
+        return known.select("idx", F.lit(None).cast("double").alias("cut"))
+    size = max(1, math.isqrt(n))
+    bounds = sorted(set(known.agg(F.percentile_approx("v", [k / size for k in range(1, size)] or [0.5])).first()[0]))
+    span = max(1, (last - first + 1) // size)
+    rows = known.withColumns({"block": F.floor((F.col("idx") - first) / span).cast("int"), "range": F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("v")))})
+    ranges = F.sequence(F.lit(0), F.lit(len(bounds)))
+    own = rows.groupBy("block").agg(F.collect_list(F.struct("idx", "range")).alias("own"))
+    counts = rows.groupBy("block", "range").agg(F.count("*").alias("n")).groupBy("range").agg(F.collect_list(F.struct("block", "n")).alias("cells"))
+    earlier = own.select("block").join(F.broadcast(counts)).select("block", "range", F.aggregate(F.filter("cells", lambda c: c["block"] < F.col("block")), F.lit(0).cast("long"), lambda s, c: s + c["n"]).alias("n"))
+    earlier = earlier.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("range", "n"))).alias("before"))
+    here = lambda r: F.coalesce(F.col("before")[r], F.lit(0).cast("long")) + F.size(F.filter("own", lambda o: (o["idx"] <= F.col("idx")) & (o["range"] == r)))
+    steps = F.aggregate(ranges, F.array(F.lit(0).cast("long")), lambda s, r: F.concat(s, F.array(F.element_at(s, -1) + here(r))))
+    at = rows.select("idx", "block").join(own, "block").join(earlier, "block").select("idx", steps.alias("upto"))
+    at = at.withColumn("n", F.element_at("upto", -1)).withColumn("place", (F.col("n") - 1) * F.lit(q))
+    low = F.floor("place")
+    at = at.withColumn("ks", F.array(low, F.least(low + 1, F.col("n") - 1))).select("idx", "n", (F.col("place") - low).alias("part"), F.posexplode("ks").alias("which", "k"), "upto")
+    in_range = F.size(F.filter("upto", lambda u: u <= F.col("k"))) - 1
+    at = at.withColumn("range", in_range).withColumn("inside", F.col("k") - F.col("upto")[F.col("range")])
+    members = rows.groupBy("range").agg(F.collect_list(F.struct("v", F.col("idx").alias("at"))).alias("members"))
+    found = F.array_sort(F.transform(F.filter("members", lambda m: m["at"] <= F.col("idx")), lambda m: m["v"]))[F.col("inside").cast("int")]
+    values = at.join(members, "range").groupBy("idx", "n", "part").agg(F.max_by(found, -F.col("which")).alias("lo"), F.max_by(found, "which").alias("hi"))
+    return values.select("idx", F.when(F.col("n") >= least, F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("cut"))
+
+
+def regimes(series: DataFrame, trend: int = 252, window: int = 63, warm: int = 504, q: float = 0.6, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """series (idx, close) with regime: bull or bear by the trend's sign, calm or volatile by the expanding quantile of volatility."""
     one = F.lit(1)
     rows = series.withColumn("__r", safe_div(F.col("close"), lag("close", 1, one)) - 1)
     rows = rows.withColumn("__vol", rolling("__r", window, "std", window, one) * F.sqrt(F.lit(float(YEAR)))).withColumn("__t", safe_div(F.col("close"), lag("close", trend, one)) - 1)
-    w = Window.partitionBy(one).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__cut", F.when(F.count("__vol").over(w) >= warm, F.percentile("__vol", F.lit(q)).over(w)))
+    rows = keep(rows)
+    cuts = expanding_quantile(rows, "__vol", q, warm).select(F.col("idx").alias("__at"), F.col("cut").alias("__cut"))
+    rows = rows.join(cuts, rows["idx"] == cuts["__at"], "left").drop("__at")
     known = F.col("__t").isNotNull() & F.col("__cut").isNotNull() & F.col("__vol").isNotNull()
     name = F.concat(F.when(F.col("__t") > 0, "bull").otherwise("bear"), F.when(F.col("__vol") > F.col("__cut"), "_volatile").otherwise("_calm"))
     return rows.withColumn("regime", F.when(known, name).otherwise("unknown")).drop("__r", "__vol", "__t", "__cut")

@@ -240,7 +240,7 @@ v AS (SELECT *, CASE WHEN count(r) OVER {rows(63, '')} >= 63 THEN stddev_samp(r)
 c AS (SELECT *, CASE WHEN count(vol) OVER (ORDER BY idx) >= 504 THEN quantile_cont(vol, 0.6) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) END AS cut FROM v)
 SELECT date, idx, CASE WHEN t IS NULL OR cut IS NULL OR vol IS NULL THEN 'unknown'
   ELSE (CASE WHEN t > 0 THEN 'bull' ELSE 'bear' END) || (CASE WHEN vol > cut THEN '_volatile' ELSE '_calm' END) END AS regime FROM c""",
-)(lambda s, d: ts.regimes(panels.benchmark(s, d)).select("date", "idx", "regime"))
+)(lambda s, d: ts.regimes(panels.benchmark(s, d), keep=panels.kept).select("date", "idx", "regime"))
 query(
     "w_macro_exposure",
     f"WITH {BENCH} SELECT date, {r('pow(0.5, CAST(coalesce(close < lag(close, 21) OVER (ORDER BY idx), false) AS INT) + CAST(coalesce(close < lag(close, 63) OVER (ORDER BY idx), false) AS INT))')} AS exposure FROM b",
@@ -505,7 +505,7 @@ def long_scores(spark, sf_dir) -> DataFrame:
 
 
 def month_regimes(spark, sf_dir) -> DataFrame:
-    daily = ts.regimes(panels.benchmark(spark, sf_dir), trend=126, warm=126)
+    daily = ts.regimes(panels.benchmark(spark, sf_dir), trend=126, warm=126, keep=panels.kept)
     return daily.groupBy(F.last_day("date").alias("date")).agg(F.max_by("regime", "date").alias("regime"))
 
 

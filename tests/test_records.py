@@ -161,3 +161,18 @@ def test_streaming_windows_drop_late_events(spark, tmp_path):
         stream.writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     got = {(r.start.hour, r.event_type): (r.n, r.total) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got[10, "view"] == (2, 3.0) and got[12, "buy"] == (1, 4.0)  # the late event of minute 20 is not counted
+
+
+@pytest.mark.parametrize("n, q", [(1, 0.6), (7, 0.5), (260, 0.6), (300, 0.0), (300, 1.0)])
+def test_expanding_quantile(spark, n, q):
+    from pitpanel.operators.timeseries import expanding_quantile
+
+    rng = np.random.default_rng(n)
+    values = [None if rng.random() < 0.1 and n > 1 else float(round(rng.normal(), 1)) for _ in range(n)]  # gaps and many ties
+    rows = [(100 + 2 * k, v) for k, v in enumerate(values)]
+    got = {r.idx: r.cut for r in expanding_quantile(spark.createDataFrame(rows, "idx int, v double").repartition(3), "v", q, 3).collect()}
+    for k, (idx, v) in enumerate(rows):
+        past = [x for x in values[: k + 1] if x is not None]
+        if v is not None:
+            assert got.pop(idx) == (None if len(past) < 3 else pytest.approx(np.quantile(past, q), abs=1e-12))
+    assert not got
