@@ -47,7 +47,11 @@ def capped(rows: DataFrame, cap: float | Column, by: str = "date") -> DataFrame:
 
 
 def shrunk_covariance(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Covariance drawn towards constant correlation by the optimal share; population moments."""
+    """Covariance drawn towards constant correlation by the optimal share; population moments.
+
+    The estimator of Ledoit and Wolf, "Honey, I shrunk the sample covariance matrix" (2004), appendix B: `squares` is its
+    pi, `theta` its theta, `rho` and `gap` its rho and gamma.
+    """
     t, n = x.shape
     y = x - x.mean(axis=0)
     s = y.T @ y / t

@@ -76,6 +76,7 @@ def _add(category: str, name: str, expr: Expr, **more) -> None:
     CATALOG[name] = Factor(name, expr, category, **more)
 
 
+# Names, fields and formulas of the factors are the catalog itself.
 SEP, BOTH = ("SEP",), ("SF1", "SEP")
 for _name, _e in {"NETINC": f.netinc, "REVENUE": f.revenue, "GP": f.gp, "OPINC": f.opinc, "NCFO": f.ncfo, "ACCRUAL": accrual}.items():
     _add("acceleration", f"{_name}_ACCEL_QOQ", _e.qoq().accel(1), winsor=0.02)
