@@ -39,6 +39,7 @@ class Declared:
     impact: float = 0.0
     worth: float = 0.0
     coverage: float = 0.5
+    band: float = 1.0
     timing_days: int | None = None
     reentry_days: int = 0
     target_volatility: float | None = None
@@ -47,7 +48,7 @@ class Declared:
     def __post_init__(self):
         bad = [
             self.n < 1 and "n is below 1", self.rebalance not in REBALANCES and f"no rebalance {self.rebalance}", self.weighting not in WEIGHTINGS and f"no weighting {self.weighting}",
-            not 0 < self.max_weight <= 1 and "max_weight is not within 0 and 1", not any(w for _, w in self.factors) and "no factor has a weight", self.window < 2 and "window is below 2",
+            not 0 < self.max_weight <= 1 and "max_weight is not within 0 and 1", not any(w for _, w in self.factors) and "no factor has a weight", self.band < 1 and "band is below 1", self.window < 2 and "window is below 2",
         ]
         if any(bad):
             raise ValueError(f"{self.name}: " + "; ".join(b for b in bad if b))
@@ -136,13 +137,22 @@ def allowed(market: Market, strategies: Sequence[Declared]) -> DataFrame | None:
 
 
 def selected(market: Market, strategies: Sequence[Declared]) -> DataFrame:
-    """config, idx, ticker, score, rank and the strategy's row: the n best of its universe that have a price; ties by ticker."""
+    """config, idx, ticker, score and the strategy's row: the n best of its universe that have a price; ties by ticker.
+
+    With a band above 1 names held before stay while they rank within n * band.
+    """
     about = _table(strategies, market)
     rows = scores(market, strategies).filter("score IS NOT NULL").withColumn("score", F.round("score", 9)).join(F.broadcast(about), "config")
     priced = market.daily.filter("close IS NOT NULL").select("idx", "ticker")
     rows = rows.join(priced, ["idx", "ticker"], "left_semi").join(allowed(market, strategies), ["limits", "idx", "ticker"], "left_semi")
     best = Window.partitionBy("config", "idx").orderBy(F.desc("score"), "ticker")
-    return rows.withColumn("rank", F.row_number().over(best)).filter("rank <= n")
+    out = rows.withColumn("rank", F.row_number().over(best)).filter("rank <= n").drop("rank")
+    for n, band in _distinct((s.n, s.band) for s in strategies if s.band > 1):
+        names = [s.name for s in strategies if (s.n, s.band) == (n, band)]
+        some = rows.filter(F.col("config").isin(*names))
+        held = backtest.with_band(some.select("config", "idx", "ticker", "score"), n, band, "config")
+        out = out.filter(~F.col("config").isin(*names)).unionByName(some.join(held.select("config", "idx", "ticker"), ["config", "idx", "ticker"]).select(*out.columns))
+    return out
 
 
 def weights(market: Market, strategies: Sequence[Declared]) -> DataFrame:

@@ -154,6 +154,18 @@ def test_universe_and_caps(market):
     assert sum(w for (c, _), w in by.items() if c == "all") == pytest.approx(1) and by["all", "D"] == pytest.approx(0.3) and by["all", "C"] == pytest.approx(0.3)
 
 
+def test_band_in_a_strategy(spark, market):
+    """B and C change places each month: without a band the pick follows, with one the first stays."""
+    z = market.daily.select("idx", "ticker", F.lit("flip").alias("factor"), F.when(F.col("ticker") == "B", F.when(F.col("idx") % 2 == 1, 2.0).otherwise(1.0)).when(F.col("ticker") == "C", 1.5).otherwise(0.0).alias("z"))
+    at = strategy.Market(market.daily, z, market.benchmark)
+    book = [strategy.Declared("plain", (("flip", 1.0),), n=1), strategy.Declared("banded", (("flip", 1.0),), n=1, band=2.0)]
+    got = {(r.config, r.idx): r.ticker for r in strategy.weights(at, book).collect()}
+    assert {t for (c, _), t in got.items() if c == "banded"} == {"B"}
+    assert all(got["plain", i] == ("B" if i % 2 == 1 else "C") for c, i in got if c == "plain") and "C" in got.values()
+    with pytest.raises(ValueError):
+        strategy.Declared("s", (("flip", 1.0),), band=0.5)
+
+
 def signal_rows(spark, rows):
     return spark.createDataFrame([(t, 0, i, 1.0, m, s, r) for t, i, m, s, r in rows], "ticker string, sleeve int, idx int, close double, mom double, ratio double, r double")
 
