@@ -234,9 +234,14 @@ class _Emitter:
         return name
 
 
+#: Operators that look from a row along the others of its name; on the daily grid they need all days.
+ALONG_DAYS = {"lag", "accel", "ma", "std", "downside", "mom", "change", "rsi", "beta"}
+
+
 def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None = None) -> DataFrame:
     """ticker, date, idx and a column for each wanted expression, for the days given (all trading days if none)."""
-    grids = {k: tables.grid(e) for k, e in wanted.items()}  # errors come before any job
+    for e in wanted.values():
+        tables.grid(e)  # errors come before any job
     promoted: dict[str, Expr] = {}
 
     def boundary(e: Expr) -> None:
@@ -254,8 +259,11 @@ def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None
     q = _Emitter(quarterly, tables)
     columns = {text: q.add(e) for text, e in promoted.items()}
     daily = tables.daily if tables.groups is None else tables.daily.join(tables.groups, "ticker", "left")
-    early = days is not None and all(g == "q" for g in grids.values())
-    if early:  # nothing looks back along days: only the days wanted need the join
+    def along_days(e: Expr) -> bool:
+        return e.name != "const" and tables.grid(e) != "q" and (e.name in ALONG_DAYS or any(map(along_days, e.args)))
+
+    early = days is not None and not any(map(along_days, wanted.values()))
+    if early:  # nothing looks along days: only the days wanted need the join
         daily = daily.join(F.broadcast(days.select("date")), "date", "left_semi")
     names: dict[str, str] = {}
     by_source: dict[frozenset, list[str]] = {}
