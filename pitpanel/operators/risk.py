@@ -25,6 +25,22 @@ def metrics(returns: DataFrame, *by: str, periods: int = 12, risk_free: float =
     )
 
 
+def bundle(returns: DataFrame, *by: str, periods: int = 12, risk_free: float = 0.05) -> DataFrame:
+    """n, total, cagr, vol, sharpe, max_drawdown (positive), calmar (of cagr), calmar_mean (of the yearly mean), win_rate of r (idx, r).
+
+    One window and one aggregate. Without a drawdown both ratios are NULL; a NULL return counts as no change of worth.
+    """
+    keys = list(by) or [F.lit("all")]
+    rows = returns.withColumn("__e", equity("r", *keys)).withColumn("__d", drawdown("__e", *keys))
+    n, growth = F.count("r"), F.product(1 + F.coalesce("r", F.lit(0.0)))
+    cagr = F.when(n > 0, F.pow(growth, periods / n) - 1)
+    vol, yearly, worst = F.stddev_samp("r") * F.sqrt(F.lit(float(periods))), F.avg("r") * periods, -F.min("__d")
+    return rows.groupBy(*by).agg(
+        n.alias("n"), (growth - 1).alias("total"), cagr.alias("cagr"), vol.alias("vol"), safe_div(yearly - risk_free, vol).alias("sharpe"), worst.alias("max_drawdown"),
+        safe_div(cagr, worst).alias("calmar"), safe_div(yearly, worst).alias("calmar_mean"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("win_rate"),
+    )
+
+
 def against_market(pairs: DataFrame, *by: str, periods: int = 12) -> DataFrame:
     """beta, alpha, tracking error, information ratio, correlation of r against m, rows that have both."""
     rows = pairs.filter("r IS NOT NULL AND m IS NOT NULL").withColumn("__x", F.col("r") - F.col("m"))

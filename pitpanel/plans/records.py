@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, backtest, crosssection, risk, rotation, store, universe
 from ..operators import timeseries as ts
 from ..sources import panels, tables
-from .queries import _ASOF, _BOOK, _FIC, _NOW, _OU, _W, _pct, BENCH, DAILY, FILINGS, META, b_mean_reversion, book, chosen, div, holdings_now, long_scores, query, r, rows
+from .queries import _ASOF, _BOOK, _FIC, _NOW, _OU, _W, _pct, _DD, BENCH, DAILY, FILINGS, META, MONTHLY, MRET, b_mean_reversion, book, chosen, div, holdings_now, long_scores, monthly_returns, query, r, rows
 
 
 def new_store(spark) -> tables.Store:
@@ -44,6 +44,17 @@ query("k_stored_span", f"{_STORED} SELECT ticker, date, {r('close')} AS close FR
 query("k_stored_metadata", f"{_STORED} SELECT ticker, min(date) AS first, max(date) AS last, count(*) AS n_rows FROM st GROUP BY 1")(lambda s, d: stored_prices(s, d).metadata())
 
 
+
+
+@query("k_stored_cleared", f"{_STORED} SELECT ticker, min(date) AS first, max(date) AS last, count(*) AS n_rows FROM st WHERE ticker NOT IN ('Brand#3', 'Brand#7') GROUP BY 1")
+def k_stored_cleared(spark, sf_dir):
+    """Two names are cleared, and the folders that no pointer names are deleted."""
+    kept = stored_prices(spark, sf_dir)
+    kept.clear("prices", ["Brand#3", "Brand#7"])
+    kept.purge("prices")
+    return kept.metadata()
+
+
 @query("k_stored_filings", f"{FILINGS} SELECT ticker, calendardate, datekey, 'ARQ' AS dimension, {r('revenue')} AS revenue, {r('netinc')} AS netinc FROM f WHERE datekey IS NOT NULL")
 def k_stored_filings(spark, sf_dir):
     """Filings arrive in two loads of which the second restates the first one's last year; the first filing of a quarter stays."""
@@ -109,6 +120,12 @@ def b_timed_backtest(spark, sf_dir):
     return backtest.apply_exposure(book(spark, sf_dir), ts.ma_exposure(bench, 6)).select("idx", "ret")
 
 
+_CAGR, _VOL = "CASE WHEN count(r) > 0 THEN pow(product(1 + coalesce(r, 0)), 12.0 / count(r)) - 1 END", "stddev_samp(r) * sqrt(12.0)"
+query(
+    "a_metric_bundle",
+    f"""{MONTHLY}{MRET}{_DD} SELECT ticker, count(r) AS n, {r('product(1 + coalesce(r, 0)) - 1')} AS total, {r(_CAGR)} AS cagr, {r(_VOL)} AS vol, {r(div('avg(r) * 12 - 0.05', _VOL))} AS sharpe, {r('-min(dd)')} AS max_drawdown,
+  {r(div(_CAGR, '-min(dd)'))} AS calmar, {r(div('avg(r) * 12', '-min(dd)'))} AS calmar_mean, {r('avg(CASE WHEN r IS NOT NULL THEN CAST(r > 0 AS INT) END)')} AS win_rate FROM d GROUP BY ticker""",
+)(lambda s, d: risk.bundle(monthly_returns(s, d), "ticker"))
 query("a_pick_shares", f"{_W} SELECT ticker, {r('count(*) / (SELECT count(*) FROM w)::DOUBLE')} AS share FROM w GROUP BY 1")(lambda s, d: risk.frequencies(chosen(s, d)))
 query("u_industry", f"WITH {META} SELECT ticker, sector, industry FROM meta WHERE (sector = 'ASIA' AND regexp_matches(industry, '(?i)nation_1|nation_2')) OR sector = 'EUROPE'")(
     lambda s, d: panels.descriptions(s, d).filter(universe.industry_mask(F.col("sector"), F.col("industry"), {"east": ("ASIA", ("nation_1", "nation_2")), "west": ("EUROPE", ())})).select("ticker", "sector", "industry")

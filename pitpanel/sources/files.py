@@ -97,3 +97,24 @@ def wanted_only(prices: DataFrame, tickers: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"no prices for {sorted(missing)}")
     return rows
+
+
+def write_csv(rows: DataFrame, path: str, *order: str) -> None:
+    """A report as CSV files with a header, in ascending or (`-name`) descending order over all files; an older report goes."""
+    _in_order(rows, order).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+
+
+def write_json(rows: DataFrame, path: str, *order: str) -> None:
+    """A report as JSON records, one a line, NULLs written out; order and older reports as in write_csv."""
+    _in_order(rows, order).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_returns(returns: DataFrame, path: str) -> None:
+    """date, r as what read_returns reads: an object of unix seconds to returns in each year's folder."""
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.unix_seconds(F.col("date").cast("timestamp")).cast("string"), "r"))))
+    years = returns.filter("r IS NOT NULL").groupBy(F.year("date").alias("year")).agg(F.to_json(pairs).alias("value"))
+    years.write.mode("overwrite").partitionBy("year").text(path)
+
+
+def _in_order(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    return rows.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]) if order else rows

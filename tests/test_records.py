@@ -176,3 +176,30 @@ def test_expanding_quantile(spark, n, q):
         if v is not None:
             assert got.pop(idx) == (None if len(past) < 3 else pytest.approx(np.quantile(past, q), abs=1e-12))
     assert not got
+
+
+def test_reports_are_written_in_order_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("B", 1.5), ("A", 2.5), ("C", None)], "ticker string, score double").repartition(3)
+    for _ in range(2):  # the second report replaces the first
+        files.write_csv(rows, f"file://{tmp_path}/csv", "-score", "ticker")
+        files.write_json(rows, f"file://{tmp_path}/json", "ticker")
+    parts = lambda kind: [line for p in sorted((tmp_path / kind).glob("part-*")) for line in p.read_text().splitlines()]
+    assert [line for line in parts("csv") if line != "ticker,score"] == ["A,2.5", "B,1.5", "C,"]
+    assert parts("json") == ['{"ticker":"A","score":2.5}', '{"ticker":"B","score":1.5}', '{"ticker":"C","score":null}']
+
+
+def test_returns_are_read_back_as_written(spark, tmp_path):
+    rows = [(date(2020, 12, 30), 0.01), (date(2020, 12, 31), -0.02), (date(2021, 1, 4), 0.0), (date(2021, 1, 5), None)]
+    files.write_returns(spark.createDataFrame(rows, "date date, r double"), f"file://{tmp_path}/oos")
+    assert [tuple(x) for x in files.read_returns(spark, f"file://{tmp_path}/oos").collect()] == rows[:3]
+
+
+def test_bundle_by_hand(spark):
+    from pitpanel.operators import risk
+
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, 0.5), ("a", 3, -0.5), ("a", 4, 0.2), ("b", 1, 0.1), ("b", 2, 0.1), ("c", 1, None)], "k string, idx int, r double")
+    a, b, c = risk.bundle(rows, "k").orderBy("k").collect()
+    assert (a.n, a.max_drawdown) == (3, 0.5) and abs(a.total + 0.1) < 1e-12 and abs(a.win_rate - 2 / 3) < 1e-12
+    assert abs(a.calmar - (0.9**4 - 1) / 0.5) < 1e-12 and abs(a.calmar_mean - 0.2 / 3 * 12 / 0.5) < 1e-12
+    assert b.max_drawdown == 0 and b.calmar is None and b.calmar_mean is None and abs(b.total - 0.21) < 1e-12
+    assert (c.n, c.total, c.cagr, c.sharpe) == (0, 0.0, None, None)
