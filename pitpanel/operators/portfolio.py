@@ -38,7 +38,8 @@ def capped(rows: DataFrame, cap: float | Column, by: str = "date") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("w"), "ticker")
     whole = Window.partitionBy(by)
     rows = rows.withColumn("w", F.col("w") / F.sum("w").over(whole)).withColumn("__k", F.row_number().over(w) - 1)
-    rest = F.sum("w").over(w.rowsBetween(0, Window.unboundedFollowing))
+    lightest = Window.partitionBy(by).orderBy("w", F.desc("ticker"))  # the same order from its end: a running sum costs a row the same, a frame to the end costs it all rows after
+    rest = F.sum("w").over(lightest.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("__scale", safe_div(1 - F.col("__k") * cap, rest)).withColumn("__n", F.count(F.lit(1)).over(whole))
     rows = rows.withColumn("__first", F.min(F.when(F.col("w") * F.col("__scale") <= cap + 1e-15, F.col("__k"))).over(whole))
     rows = rows.withColumn("__s", F.max(F.when(F.col("__k") == F.col("__first"), F.col("__scale"))).over(whole))

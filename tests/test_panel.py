@@ -224,6 +224,19 @@ def test_capped(spark):
     assert [round(r.w, 9) for r in portfolio.capped(df, 0.4).orderBy("ticker").collect()] == [0.4, 0.3, 0.3]
 
 
+def test_capped_adds_up_lighter_names_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    w = np.round(rng.pareto(1.0, 400) + 0.01, 2)
+    out = portfolio.capped(spark.createDataFrame([("d", f"T{i:03d}", float(x)) for i, x in enumerate(w)], "date string, ticker string, w double"), 0.03)
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
+    left, at = w / w.sum(), np.zeros(400, bool)
+    while (left > 0.03 + 1e-12).any():
+        at |= left > 0.03 + 1e-12
+        left = np.where(at, 0.03, w / w[~at].sum() * (1 - 0.03 * at.sum()))
+    got = {r.ticker: r.w for r in out.collect()}
+    assert np.allclose([got[f"T{i:03d}"] for i in range(400)], left)
+
+
 def test_overfitting_matches_brute_force(spark):
     from itertools import combinations
 
