@@ -79,6 +79,11 @@ def beta(panel: DataFrame, market: DataFrame, n: int, r: str = "r") -> DataFrame
     return rows.withColumn("beta", safe_div(cov, F.col("__s") * F.col("__s"))).drop("__m", "__s")
 
 
+def market_spread(market: DataFrame, spans: list[int]) -> DataFrame:
+    """idx, __m (return) and for each span n __s{n}, the deviation of the last n days, as beta divides by."""
+    return market.select("idx", F.col("r").alias("__m"), *[rolling("r", n, "std", max(20, n // 2), F.lit(1)).alias(f"__s{n}") for n in spans])
+
+
 def wilder_rsi(panel: DataFrame, v: str, period: int) -> DataFrame:
     """panel with rsi: gains and losses smoothed with alpha = 1 / period from the first change on.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
 from ..operators import crosssection as xs
+from ..operators import dayvalues
 from ..operators import timeseries as ts
 from ..operators.asof import as_of
 
@@ -166,7 +167,8 @@ fields = _Fields()
 class Tables:
     """What fields are read from: quarterly (ticker, idx, date, datekey, fields), daily prices, descriptions, market returns.
 
-    known: the column with the date from which a quarterly field is known, where that is not datekey.
+    known: the column with the date from which a quarterly field is known, where that is not datekey. calendar: date, idx of
+    all days; on: the daily rows of the days (date) given; both where they come cheaper than from daily.
     """
 
     quarterly: DataFrame
@@ -174,6 +176,8 @@ class Tables:
     groups: DataFrame | None = None
     market: DataFrame | None = None
     known: dict[str, str] = field(default_factory=dict)
+    calendar: DataFrame | None = None
+    on: Callable[[DataFrame], DataFrame] | None = None
 
     def grid(self, e: Expr) -> str | None:
         """'q', 'd' or None (constants); raises where an operator is on the wrong grid, before any job runs."""
@@ -234,12 +238,79 @@ class _Emitter:
         return name
 
 
-#: Operators that look from a row along the others of its name; on the daily grid they need all days.
-ALONG_DAYS = {"lag", "accel", "ma", "std", "downside", "mom", "change", "rsi", "beta"}
+#: Operators that look from a row at rows some days before: how many days.
+_STEPS = {"lag": lambda p: {p[0]}, "accel": lambda p: {0, p[0]}, "change": lambda p: {0, p[0]}, "mom": set}
+
+
+class _Along:
+    """What expressions need of the daily grid: rows so many days before a wanted one, and windows of days.
+
+    windows: text -> node and the days before, of outermost windows over daily figures alone; dense: a window over filings,
+    which needs all days.
+    """
+
+    def __init__(self, tables: Tables, wanted: dict[str, Expr]):
+        self.tables, self.back, self.dense = tables, {0}, False
+        self.windows: dict[str, tuple[Expr, set[int]]] = {}
+        for e in wanted.values():
+            self._walk(e, {0})
+
+    def _walk(self, e: Expr, back: set[int]) -> None:
+        if e.name == "const" or self.tables.grid(e) == "q":
+            return
+        self.back |= back
+        if e.name in dayvalues.ROLLED:
+            self.dense |= not self._daily(e)
+            self.windows.setdefault(e.describe(), (e, set()))[1].update(back)
+            return
+        steps = _STEPS[e.name](e.params) if e.name in _STEPS else {0}
+        for a in e.args:
+            self._walk(a, {b + n for b in back for n in steps})
+
+    def _daily(self, e: Expr) -> bool:
+        """Whether the windows' helper can give it: no filings, no scores across names."""
+        if e.name == "const":
+            return True
+        return self.tables.grid(e) == "d" and (e.make is not None or e.name in ("field", *dayvalues.ROLLED)) and all(map(self._daily, e.args))
+
+
+def _node(e: Expr) -> tuple:
+    return e.name, tuple(map(_node, e.args)), e.params
+
+
+def used(*expressions: Expr) -> set[str]:
+    """The fields that expressions read."""
+    return {n.params[0] for n in _nodes(expressions) if n.name == "field"}
+
+
+def _rows_on_days(tables: Tables, wanted: dict[str, Expr], along: _Along, days: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Daily rows on the days and so many days before as `along` says, with columns of its windows, and their names by text."""
+    back = {n: 1 << k for k, n in enumerate(sorted(along.back))}
+    earlier = days.select(F.explode(F.array(*[F.struct((F.col("idx") - n).alias("idx"), F.lit(bit).cast("long").alias("bit")) for n, bit in back.items()])).alias("d"))
+    earlier = earlier.groupBy("d.idx").agg(F.bit_or("d.bit").alias("mask"))
+    calendar = tables.daily.select("date", "idx").distinct() if tables.calendar is None else tables.calendar.select("date", "idx")
+    asked = calendar.join(F.broadcast(earlier), "idx")
+    if not along.windows:
+        return tables.daily.join(F.broadcast(asked.select("date")), "date", "left_semi") if tables.on is None else tables.on(asked), {}
+    read = used(*wanted.values())
+    fields = [c for c in tables.daily.columns if c in read]
+    daily = tables.daily.select("ticker", "date", "idx", *fields)
+    if spans := sorted({n.params[0] for n in _nodes([e for e, _ in along.windows.values()]) if n.name == "beta"}):
+        daily = daily.join(F.broadcast(ts.market_spread(tables.market, spans)), "idx", "left")
+    names = {text: f"__w{k}" for k, text in enumerate(along.windows)}
+    nodes = {names[t]: (_node(e), sum(back[n] for n in offsets)) for t, (e, offsets) in along.windows.items()}
+    return dayvalues.on_days(daily, asked, nodes, ["date", "idx", *fields]), names
+
+
+def _nodes(expressions) -> list[Expr]:
+    return [n for e in expressions for n in (e, *_nodes(e.args))]
 
 
 def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None = None) -> DataFrame:
-    """ticker, date, idx and a column for each wanted expression, for the days given (all trading days if none)."""
+    """ticker, date, idx and a column for each wanted expression, for the days (date, idx) given (all trading days if none).
+
+    With days, only their rows and those that lags ask for meet filings; windows of days are taken on these days alone.
+    """
     for e in wanted.values():
         tables.grid(e)  # errors come before any job
     promoted: dict[str, Expr] = {}
@@ -249,23 +320,19 @@ def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None
             return
         if tables.grid(e) == "q":
             promoted[e.describe()] = e
-        else:
+        elif e.describe() not in windows:
             for a in e.args:
                 boundary(a)
 
+    along = _Along(tables, wanted)
+    daily, windows = (tables.daily, {}) if days is None or along.dense else _rows_on_days(tables, wanted, along, days)
     for e in wanted.values():
         boundary(e)
     quarterly = tables.quarterly if tables.groups is None else tables.quarterly.join(tables.groups, "ticker", "left")
     q = _Emitter(quarterly, tables)
     columns = {text: q.add(e) for text, e in promoted.items()}
-    daily = tables.daily if tables.groups is None else tables.daily.join(tables.groups, "ticker", "left")
-    def along_days(e: Expr) -> bool:
-        return e.name != "const" and tables.grid(e) != "q" and (e.name in ALONG_DAYS or any(map(along_days, e.args)))
-
-    early = days is not None and not any(map(along_days, wanted.values()))
-    if early:  # nothing looks along days: only the days wanted need the join
-        daily = daily.join(F.broadcast(days.select("date")), "date", "left_semi")
-    names: dict[str, str] = {}
+    daily = daily if tables.groups is None else daily.join(tables.groups, "ticker", "left")
+    names: dict[str, str] = dict(windows)
     by_source: dict[frozenset, list[str]] = {}
     for text, e in promoted.items():
         by_source.setdefault(tables.sources(e), []).append(text)
@@ -279,5 +346,5 @@ def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None
     d = _Emitter(daily, tables)
     d.names |= names
     out = {k: d.add(e) for k, e in wanted.items()}
-    rows = d.frame if days is None or early else d.frame.join(F.broadcast(days.select("date")), "date", "left_semi")
+    rows = d.frame if days is None else d.frame.join(F.broadcast(days.select("date")), "date", "left_semi")
     return rows.select("ticker", "date", "idx", *[F.col(c).alias(k) for k, c in out.items()])

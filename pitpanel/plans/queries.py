@@ -14,7 +14,7 @@ from ..operators import timeseries as ts
 from ..operators.asof import as_of
 from ..sources import panels
 from . import catalog
-from .expr import Tables, compile_all, fields
+from .expr import Tables, compile_all, fields, used
 from .factor_sql import Grid, factor_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,14 +557,19 @@ query("j_as_of", f"{_ASOF} SELECT ticker, date, calendardate, {r('netinc')} AS n
 )
 
 
-def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices) -> Tables:
-    """Windows count trading days, so prices are daily; monthly ones serve expressions without windows only."""
+def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices, fields: set[str] | None = None) -> Tables:
+    """Windows count trading days, so prices are daily; monthly ones serve expressions without windows only.
+
+    fields: those that will be read; holdings and insiders are left out if they have none.
+    """
     quarterly = panels.filings(spark, sf_dir).withColumnRenamed("calendardate", "date")
-    for more in (panels.holdings(spark, sf_dir), panels.insiders(spark, sf_dir)):
-        quarterly = quarterly.join(more.withColumnRenamed("calendardate", "date"), ["ticker", "date"], "left")
+    for more, columns in ((panels.holdings, {"inst_shares", "inst_holders"}), (panels.insiders, {"insider_net_shares"})):
+        if fields is None or columns & fields:
+            quarterly = quarterly.join(more(spark, sf_dir).withColumnRenamed("calendardate", "date"), ["ticker", "date"], "left")
     daily = prices(spark, sf_dir)
     market = daily.groupBy("idx").agg(F.avg("close").alias("c")).withColumn("r", safe_div(F.col("c"), ts.lag("c", 1, F.lit(1))) - 1)
-    return Tables(quarterly, daily, panels.descriptions(spark, sf_dir).select("ticker", "sector"), market, KNOWN)
+    calendar, on = (panels.supplier_calendar(spark, sf_dir), lambda days: prices(spark, sf_dir, days)) if prices is panels.supplier_daily_prices else (None, None)
+    return Tables(quarterly, daily, panels.descriptions(spark, sf_dir).select("ticker", "sector"), market, KNOWN, calendar, on)
 
 
 KNOWN = {"inst_shares": "inst_date", "inst_holders": "inst_date", "insider_net_shares": "insider_date"}
@@ -606,9 +611,10 @@ def _factor_query(names: list[str], scoring: bool = False, prices: Callable[[Spa
     """Factors on signal dates: each month's last trading day, windows running over all days before it."""
 
     def run(spark, sf_dir):
-        tables = factor_tables(spark, sf_dir, prices)
-        signals = backtest.rebalance_dates(tables.daily.select("date", "idx").distinct()) if prices is panels.supplier_daily_prices else None
-        out = compile_all(tables, _wanted(names, scoring), signals)
+        wanted = _wanted(names, scoring)
+        tables = factor_tables(spark, sf_dir, prices, used(*wanted.values()))
+        signals = backtest.rebalance_dates(tables.calendar) if tables.calendar is not None else None
+        out = compile_all(tables, wanted, signals)
         return out.unpivot(["ticker", "date"], names, "factor", "value").filter("value IS NOT NULL")
 
     return run

@@ -13,7 +13,7 @@ from pitpanel.operators import timeseries as ts
 from pitpanel.operators.asof import as_of
 from pitpanel.plans import catalog, queries
 from pitpanel.plans.expr import GridError, MissingFieldError, Tables, compile_all, fields
-from pitpanel.sources import files
+from pitpanel.sources import files, panels
 
 
 def panel(spark, values, ticker="A"):
@@ -149,6 +149,38 @@ def test_factors_that_need_many_falling_days_give_rows_on_dense_prices(spark):
     assert all(n > 100 for n in out.select([F.count(n) for n in FEW_FALLS]).first())
 
 
+def test_factors_on_a_few_days_equal_those_on_all_days(spark):
+    """Windows, lags of windows and lags of promoted figures, for names with gaps, taken on a few days only."""
+    rng = np.random.default_rng(8)
+    days, names = 420, 3
+    rows = [(f"T{k}", date.fromordinal(730000 + i), i, None if i < 40 * k or rng.random() < 0.03 else float(x), float(rng.integers(1, 90))) for k in range(names) for i, x in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02, days))), 1)]
+    daily = spark.createDataFrame(rows, "ticker string, date date, idx int, close double, volume double").withColumns({"mcap": F.col("close") * 50, "closeunadj": F.col("close"), "short_interest": F.col("volume") + 3})
+    filed = spark.createDataFrame([(f"T{k}", date.fromordinal(730000 + 91 * q), q, date.fromordinal(730030 + 91 * q), 100.0 + q * q + k) for k in range(names) for q in range(5)], "ticker string, date date, idx int, datekey date, sharesbas double")
+    market = daily.groupBy("idx").agg((F.avg("close") / 100 - 1).alias("r"))
+    picked = spark.createDataFrame([(date.fromordinal(730000 + i), i) for i in (5, 130, 300, 419)], "date date, idx int")
+    tables = Tables(filed, daily, market=market)
+    wanted = {n: x.expr for n, x in catalog.CATALOG.items() if x.category == "price" or n.startswith(("MA_ACCEL", "VOL_"))} | {"SHORT": catalog.CATALOG["SHORT_INT_CHG"].expr}
+    some = {(r.ticker, r.idx): r for r in compile_all(tables, wanted, picked).collect()}
+    every = {(r.ticker, r.idx): r for r in compile_all(tables, wanted).collect()}
+    assert len(some) == names * 4
+    for key, row in some.items():
+        for n in wanted:
+            a, b = row[n], every[key][n]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * max(1, abs(b))), (key, n, a, b)
+    assert all(any(r[n] is not None for r in some.values()) for n in wanted if n not in FEW_FALLS)
+
+
+def test_supplier_prices_come_from_trades_and_for_days_asked(spark):
+    sf = "/root/testdata/sf0.001"
+    every = panels.supplier_daily_prices(spark, sf)
+    assert "Join Cross" not in every._jdf.queryExecution().optimizedPlan().toString()
+    days = panels.supplier_calendar(spark, sf)
+    picked = days.filter("idx % 97 IN (1, 5)")
+    asked = panels.supplier_daily_prices(spark, sf, picked)
+    assert asked.count() == picked.count() * every.select("ticker").distinct().count() and every.count() == days.count() * every.select("ticker").distinct().count()
+    assert asked.exceptAll(every.filter("idx % 97 IN (1, 5)")).isEmpty()
+
+
 def test_optimised_weights_are_of_the_names_chosen_at_each_rebalance(spark):
     sf = "/root/testdata/sf0.01"
     chosen = {(r.idx, r.ticker) for r in queries.chosen(spark, sf).collect()}
