@@ -41,14 +41,18 @@ def rank_normalised(v: str, by: str = "date") -> Column:
     return F.when(F.col(v).isNotNull(), normal_quantile(F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))))
 
 
-def neutral_groups(v: str, group: str, by: str = "date") -> Column:
-    """Residual on group dummies: the distance to the group's mean; needs as many complete rows as groups and two."""
+def neutral_groups(v: Column | str, group: str, by: str = "date") -> Column:
+    """Residual on group dummies: the distance to the group's mean; needs as many complete rows as groups and two.
+
+    A mean of doubles depends on the order of the rows in its last bit; of decimals it does not.
+    """
+    v = F.col(v) if isinstance(v, str) else v
     w = Window.partitionBy(by)
-    complete = F.col(v).isNotNull() & F.col(group).isNotNull()
+    complete = v.isNotNull() & F.col(group).isNotNull()
     groups = F.size(F.collect_set(F.when(complete, F.col(group))).over(w))
-    value = F.when(complete, F.col(v))
+    value = F.when(complete, v)
     enough = F.count(value).over(w) >= groups + 1
-    return F.when(complete & enough, F.col(v) - F.avg(value).over(Window.partitionBy(by, group)))
+    return F.when(complete & enough, v - F.avg(value).over(Window.partitionBy(by, group)))
 
 
 def neutral_groups_and_size(panel: DataFrame, v: str, group: str, size: str, by: str = "date", out: str = "neutral") -> DataFrame:

@@ -360,6 +360,8 @@ def _pct(v: str, by: str) -> str:
     return f"((rank() OVER (PARTITION BY {by}, {v} IS NULL ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0) / count({v}) OVER (PARTITION BY {by}))"
 
 
+#: Prices have four places; as decimals with room for a mean's they add up exactly.
+PRICE = "decimal(28,14)"
 _CROSS = {
     "x_winsor": (lambda: crosssection.winsor("mcap", 0.05), "CASE WHEN mcap IS NOT NULL THEN greatest(least(mcap, quantile_cont(mcap, 0.95) OVER (PARTITION BY date)), quantile_cont(mcap, 0.05) OVER (PARTITION BY date)) END"),
     "x_zscore": (lambda: crosssection.zscore("close"), div("close - avg(close) OVER (PARTITION BY date)", "stddev_pop(close) OVER (PARTITION BY date)")),
@@ -368,7 +370,7 @@ _CROSS = {
     "x_rank_group": (lambda: crosssection.rank("mcap", "date", "sector"), f"CASE WHEN mcap IS NOT NULL AND sector IS NOT NULL THEN {_pct('mcap', 'date, sector')} END"),
     "x_bucket": (lambda: crosssection.bucket("mcap", 5).cast("double"), f"CASE WHEN mcap IS NOT NULL THEN ceil({_pct('mcap', 'date')} * 5) END"),
     "x_neutral_sector": (
-        lambda: crosssection.neutral_groups("close", "sector"),
+        lambda: crosssection.neutral_groups(F.col("close").cast(PRICE), "sector").cast("double"),
         "CASE WHEN close IS NOT NULL AND sector IS NOT NULL AND count(CASE WHEN sector IS NOT NULL THEN close END) OVER (PARTITION BY date) >= len(list_distinct(list(CASE WHEN close IS NOT NULL THEN sector END) OVER (PARTITION BY date))) + 1 THEN close - avg(close) OVER (PARTITION BY date, sector) END",
     ),
 }

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.functions.columns import average_rank, normal_quantile, safe_div
+from pitpanel.functions.columns import average_rank, normal_quantile, safe_div, significant
 from pitpanel.operators import backtest, crosssection, overfitting, portfolio, rotation, search, store
 from pitpanel.operators import timeseries as ts
 from pitpanel.operators.asof import as_of
@@ -218,6 +218,17 @@ def test_rank_ic_of_a_perfect_factor(spark):
     assert crosssection.rank_ic(rows.limit(10)).first().ic is None
 
 
+def test_neutral_prices_do_not_depend_on_the_order_of_rows(spark):
+    """A residual of 1116.32499 lies on the edge of two roundings, and the mean of doubles falls on either side of it."""
+    rng = np.random.default_rng(0)
+    units = rng.integers(80_000_000, 160_000_000, 20)
+    units[-1] = 19 * units[0] - 20 * 11163250 + 2 - units[1:-1].sum()  # the first less the mean is 1116.32499
+    rows = [(f"d{k:03d}", "A", i, float(u) / 1e4) for k in range(200) for i, u in [(int(i), int(units[i])) for i in rng.permutation(20)]]
+    frame = spark.createDataFrame(rows, "date string, sector string, i int, close double").coalesce(1)
+    got = frame.withColumn("value", significant(queries._CROSS["x_neutral_sector"][0]())).filter("i = 0").select("value").distinct().collect()
+    assert [r.value for r in got] == [1116.33]
+
+
 def test_general_and_closed_neutralisation_agree(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(1, f"T{i}", float(rng.normal()), "ab"[i % 2], float(rng.uniform(1, 9))) for i in range(30)], "date int, ticker string, v double, g string, size double")
