@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from ..functions.columns import safe_div
@@ -156,7 +160,7 @@ def share_plan(targets: DataFrame, holdings: DataFrame, prices: DataFrame, cash:
     others what exceeds theirs, then purchases, the largest shortfall first (ties by ticker), each of as many shares as
     its shortfall and the cash left then allow; so cash never falls below zero. `cash` is what is left after a row's step
     and `error` the share of the final worth less the target. Positions without a price are kept and listed, worth nothing
-    here; targets without one stay unfilled. One portfolio's orders are one ordered fold.
+    here; targets without one stay unfilled. Sales are a running sum; one portfolio's purchases are walked in one call.
     """
     keys = [*by, "ticker"]
     rows = holdings.select(*keys, "shares").join(targets.select(*keys, "w"), keys, "full_outer").join(prices.filter("price > 0").select(*keys, "price"), keys, "left")
@@ -167,18 +171,30 @@ def share_plan(targets: DataFrame, holdings: DataFrame, prices: DataFrame, cash:
     short = F.col("target") - value
     sold = F.when(F.col("price").isNull(), 0).when(F.col("w") == 0, F.col("shares")).otherwise(F.floor(F.greatest(-short, F.lit(0.0)) / F.col("price"))).cast("long")
     rows = rows.withColumn("sold", sold).withColumn("most", F.when((short > 0) & F.col("price").isNotNull(), F.floor(short / F.col("price"))).otherwise(0).cast("long"))
-    order = F.struct((F.col("sold") == 0).alias("later"), F.when(F.col("sold") == 0, -short).otherwise(0.0).alias("first"), "ticker", "price", "shares", "w", "target", "sold", "most")
-    orders = rows.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("o"), F.lit(0).alias("one"))
-    none = F.array().cast("array<struct<cash:double,trade:bigint>>")
-
-    def step(s, o):
-        left = s["cash"] + o["sold"] * F.coalesce(o["price"], F.lit(0.0))
-        bought = F.greatest(F.least(o["most"], F.coalesce(F.floor(left / o["price"]).cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"))
-        rest = left - bought * F.coalesce(o["price"], F.lit(0.0))
-        return F.struct(rest.alias("cash"), F.concat(s["done"], F.array(F.struct(rest.alias("cash"), (bought - o["sold"]).cast("long").alias("trade")))).alias("done"))
-
-    walked = orders.select(*by, F.arrays_zip("o", F.aggregate("o", F.struct(F.lit(float(cash)).alias("cash"), none.alias("done")), step, lambda s: s["done"]).alias("d")).alias("z"))
-    out = walked.select(*by, F.posexplode("z").alias("step", "z")).select(*by, "step", "z.o.*", F.col("z.d.cash").alias("cash"), F.col("z.d.trade").alias("trade"))
+    order = Window.partitionBy(*(by or (F.lit(1),))).orderBy(F.col("sold") == 0, F.when(F.col("sold") == 0, -short).otherwise(0.0), "ticker")
+    past = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("step", F.row_number().over(order) - 1)
+    earned = F.col("sold") * F.coalesce("price", F.lit(0.0)) + F.when(F.col("step") == 0, float(cash)).otherwise(0.0)
+    rows = rows.withColumn("__sales", F.sum(earned).over(past))
+    names = [f"__b{k}" for k in range(len(by))]
+    asked = rows.filter("most > 0").select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("step").alias("__step"), "price", "most", "__sales")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__step")
+        left, bought, rest = rows["__sales"].iloc[0], [], []
+        for price, most in zip(rows["price"], rows["most"], strict=True):
+            bought.append(max(min(most, math.floor(left / price)), 0))
+            left -= bought[-1] * price
+            rest.append(left)
+        return rows[[*names, "__step"]].assign(__bought=bought, __rest=rest)
+
+    bought = asked.groupBy(*names).applyInPandas(walk, T.StructType([*asked.select(*names, "__step").schema, T.StructField("__bought", T.LongType()), T.StructField("__rest", T.DoubleType())]))
+    same = F.col("step") == F.col("__step")
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    out = rows.join(bought, same, "left")
+    after = Window.partitionBy(*(by or (F.lit(1),))).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("cash", F.coalesce(F.last("__rest", ignorenulls=True).over(after), "__sales")).withColumn("trade", F.coalesce("__bought", F.lit(0)) - F.col("sold"))
     out = out.withColumn("final_shares", F.col("shares") + F.col("trade"))
     final = F.coalesce(F.col("final_shares") * F.col("price"), F.lit(0.0))
     action = F.when(F.col("trade") > 0, "BUY").when(F.col("trade") < 0, "SELL").otherwise("HOLD")

@@ -48,6 +48,18 @@ def test_share_plan(spark, seed):
     assert kinds == sorted(kinds, reverse=True)  # sales come before purchases
 
 
+def test_share_plan_of_many_positions_is_linear(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.concat(F.lit("T"), "id").alias("ticker"), (F.col("id") % 7).alias("shares"), (1.0 + F.col("id") % 89).alias("price"))
+    plan = backtest.share_plan(spark.createDataFrame([("T3", 0.5), ("T5", 0.5)], "ticker string, w double"), rows.select("ticker", "shares"), rows.select("ticker", "price"), 20000.0)
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    held = rows.selectExpr("sum(shares * price)").first()[0]
+    last = plan.orderBy(F.desc("step")).first()
+    worth = plan.selectExpr("sum(final_shares * price)").first()[0]
+    assert 0 <= last.cash < 100 and abs(worth + last.cash - held - 20000) < 1e-3
+    assert plan.filter("final_shares > 0").count() == 2
+
+
 def test_band_against_a_plain_walk(spark):
     rnd = random.Random(1)
     rows = [(c, d, f"N{k}", rnd.random()) for c in "xy" for d in range(40) for k in range(20)]
