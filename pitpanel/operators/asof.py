@@ -12,15 +12,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, orde
     Ties of `known` go by `order`, the last wins; a NULL value of that row is kept, never an older one. Right rows
     without `known` don't count. Both sides go into one sorted run per key, so there is one shuffle and no range join.
     """
-    payload = F.struct(*carry)
-    facts = right.filter(F.col(known).isNotNull()).select(
-        F.col(key).alias("__k"), F.col(known).alias("__t"), F.lit(0).alias("__side"), F.struct(*order).alias("__o"), payload.alias("__p"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l")
-    )
-    o, p = facts.schema["__o"].dataType, facts.schema["__p"].dataType
-    asks = left.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(o).alias("__o"), F.lit(None).cast(p).alias("__p"), F.struct(*left.columns).alias("__l"))
+    return as_of_each(left, right, key, at, order, {known: carry})
+
+
+def as_of_each(left: DataFrame, right: DataFrame, key: str, at: str, order: list[str], carried: dict[str, list[str]]) -> DataFrame:
+    """as_of for several `known` columns of right at once (known -> carry): right is computed once and left moved once."""
+    shape = {known: right.select(F.struct(*carry)).schema[0].dataType for known, carry in carried.items()}
+    payload = lambda at: [(F.struct(*carry) if known == at else F.lit(None).cast(shape[known])).alias(f"__p{i}") for i, (known, carry) in enumerate(carried.items())]
+    facts = right.select(F.col(key).alias("__k"), F.struct(*order).alias("__o"), F.explode(F.array(*[F.struct(F.col(known).alias("__t"), *payload(known)) for known in carried])).alias("__f"))
+    facts = facts.select("__k", "__f.__t", F.lit(0).alias("__side"), "__o", *[f"__f.__p{i}" for i in range(len(carried))], F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l")).filter("__t IS NOT NULL")
+    empty = [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns if c.startswith(("__o", "__p"))]
+    asks = left.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__side"), *empty, F.struct(*left.columns).alias("__l"))
     w = Window.partitionBy("__k").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = facts.unionByName(asks).withColumn("__p", F.last("__p", ignorenulls=True).over(w)).filter("__side = 1")
-    return rows.select("__l.*", *[F.col(f"__p.{c}").alias(c) for c in carry])
+    rows = facts.unionByName(asks).withColumns({f"__p{i}": F.last(f"__p{i}", ignorenulls=True).over(w) for i in range(len(carried))}).filter("__side = 1")
+    return rows.select("__l.*", *[F.col(f"__p{i}.{c}").alias(c) for i, carry in enumerate(carried.values()) for c in carry])
 
 
 def validity(right: DataFrame, key: str, known: str, order: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ them, and each is summed on its own, so no difference of long sums loses digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +19,8 @@ from ..functions.columns import TINY
 
 #: Operators that need all days of a window.
 ROLLED = {"ma", "std", "downside", "rsi", "beta"}
+#: What can be given along a name's days.
+NODES = ROLLED | {"field", "const", "add", "sub", "mul", "div", "neg", "abs", "lag", "accel", "mom", "change"}
 
 
 class _Days:
@@ -37,33 +41,26 @@ class _Days:
             return np.float64(params[0])
         if name in ROLLED:
             return self.at((name, args, params), np.arange(len(next(iter(self.columns.values())))))
-        a, b = self.dense(args[0]), self.dense(args[-1])
-        match name:
-            case "add":
-                return a + b
-            case "sub":
-                return a - b
-            case "mul":
-                return a * b
-            case "div":
-                return ratio(a, b)
-            case "neg":
-                return -a
-            case "abs":
-                return np.abs(a)
-            case "lag":
-                return before(a, params[0])
-            case "accel":
-                return a - before(a, params[0])
-            case "mom":
-                return ratio(before(a, params[1]), before(a, params[0])) - 1
-            case "change":
-                return ratio(a, before(a, params[0])) - 1
-        raise ValueError(f"{name} along days")
+        return _value(name, params, *[lambda n, x=x: before(self.dense(x), n) if n else self.dense(x) for x in args])
 
     def at(self, node, days: np.ndarray) -> np.ndarray:
-        """Values of a node of ROLLED on the days (places)."""
-        name, args, (n,) = node
+        """Values of a node on the days (places); windows in it are taken on the days it looks at alone."""
+        name, args, params = node
+        if name in ROLLED:
+            return self._rolled(name, args, *params, days)
+        if not _rolls(node):
+            return self.dense(node) if name == "const" else self.dense(node)[days]
+        return _value(name, params, *[lambda n, x=x: self._earlier(x, days, n) for x in args])
+
+    def _earlier(self, node, days, n):
+        if not n:
+            return self.at(node, days)
+        inside = (days >= n) & (days - n < len(next(iter(self.columns.values()))))
+        out = np.full(len(days), np.nan)
+        out[inside] = self.at(node, days[inside] - n)
+        return out
+
+    def _rolled(self, name, args, n, days):
         x = self.dense(args[0])
         if name == "rsi":
             return wilder(x, n)[days]
@@ -85,6 +82,36 @@ class _Days:
         return ratio(cov, self.columns[f"__s{n}"][days] ** 2)
 
 
+def _rolls(node) -> bool:
+    return node[0] in ROLLED or any(map(_rolls, node[1]))
+
+
+def _value(name, params, a, b=None):
+    """A node's values; a, b: values of its arguments so many days before."""
+    match name:
+        case "add":
+            return a(0) + b(0)
+        case "sub":
+            return a(0) - b(0)
+        case "mul":
+            return a(0) * b(0)
+        case "div":
+            return ratio(a(0), b(0))
+        case "neg":
+            return -a(0)
+        case "abs":
+            return np.abs(a(0))
+        case "lag":
+            return a(params[0])
+        case "accel":
+            return a(0) - a(params[0])
+        case "mom":
+            return ratio(a(params[1]), a(params[0])) - 1
+        case "change":
+            return ratio(a(0), a(params[0])) - 1
+    raise ValueError(f"{name} along days")
+
+
 def ratio(a, b):
     """a / b, NaN where b is within TINY of zero."""
     a, b = np.broadcast_arrays(a, b)
@@ -131,13 +158,29 @@ def wilder(x: np.ndarray, n: int) -> np.ndarray:
     return np.where(known, 100 - 100 / (1 + np.divide(gain, loss, out=np.zeros(len(d)), where=known)), np.nan)
 
 
+def _schema(ticker: T.StructField, keep: list[T.StructField], nodes) -> T.StructType:
+    return T.StructType([ticker, *keep, *[T.StructField(c, T.DoubleType()) for c in nodes]])
+
+
+def _with_values(out: pa.Table, values: _Days, nodes: dict[str, tuple], mask: np.ndarray, places: np.ndarray) -> pa.Table:
+    for name, (node, bits) in nodes.items():
+        wanted, found = (mask & bits) != 0, np.full(len(places), np.nan)
+        found[wanted] = values.at(node, places[wanted])
+        out = out.append_column(name, _doubles(found))
+    return out
+
+
+def _doubles(v: np.ndarray) -> pa.Array:
+    return pa.array(v, pa.float64(), mask=np.isnan(v))
+
+
 def on_days(daily: DataFrame, days: DataFrame, nodes: dict[str, tuple], keep: list[str]) -> DataFrame:
     """ticker, the columns of `keep` and one for each of `nodes`, of daily's rows on the days (idx, mask) only.
 
-    daily: ticker, idx, numbers; nodes: column -> (node, bits), the node being (name, arguments, parameters) of an operator
-    of ROLLED and given on the days whose mask has one of the bits. Beta reads the columns __m and __s{n} of the market.
+    daily: ticker, idx, numbers; nodes: column -> (node, bits), the node being (name, arguments, parameters) of NODES
+    and given on the days whose mask has one of the bits. Beta reads the columns __m and __s{n} of the market.
     """
-    schema = T.StructType([daily.schema["ticker"], *[daily.schema[c] for c in keep], *[T.StructField(c, T.DoubleType()) for c in nodes]])
+    schema = _schema(daily.schema["ticker"], [daily.schema[c] for c in keep], nodes)
     numbers = [c for c in daily.columns if c not in ("ticker", "date")]
 
     def run(rows: pa.Table) -> pa.Table:
@@ -146,13 +189,28 @@ def on_days(daily: DataFrame, days: DataFrame, nodes: dict[str, tuple], keep: li
         columns = {c: np.full(idx.max() - first + 1, np.nan) for c in numbers}
         for c, v in columns.items():
             v[idx - first] = rows.column(c).to_numpy()
-        values, mask, places = _Days(columns), mask[asked], idx[asked] - first
-        out = rows.take(pa.array(asked)).select(["ticker", *keep])
-        for name, (node, bits) in nodes.items():
-            wanted, found = (mask & bits) != 0, np.full(len(asked), np.nan)
-            found[wanted] = values.at(node, places[wanted])
-            out = out.append_column(name, pa.array(found, pa.float64(), mask=np.isnan(found)))
-        return out
+        return _with_values(rows.take(pa.array(asked)).select(["ticker", *keep]), _Days(columns), nodes, mask[asked], idx[asked] - first)
 
     marked = daily.join(F.broadcast(days.select("idx", F.col("mask").alias("__mask"))), "idx", "left").fillna(0, ["__mask"])
     return marked.select("ticker", *dict.fromkeys([*keep, *numbers]), "__mask").groupBy("ticker").applyInArrow(run, schema)
+
+
+def from_trades(trades: DataFrame, calendar: pd.DataFrame, fill: Callable[[dict, np.ndarray], dict], nodes: dict[str, tuple], keep: list[str]) -> DataFrame:
+    """on_days for names whose days follow from few rows: `fill` makes them, by day, inside the call that takes the windows.
+
+    trades: ticker, idx (from 1 on), numbers; calendar: a row a day in order with date, idx, mask, __trade (for fill) and the
+    market's columns; keep: date, idx and columns that fill gives.
+    """
+    fields = [c for c in keep if c not in ("date", "idx")]
+    schema = _schema(trades.schema["ticker"], [T.StructField("date", T.DateType()), T.StructField("idx", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in fields]], nodes)
+    numbers = [c for c in trades.columns if c != "ticker"]
+    trade, market = calendar["__trade"].to_numpy(float), {c: calendar[c].to_numpy(float) for c in calendar.columns if c not in ("date", "idx", "mask", "__trade")}
+    asked = np.flatnonzero(calendar["mask"])
+    mask, dates, places = calendar["mask"].to_numpy()[asked], pa.array(calendar["date"].iloc[asked], pa.date32()), pa.array(asked + 1, pa.int32())
+
+    def run(rows: pa.Table) -> pa.Table:
+        columns = fill({c: rows.column(c).to_numpy() for c in numbers}, trade)
+        out = pa.table({"ticker": pa.repeat(rows.column("ticker")[0], len(asked)), "date": dates, "idx": places, **{c: _doubles(columns[c][asked]) for c in fields}})
+        return _with_values(out, _Days(columns | market), nodes, mask, asked)
+
+    return trades.groupBy("ticker").applyInArrow(run, schema)

@@ -18,7 +18,7 @@ from ..functions.columns import safe_div
 from ..operators import crosssection as xs
 from ..operators import dayvalues
 from ..operators import timeseries as ts
-from ..operators.asof import as_of
+from ..operators.asof import as_of_each
 
 #: Stock fields: a sum over four quarters means nothing, so ttm leaves them as they are.
 STOCKS = frozenset(
@@ -168,7 +168,8 @@ class Tables:
     """What fields are read from: quarterly (ticker, idx, date, datekey, fields), daily prices, descriptions, market returns.
 
     known: the column with the date from which a quarterly field is known, where that is not datekey. calendar: date, idx of
-    all days; on: the daily rows of the days (date) given; both where they come cheaper than from daily.
+    all days; on: the daily rows of the days (date) given; windows: dayvalues.on_days by days (idx, mask, the market's columns),
+    nodes and columns to keep; these where they come cheaper than from daily.
     """
 
     quarterly: DataFrame
@@ -178,6 +179,7 @@ class Tables:
     known: dict[str, str] = field(default_factory=dict)
     calendar: DataFrame | None = None
     on: Callable[[DataFrame], DataFrame] | None = None
+    windows: Callable[[DataFrame, dict, list[str]], DataFrame] | None = None
 
     def grid(self, e: Expr) -> str | None:
         """'q', 'd' or None (constants); raises where an operator is on the wrong grid, before any job runs."""
@@ -245,8 +247,8 @@ _STEPS = {"lag": lambda p: {p[0]}, "accel": lambda p: {0, p[0]}, "change": lambd
 class _Along:
     """What expressions need of the daily grid: rows so many days before a wanted one, and windows of days.
 
-    windows: text -> node and the days before, of outermost windows over daily figures alone; dense: a window over filings,
-    which needs all days.
+    windows: text -> node and the days before, of outermost expressions with windows over daily figures alone; dense: a window
+    over filings, which needs all days.
     """
 
     def __init__(self, tables: Tables, wanted: dict[str, Expr]):
@@ -259,7 +261,7 @@ class _Along:
         if e.name == "const" or self.tables.grid(e) == "q":
             return
         self.back |= back
-        if e.name in dayvalues.ROLLED:
+        if e.name in dayvalues.ROLLED or (self._daily(e) and any(n.name in dayvalues.ROLLED for n in _nodes([e]))):
             self.dense |= not self._daily(e)
             self.windows.setdefault(e.describe(), (e, set()))[1].update(back)
             return
@@ -271,7 +273,7 @@ class _Along:
         """Whether the windows' helper can give it: no filings, no scores across names."""
         if e.name == "const":
             return True
-        return self.tables.grid(e) == "d" and (e.make is not None or e.name in ("field", *dayvalues.ROLLED)) and all(map(self._daily, e.args))
+        return self.tables.grid(e) == "d" and e.name in dayvalues.NODES and all(map(self._daily, e.args))
 
 
 def _node(e: Expr) -> tuple:
@@ -294,11 +296,16 @@ def _rows_on_days(tables: Tables, wanted: dict[str, Expr], along: _Along, days:
         return tables.daily.join(F.broadcast(asked.select("date")), "date", "left_semi") if tables.on is None else tables.on(asked), {}
     read = used(*wanted.values())
     fields = [c for c in tables.daily.columns if c in read]
-    daily = tables.daily.select("ticker", "date", "idx", *fields)
-    if spans := sorted({n.params[0] for n in _nodes([e for e, _ in along.windows.values()]) if n.name == "beta"}):
-        daily = daily.join(F.broadcast(ts.market_spread(tables.market, spans)), "idx", "left")
+    spans = sorted({n.params[0] for n in _nodes([e for e, _ in along.windows.values()]) if n.name == "beta"})
+    spread = ts.market_spread(tables.market, spans) if spans else None
     names = {text: f"__w{k}" for k, text in enumerate(along.windows)}
     nodes = {names[t]: (_node(e), sum(back[n] for n in offsets)) for t, (e, offsets) in along.windows.items()}
+    if tables.windows is not None:
+        marked = calendar.select("idx").join(F.broadcast(earlier), "idx", "left")
+        return tables.windows(marked if spread is None else marked.join(F.broadcast(spread), "idx", "left"), nodes, ["date", "idx", *fields]), names
+    daily = tables.daily.select("ticker", "date", "idx", *fields)
+    if spread is not None:
+        daily = daily.join(F.broadcast(spread), "idx", "left")
     return dayvalues.on_days(daily, asked, nodes, ["date", "idx", *fields]), names
 
 
@@ -336,13 +343,13 @@ def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None
     by_source: dict[frozenset, list[str]] = {}
     for text, e in promoted.items():
         by_source.setdefault(tables.sources(e), []).append(text)
-    for k, (sources, texts) in enumerate(by_source.items()):
-        known = [F.col(s) for s in sorted(sources)]
-        facts = q.frame.withColumn("__known", F.greatest(*known) if len(known) > 1 else known[0])
-        facts = facts.select("ticker", "__known", F.col("date").alias("__period"), *[F.col(columns[t]).alias(f"__p{k}_{i}") for i, t in enumerate(texts)])
-        carry = [f"__p{k}_{i}" for i in range(len(texts))]
-        daily = as_of(daily, facts, "ticker", "date", "__known", ["__period"], carry)
-        names |= dict(zip(texts, carry, strict=True))
+    if by_source:  # one column with the date from which all of its sources are known for each set of them
+        known = {f"__known{k}": F.greatest(*map(F.col, sorted(sources))) if len(sources) > 1 else F.col(*sources) for k, sources in enumerate(by_source)}
+        carry = {f"__known{k}": [f"__p{k}_{i}" for i in range(len(texts))] for k, texts in enumerate(by_source.values())}
+        facts = {c: F.col(columns[t]) for at, texts in zip(carry.values(), by_source.values(), strict=True) for c, t in zip(at, texts, strict=True)}
+        rows = q.frame.select("ticker", F.col("date").alias("__period"), *[v.alias(c) for c, v in (known | facts).items()])
+        daily = as_of_each(daily, rows, "ticker", "date", ["__period"], carry)
+        names |= {t: c for at, texts in zip(carry.values(), by_source.values(), strict=True) for c, t in zip(at, texts, strict=True)}
     d = _Emitter(daily, tables)
     d.names |= names
     out = {k: d.add(e) for k, e in wanted.items()}

@@ -565,13 +565,15 @@ def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame
     fields: those that will be read; holdings and insiders are left out if they have none.
     """
     quarterly = panels.filings(spark, sf_dir).withColumnRenamed("calendardate", "date")
-    for more, columns in ((panels.holdings, {"inst_shares", "inst_holders"}), (panels.insiders, {"insider_net_shares"})):
-        if fields is None or columns & fields:
-            quarterly = quarterly.join(more(spark, sf_dir).withColumnRenamed("calendardate", "date"), ["ticker", "date"], "left")
+    if fields is None or KNOWN.keys() & fields:
+        quarterly = quarterly.join(panels.holders(spark, sf_dir).withColumnRenamed("calendardate", "date"), ["ticker", "date"], "left")
     daily = prices(spark, sf_dir)
     market = daily.groupBy("idx").agg(F.avg("close").alias("c")).withColumn("r", safe_div(F.col("c"), ts.lag("c", 1, F.lit(1))) - 1)
-    calendar, on = (panels.supplier_calendar(spark, sf_dir), lambda days: prices(spark, sf_dir, days)) if prices is panels.supplier_daily_prices else (None, None)
-    return Tables(quarterly, daily, panels.descriptions(spark, sf_dir).select("ticker", "sector"), market, KNOWN, calendar, on)
+    sectors = panels.descriptions(spark, sf_dir).select("ticker", "sector")
+    if prices is not panels.supplier_daily_prices:
+        return Tables(quarterly, daily, sectors, market, KNOWN)
+    windows = lambda days, nodes, keep: panels.supplier_windows(spark, sf_dir, days, nodes, keep)
+    return Tables(quarterly, daily, sectors, market, KNOWN, panels.supplier_calendar(spark, sf_dir), lambda days: prices(spark, sf_dir, days), windows)
 
 
 KNOWN = {"inst_shares": "inst_date", "inst_holders": "inst_date", "insider_net_shares": "insider_date"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pitpanel.functions.columns import average_rank, normal_quantile, safe_div, significant
 from pitpanel.operators import backtest, crosssection, overfitting, portfolio, rotation, search, store
 from pitpanel.operators import timeseries as ts
-from pitpanel.operators.asof import as_of
+from pitpanel.operators.asof import as_of, as_of_each
 from pitpanel.plans import catalog, queries
 from pitpanel.plans.expr import GridError, MissingFieldError, Tables, compile_all, fields
 from pitpanel.sources import files, panels
@@ -181,6 +181,24 @@ def test_supplier_prices_come_from_trades_and_for_days_asked(spark):
     assert asked.exceptAll(every.filter("idx % 97 IN (1, 5)")).isEmpty()
 
 
+def plan_of(spark, name):
+    return queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_factors_of_several_sources_read_the_lines_once_for_holders_and_once_for_trades(spark):
+    assert plan_of(spark, "f_flow_proxy").count("Relation [l_orderkey") == 2
+
+
+def test_as_of_several_dates_at_once(spark):
+    q = spark.createDataFrame([("A", 1, 10, 20, 1.0), ("A", 2, 30, None, None), ("A", 3, 30, 25, 3.0), ("B", 1, None, 5, 4.0)], "ticker string, period int, k int, j int, v double")
+    d = spark.createDataFrame([(t, at) for t in "AB" for at in (9, 10, 22, 25, 30)], "ticker string, date int")
+    both = as_of_each(d, q.withColumn("w", F.col("v") * 10), "ticker", "date", ["period"], {"k": ["period", "v"], "j": ["w"]})
+    for known, columns in (("k", ["period", "v"]), ("j", ["w"])):
+        alone = as_of(d, q.withColumn("w", F.col("v") * 10), "ticker", "date", known, ["period"], columns)
+        assert sorted(map(str, both.select(*alone.columns).collect())) == sorted(map(str, alone.collect()))
+    assert {(r.ticker, r.date): (r.period, r.w) for r in both.collect()}[("A", 30)] == (3, 30.0)
+
+
 def test_optimised_weights_are_of_the_names_chosen_at_each_rebalance(spark):
     sf = "/root/testdata/sf0.01"
     chosen = {(r.idx, r.ticker) for r in queries.chosen(spark, sf).collect()}
