@@ -199,6 +199,27 @@ def test_as_of_several_dates_at_once(spark):
     assert {(r.ticker, r.date): (r.period, r.w) for r in both.collect()}[("A", 30)] == (3, 30.0)
 
 
+@pytest.mark.parametrize("name", ["f_quality_3", "f_acceleration"])
+def test_windows_of_days_take_trades_and_no_dense_rows(spark, name):
+    plan = plan_of(spark, name)
+    assert "FlatMapGroupsInArrow" in plan and "sequence(" not in plan
+
+
+def test_days_of_trades_equal_the_daily_prices(spark):
+    sf = "/root/testdata/sf0.001"
+    every = panels.supplier_daily_prices(spark, sf).filter("ticker = 'S3'").toPandas().sort_values("idx")
+    trade = panels._trading_days(spark, sf).toPandas().sort_values("idx")
+    trades = panels._supplier_days(spark, sf).filter("ticker = 'S3'").toPandas().merge(trade, on="date")
+    made = panels.days_of_trades({c: trades[c].to_numpy() for c in ("idx", "close", "closeunadj", "volume", "mcap")}, trade["__trade"].to_numpy())
+    assert len(trades) > 10 and all(np.array_equal(v, every[c].to_numpy(float), equal_nan=True) for c, v in made.items())
+
+
+@pytest.mark.parametrize("name", ["f_value_price", "f_scoring_value", "f_value_ev", "f_growth"])
+def test_trades_between_signal_dates_become_one_before_the_sort(spark, name):
+    plan = plan_of(spark, name)
+    assert plan.count("Relation [l_orderkey") == 1 and "max(__at#" in plan
+
+
 def test_optimised_weights_are_of_the_names_chosen_at_each_rebalance(spark):
     sf = "/root/testdata/sf0.01"
     chosen = {(r.idx, r.ticker) for r in queries.chosen(spark, sf).collect()}
