@@ -203,12 +203,47 @@ class Tables:
         return frozenset().union(*(self.sources(a) for a in e.args))
 
 
+#: Operators that are one window over rows or names; growths are arithmetic on a lag of so many quarters.
+_WINDOWED = {"lag", "accel", "ttm", "quarterly_std", "quarterly_mean", "ma", "std", "downside", "mom", "change", "winsor", "zscore", "rank", "neutral"}
+_GROWTHS = {"qoq": 1, "yoy": 4}
+
+
+def _parts(e: Expr) -> tuple[Expr, ...]:
+    return (*e.args, e.args[0].lag(_GROWTHS[e.name])) if e.name in _GROWTHS else e.args
+
+
 class _Emitter:
     """Adds one column for each different node to a frame."""
 
     def __init__(self, frame: DataFrame, tables: Tables):
         self.frame, self.tables, self.names = frame, tables, {}
 
+    def add_all(self, expressions) -> list[str]:
+        """add for each, with all windows that need no other's value in one pass over the rows, then those that need these."""
+        depths: dict[str, int] = {}
+        passes: dict[int, dict[str, Expr]] = {}
+
+        def depth(e: Expr) -> int:
+            text = e.describe()
+            if text in self.names:
+                return 0
+            if text not in depths:
+                depths[text] = max(map(depth, _parts(e)), default=0) + (e.name in _WINDOWED)
+                if e.name in _WINDOWED:
+                    passes.setdefault(depths[text], {})[text] = e
+            return depths[text]
+
+        for e in expressions:
+            depth(e)
+        for k in sorted(passes):
+            made = {}
+            for text, e in passes[k].items():
+                column = self._column(e)
+                self.names[text] = f"__x{len(self.names)}"
+                made[self.names[text]] = column
+            self.frame = self.frame.withColumns(made)
+        return [self.add(e) for e in expressions]
+
     def add(self, e: Expr) -> str:
         text = e.describe()
         if text in self.names:
@@ -216,29 +251,32 @@ class _Emitter:
         if e.name == "field":
             self.names[text] = e.params[0]
             return e.params[0]
-        args = [F.lit(a.params[0]) if a.name == "const" else F.col(self.add(a)) for a in e.args]
-        name = f"__x{len(self.names)}"
-        if e.name == "winsor":
-            column = xs.winsor(self.add(e.args[0]), *e.params)
-        elif e.name == "zscore":
-            column = xs.zscore(self.add(e.args[0]))
-        elif e.name == "rank":
-            column = xs.rank(self.add(e.args[0]))
-        elif e.name == "neutral":
-            column = xs.neutral_groups(self.add(e.args[0]), e.params[0])
-        elif e.name == "rsi":
-            self.frame = ts.wilder_rsi(self.frame, self.add(e.args[0]), *e.params).withColumnRenamed("rsi", name)
-            column = None
-        elif e.name == "beta":
-            self.frame = ts.beta(self.frame, self.tables.market, e.params[0], self.add(e.args[0])).withColumnRenamed("beta", name)
-            column = None
-        else:
-            column = e.make(*args)
-        if column is not None:
-            self.frame = self.frame.withColumn(name, column)
-        self.names[text] = name
+        column = self._column(e)
+        name = self.names[text] = f"__x{len(self.names)}"
+        self.frame = self.frame.withColumnRenamed(e.name, name) if column is None else self.frame.withColumn(name, column)
         return name
 
+    def _column(self, e: Expr) -> Column | None:
+        """The column of a node by those of its arguments; None where the frame has it now, by the node's name."""
+        args = [F.lit(a.params[0]) if a.name == "const" else F.col(self.add(a)) for a in _parts(e)]
+        if e.name in _GROWTHS:
+            return safe_div(args[0] - args[1], F.abs(args[1]))
+        if e.name == "winsor":
+            return xs.winsor(self.add(e.args[0]), *e.params)
+        if e.name == "zscore":
+            return xs.zscore(self.add(e.args[0]))
+        if e.name == "rank":
+            return xs.rank(self.add(e.args[0]))
+        if e.name == "neutral":
+            return xs.neutral_groups(self.add(e.args[0]), e.params[0])
+        if e.name == "rsi":
+            self.frame = ts.wilder_rsi(self.frame, self.add(e.args[0]), *e.params)
+            return None
+        if e.name == "beta":
+            self.frame = ts.beta(self.frame, self.tables.market, e.params[0], self.add(e.args[0]))
+            return None
+        return e.make(*args)
+
 
 #: Operators that look from a row at rows some days before: how many days.
 _STEPS = {"lag": lambda p: {p[0]}, "accel": lambda p: {0, p[0]}, "change": lambda p: {0, p[0]}, "mom": set}
@@ -294,19 +332,24 @@ def _rows_on_days(tables: Tables, wanted: dict[str, Expr], along: _Along, days:
     asked = calendar.join(F.broadcast(earlier), "idx")
     if not along.windows:
         return tables.daily.join(F.broadcast(asked.select("date")), "date", "left_semi") if tables.on is None else tables.on(asked), {}
-    read = used(*wanted.values())
-    fields = [c for c in tables.daily.columns if c in read]
+    read, outside = used(*wanted.values()), _outside(wanted.values(), along.windows)
+    fields, kept = [c for c in tables.daily.columns if c in read], [c for c in tables.daily.columns if c in outside]
     spans = sorted({n.params[0] for n in _nodes([e for e, _ in along.windows.values()]) if n.name == "beta"})
     spread = ts.market_spread(tables.market, spans) if spans else None
     names = {text: f"__w{k}" for k, text in enumerate(along.windows)}
     nodes = {names[t]: (_node(e), sum(back[n] for n in offsets)) for t, (e, offsets) in along.windows.items()}
     if tables.windows is not None:
         marked = calendar.select("idx").join(F.broadcast(earlier), "idx", "left")
-        return tables.windows(marked if spread is None else marked.join(F.broadcast(spread), "idx", "left"), nodes, ["date", "idx", *fields]), names
+        return tables.windows(marked if spread is None else marked.join(F.broadcast(spread), "idx", "left"), nodes, ["date", "idx", *kept]), names
     daily = tables.daily.select("ticker", "date", "idx", *fields)
     if spread is not None:
         daily = daily.join(F.broadcast(spread), "idx", "left")
-    return dayvalues.on_days(daily, asked, nodes, ["date", "idx", *fields]), names
+    return dayvalues.on_days(daily, asked, nodes, ["date", "idx", *kept]), names
+
+
+def _outside(expressions, windows) -> set[str]:
+    """The fields that expressions read other than in the windows."""
+    return {f for e in expressions if e.describe() not in windows for f in ({e.params[0]} if e.name == "field" else _outside(e.args, windows))}
 
 
 def _nodes(expressions) -> list[Expr]:
@@ -335,10 +378,10 @@ def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None
     daily, windows = (tables.daily, {}) if days is None or along.dense else _rows_on_days(tables, wanted, along, days)
     for e in wanted.values():
         boundary(e)
-    quarterly = tables.quarterly if tables.groups is None else tables.quarterly.join(tables.groups, "ticker", "left")
-    q = _Emitter(quarterly, tables)
-    columns = {text: q.add(e) for text, e in promoted.items()}
-    daily = daily if tables.groups is None else daily.join(tables.groups, "ticker", "left")
+    grouped = lambda rows: rows if tables.groups is None or all(n.name != "neutral" for n in _nodes(wanted.values())) else rows.join(tables.groups, "ticker", "left")
+    q = _Emitter(grouped(tables.quarterly), tables)
+    columns = dict(zip(promoted, q.add_all(promoted.values()), strict=True))
+    daily = grouped(daily)
     names: dict[str, str] = dict(windows)
     by_source: dict[frozenset, list[str]] = {}
     for text, e in promoted.items():
@@ -352,6 +395,6 @@ def compile_all(tables: Tables, wanted: dict[str, Expr], days: DataFrame | None
         names |= {t: c for at, texts in zip(carry.values(), by_source.values(), strict=True) for c, t in zip(at, texts, strict=True)}
     d = _Emitter(daily, tables)
     d.names |= names
-    out = {k: d.add(e) for k, e in wanted.items()}
+    out = dict(zip(wanted, d.add_all(wanted.values()), strict=True))
     rows = d.frame if days is None else d.frame.join(F.broadcast(days.select("date")), "date", "left_semi")
     return rows.select("ticker", "date", "idx", *[F.col(c).alias(k) for k, c in out.items()])

@@ -214,6 +214,27 @@ def test_days_of_trades_equal_the_daily_prices(spark):
     assert len(trades) > 10 and all(np.array_equal(v, every[c].to_numpy(float), equal_nan=True) for c, v in made.items())
 
 
+def test_days_of_a_block_of_names_equal_the_daily_prices(spark):
+    sf, picked = "/root/testdata/sf0.001", ["S3", "S5", "S8"]
+    every = panels.supplier_daily_prices(spark, sf).filter(F.col("ticker").isin(picked)).toPandas().sort_values(["ticker", "idx"])
+    trade = panels._trading_days(spark, sf).toPandas().sort_values("idx")
+    trades = panels._supplier_days(spark, sf).filter(F.col("ticker").isin(picked)).toPandas().merge(trade, on="date").sample(frac=1, random_state=1)
+    names = trades["ticker"].map(picked.index).to_numpy()
+    made = panels.days_of_trades({c: trades[c].to_numpy() for c in ("idx", "close", "volume", "mcap")}, trade["__trade"].to_numpy(), names)
+    assert made.keys() == {"close", "volume", "mcap", "short_interest"}
+    assert all(np.array_equal(v, every[c].to_numpy(float).reshape(3, -1), equal_nan=True) for c, v in made.items())
+
+
+def test_windows_of_days_take_suppliers_in_blocks_and_only_figures_read(spark):
+    plan = plan_of(spark, "f_acceleration")
+    assert "shiftright(l_suppkey" in plan and "l_extendedprice#" in plan and "max((l_extendedprice" not in plan
+
+
+@pytest.mark.parametrize("name", ["f_quality_3", "f_acceleration", "f_growth", "f_value_price"])
+def test_windows_of_one_depth_run_in_one_pass(spark, name):
+    assert plan_of(spark, name).count("Window [") <= 8
+
+
 @pytest.mark.parametrize("name", ["f_value_price", "f_scoring_value", "f_value_ev", "f_growth"])
 def test_trades_between_signal_dates_become_one_before_the_sort(spark, name):
     plan = plan_of(spark, name)
