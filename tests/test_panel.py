@@ -230,9 +230,9 @@ def test_windows_of_days_take_suppliers_in_blocks_and_only_figures_read(spark):
     assert "shiftright(l_suppkey" in plan and "l_extendedprice#" in plan and "max((l_extendedprice" not in plan
 
 
-@pytest.mark.parametrize("name", ["f_quality_3", "f_acceleration", "f_growth", "f_value_price"])
-def test_windows_of_one_depth_run_in_one_pass(spark, name):
-    assert plan_of(spark, name).count("Window [") <= 8
+@pytest.mark.parametrize(("name", "most"), [("f_quality_3", 8), ("f_acceleration", 8), ("f_growth", 7), ("f_value_price", 8)])
+def test_windows_of_one_depth_run_in_one_pass(spark, name, most):
+    assert plan_of(spark, name).count("Window [") <= most
 
 
 @pytest.mark.parametrize("name", ["f_value_price", "f_scoring_value", "f_value_ev", "f_growth"])
