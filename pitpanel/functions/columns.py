@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A denominator closer to zero than this gives NULL.
@@ -80,6 +80,22 @@ def significant(v: Column, digits: int = 6) -> Column:
     return F.when((v == 0) | (F.abs(v) > 1e18), v).otherwise(rounded)
 
 
+def significant_all(df: DataFrame, digits: int = 6) -> DataFrame:
+    """df with `significant` of its doubles; what a value is scaled by is a column first, taken once and not at each mention."""
+    doubles = {c: i for i, (c, t) in enumerate(df.dtypes) if t == "double"}
+    if not doubles:
+        return df
+    kept = F.col("*")
+    steps = df.select(kept, *[F.when(F.abs(c) <= 1e18, F.least(F.lit(digits - 1) - F.floor(F.log10(F.abs(c))), F.lit(10))).alias(f"__k{i}") for c, i in doubles.items()])
+    steps = steps.select(kept, *[F.pow(F.lit(10.0), F.abs(f"__k{i}")).alias(f"__power{i}") for i in doubles.values()])
+
+    def rounded(c: str) -> Column:
+        v, k, power = F.col(c), F.col(f"__k{doubles[c]}"), F.col(f"__power{doubles[c]}")
+        return F.when((v == 0) | (F.abs(v) > 1e18), v).otherwise(F.when(k >= 0, F.floor(v * power + 0.501) / power).otherwise(F.floor(v / power + 0.501) * power))
+
+    return steps.select(*[rounded(c).alias(c) if c in doubles else F.col(c) for c in df.columns])
+
+
 def clipped(v: Column, lo: Column, hi: Column) -> Column:
     """v between lo and hi; NULL stays NULL."""
     return F.when(v.isNotNull(), F.greatest(F.least(v, hi), lo))

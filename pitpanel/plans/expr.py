@@ -323,6 +323,11 @@ def used(*expressions: Expr) -> set[str]:
     return {n.params[0] for n in _nodes(expressions) if n.name == "field"}
 
 
+def across(e: Expr, tables: Tables) -> bool:
+    """Whether it compares names on the quarterly grid, where names without a filing may count too."""
+    return any(n.name in ("winsor", "zscore", "rank", "neutral") and tables.grid(n) == "q" for n in _nodes([e]))
+
+
 def _rows_on_days(tables: Tables, wanted: dict[str, Expr], along: _Along, days: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Daily rows on the days and so many days before as `along` says, with columns of its windows, and their names by text."""
     back = {n: 1 << k for k, n in enumerate(sorted(along.back))}

@@ -8,13 +8,13 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, fixed, normal_quantile, percent_rank, safe_div, significant
+from ..functions.columns import average_rank, fixed, normal_quantile, percent_rank, safe_div, significant_all
 from ..operators import backtest, crosssection, overfitting, portfolio, research, risk, rotation, search, store, universe
 from ..operators import timeseries as ts
 from ..operators.asof import as_of
 from ..sources import panels
 from . import catalog
-from .expr import Tables, compile_all, fields, used
+from .expr import Tables, across, compile_all, fields, used
 from .factor_sql import Grid, factor_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,8 +23,9 @@ ORACLE: dict[str, str] = {}
 
 def rounded(df: DataFrame, places: int | None = None) -> DataFrame:
     """Doubles to six significant digits or a number of places, since sums depend on the order of their terms."""
-    round_ = significant if places is None else (lambda v: fixed(v, places))
-    return df.select(*[round_(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    if places is not None:
+        return df.select(*[fixed(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return significant_all(df)
 
 
 def query(name: str, sql: str | None = None, places: int | None = None):
@@ -559,12 +560,13 @@ query("j_as_of", f"{_ASOF} SELECT ticker, date, calendardate, {r('netinc')} AS n
 )
 
 
-def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices, fields: set[str] | None = None) -> Tables:
+def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame] = panels.supplier_daily_prices, fields: set[str] | None = None, dense: bool = True) -> Tables:
     """Windows count trading days, so prices are daily; monthly ones serve expressions without windows only.
 
-    fields: those that will be read; holdings and insiders are left out if they have none.
+    fields: those that will be read; holdings and insiders are left out if they have none. dense: whether quarters without a
+    filing have rows.
     """
-    quarterly = panels.filings(spark, sf_dir).withColumnRenamed("calendardate", "date")
+    quarterly = panels.filings(spark, sf_dir, dense).withColumnRenamed("calendardate", "date")
     if fields is None or KNOWN.keys() & fields:
         quarterly = quarterly.join(panels.holders(spark, sf_dir).withColumnRenamed("calendardate", "date"), ["ticker", "date"], "left")
     daily = prices(spark, sf_dir)
@@ -616,7 +618,7 @@ def _factor_query(names: list[str], scoring: bool = False, prices: Callable[[Spa
 
     def run(spark, sf_dir):
         wanted = _wanted(names, scoring)
-        tables = factor_tables(spark, sf_dir, prices, used(*wanted.values()))
+        tables = factor_tables(spark, sf_dir, prices, used(*wanted.values()), any(across(e, LAYOUT) for e in wanted.values()))
         signals = backtest.rebalance_dates(tables.calendar) if tables.calendar is not None else None
         out = compile_all(tables, wanted, signals)
         return out.unpivot(["ticker", "date"], names, "factor", "value").filter("value IS NOT NULL")

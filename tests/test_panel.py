@@ -5,6 +5,7 @@ from datetime import date
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions.columns import average_rank, normal_quantile, safe_div, significant
@@ -12,7 +13,7 @@ from pitpanel.operators import backtest, crosssection, overfitting, portfolio, r
 from pitpanel.operators import timeseries as ts
 from pitpanel.operators.asof import as_of, as_of_each
 from pitpanel.plans import catalog, queries
-from pitpanel.plans.expr import GridError, MissingFieldError, Tables, compile_all, fields
+from pitpanel.plans.expr import GridError, MissingFieldError, Tables, across, compile_all, fields
 from pitpanel.sources import files, panels
 
 
@@ -181,6 +182,29 @@ def test_supplier_prices_come_from_trades_and_for_days_asked(spark):
     assert asked.exceptAll(every.filter("idx % 97 IN (1, 5)")).isEmpty()
 
 
+def test_windows_over_filings_need_no_rows_of_quarters_without_one(spark, tmp_path):
+    sf = str(tmp_path)
+    lines = panels.table(spark, "/root/testdata/sf0.001", "lineitem")
+    lines.filter("l_suppkey % 3 > 0 OR month(l_shipdate) > 3 OR year(l_shipdate) % 2 = 0").write.parquet(f"{sf}/lineitem.parquet")
+    w = Window.partitionBy("ticker").orderBy("idx")
+    made = lambda dense: panels.filings(spark, sf, dense).withColumns({"a": ts.lag("assets", 4), "g": ts.growth("netinc", 1), "t": ts.ttm("revenue")}).filter("datekey IS NOT NULL")
+    every, there = made(True), made(False)
+    gaps = panels.filings(spark, sf, False).withColumn("d", F.col("idx") - F.lag("idx").over(w)).filter("d > 1")
+    assert not gaps.isEmpty() and not there.isEmpty()
+    assert every.exceptAll(there).isEmpty() and there.exceptAll(every).isEmpty()
+    assert "Join Cross" not in plan_of(spark, "f_value_price")
+    assert across(fields.revenue.zscore(), queries.LAYOUT) and not across(fields.mcap.zscore() / fields.revenue, queries.LAYOUT)
+
+
+def test_rounding_of_all_columns_takes_each_logarithm_once(spark):
+    odd = [0.0, -0.0, 123456.5, -123456.5, 0.1234565, 1e-12, -7e-11, 9.999995, 1e18, 1.0000005e18, 3e18, -4e30, float("inf"), float("nan"), None]
+    frame = spark.createDataFrame([(i, v, v) for i, v in enumerate(odd)], "i int, v double, u double")
+    got = queries.rounded(frame)
+    want = frame.select("i", significant(F.col("v")).alias("v"), significant(F.col("u")).alias("u"))
+    assert got.columns == want.columns and [str(r) for r in got.orderBy("i").collect()] == [str(r) for r in want.orderBy("i").collect()]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LOG10") == 2
+
+
 def plan_of(spark, name):
     return queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
