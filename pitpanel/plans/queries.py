@@ -575,7 +575,7 @@ def factor_tables(spark, sf_dir, prices: Callable[[SparkSession, str], DataFrame
     if prices is not panels.supplier_daily_prices:
         return Tables(quarterly, daily, sectors, market, KNOWN)
     windows = lambda days, nodes, keep: panels.supplier_windows(spark, sf_dir, days, nodes, keep)
-    return Tables(quarterly, daily, sectors, market, KNOWN, panels.supplier_calendar(spark, sf_dir), lambda days: prices(spark, sf_dir, days), windows)
+    return Tables(quarterly, daily, sectors, market, KNOWN, panels.supplier_calendar(spark, sf_dir), lambda days: prices(spark, sf_dir, days, fields), windows)
 
 
 KNOWN = {"inst_shares": "inst_date", "inst_holders": "inst_date", "insider_net_shares": "insider_date"}

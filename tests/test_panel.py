@@ -182,6 +182,15 @@ def test_supplier_prices_come_from_trades_and_for_days_asked(spark):
     assert asked.exceptAll(every.filter("idx % 97 IN (1, 5)")).isEmpty()
 
 
+def test_names_and_days_without_figures_need_no_trades(spark):
+    sf = "/root/testdata/sf0.001"
+    picked = panels.supplier_calendar(spark, sf).filter("idx % 97 IN (1, 5)")
+    asked, bare = panels.supplier_daily_prices(spark, sf, picked), panels.supplier_daily_prices(spark, sf, picked, {"revenue"})
+    columns = ["ticker", "date", "idx"]
+    assert bare.select(columns).exceptAll(asked.select(columns)).isEmpty() and asked.select(columns).exceptAll(bare.select(columns)).isEmpty()
+    assert "__at" not in plan_of(spark, "f_growth") and "__at" in plan_of(spark, "f_value_price")
+
+
 def test_windows_over_filings_need_no_rows_of_quarters_without_one(spark, tmp_path):
     sf = str(tmp_path)
     lines = panels.table(spark, "/root/testdata/sf0.001", "lineitem")
